@@ -74,7 +74,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, share:
     count = F.least(F.size("h") - first, F.size("part"))
     equal = F.zip_with(F.slice("h", first + 1, F.greatest(count, F.lit(0))), F.slice("part", F.lit(1), F.greatest(count, F.lit(0))), lambda a, b: (a == b).cast("int"))
     size = F.least(F.size("h"), F.lit(overlap))
-    sums = let(equal, lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - F.col("size")), lambda i: F.struct(F.aggregate(F.slice(e, i + 1, F.col("size")), F.lit(0), lambda t, v: t + v).alias("n"), (-i).alias("at"))))
+    sums = let(equal, lambda e: F.transform(F.sequence(F.lit(0), F.greatest(F.size(e) - F.col("size"), F.lit(0))), lambda i: F.struct(F.aggregate(F.slice(e, i + 1, F.col("size")), F.lit(0), lambda t, v: t + v).alias("n"), (-i).alias("at"))))
     found = parts.withColumn("size", size).withColumn("first", first).where(count >= F.col("size")).withColumn("best", F.array_max(sums)).where(F.col("best.n") >= F.lit(share) * F.col("size"))
     best = F.max(F.struct(F.col("best.n").alias("n"), F.col("size").alias("size"), (-(F.greatest(F.col("shift"), F.lit(0)) - F.col("best.at"))).alias("at")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.n").cast("long").alias("n_equal"), F.col("b.size").cast("long").alias("n_tokens"), (-F.col("b.at")).cast("long").alias("doc_start"))

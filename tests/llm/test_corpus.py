@@ -1,0 +1,251 @@
+"""Corpus operators against brute force and round trips, with the awkward rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lodestone.llm import tokens
+from lodestone.llm.chat_format import format_preferences, neighbour_pairs
+from lodestone.llm.decontamination import clean, leaks
+from lodestone.llm.html_extraction import extract, extract_pages
+from lodestone.llm.language_id import Scorer, fit, identify
+from lodestone.llm.near_duplicates import near_duplicates
+from lodestone.llm.packing import pack
+from lodestone.llm.pseudonyms import pseudonymise
+from lodestone.llm.quality_rules import quality
+from lodestone.llm.repeated_text import remove_repeated
+from lodestone.llm.token_output import Permutation, materialise, read_shard
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, extra int"
+
+
+def corpus():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeéñ") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base, passage = make(120), make(60)
+    texts = [None, "", " \n", "x", "x y", "x y", "X  y", "a\n" * 400, base, base, base.replace(" ", "\n")]
+    for _ in range(12):  # near copies
+        w = base.split()
+        for i in rng.sample(range(len(w)), rng.randint(1, 8)):
+            w[i] = rng.choice(words)
+        texts.append(" ".join(w))
+    texts += [make(rng.randint(1, 200)) + " " + passage + " " + make(20) for _ in range(6)]
+    texts += [make(9000), "日本語 テキスト " * 40, "ﬁ <|endoftext|> İ \x1c z"]
+    rows = [(i, t, "de" if i % 2 else "en", None, i) for i, t in enumerate(texts)]
+    return rows + [rows[8], (None, base, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_near_duplicates(docs, empty):
+    sets = {}
+    for i, t, *_ in corpus():
+        if i is not None:
+            w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+            sets[i] = {tuple(w[k : k + 2]) for k in range(len(w) - 1)} or ({tuple(w)} if w else set())
+    label = {i: i for i in sets}
+    for _ in range(6):
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    for r in near_duplicates(docs, size=2).collect():
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], r.doc_id == label[r.doc_id])
+        else:
+            assert r.component_id is None and r.kept
+    assert near_duplicates(empty, size=2).count() == 0
+
+
+def test_repeated_text(docs, empty):
+    rows = [(i, (t or "").encode()) for i, t, *_ in corpus()]
+    seen = collections.Counter(b[i : i + 200] for _, b in rows for i in range(len(b) - 199))
+    expected = collections.Counter()
+    for i, b in rows:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int), [0]])) == 1).sum())
+        expected[i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()] += 1
+    got = remove_repeated(docs).drop("kept_text").collect()
+    assert collections.Counter(map(tuple, got)) == expected
+    assert remove_repeated(empty).count() == 0
+
+
+def test_packing(docs, empty):
+    enc = tokens.encoder(tokens.default_path())
+    ids = collections.Counter()
+    whole = {}
+    for i, t, *_ in corpus():
+        x = [*enc.whole.encode(t or "", add_special_tokens=False).ids, 1]
+        assert [*enc.encode(t), 1] == x
+        ids[i, len(x)] += len(x)
+        whole[i] = x
+    got, sequences = collections.Counter(), collections.defaultdict(list)
+    for r in pack(docs).collect():
+        got[r.doc_id, r.doc_tokens] += r.length
+        sequences[r.sequence_id].append((r.offset, r.length))
+        assert r.ids_crc32 == zlib.crc32(np.array(whole[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    assert got == ids
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == 2048 or at & (at - 1) == 0
+    assert pack(empty).count() == 0
+
+
+def test_permutation_and_shards(docs, empty, tmp_path):
+    for n in (1, 2, 5, 1000):
+        p = Permutation(n, b"k")
+        s = p.slots(np.arange(n))
+        assert sorted(s) == list(range(n)) and (p.indexes(s) == np.arange(n)).all()
+    rows = materialise(docs, "k", root=f"file://{tmp_path}", length=64, per_shard=50).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    flat, total = collections.Counter(), 0
+    for r in rows:
+        one = read_shard(f"file://{tmp_path}/shard-{r.shard:08d}.bin", r.byte_offset // 128, 1, 64)[0]
+        assert zlib.crc32(one.tobytes()) == r.crc32
+        flat.update(one[: r.n_tokens].tolist())
+        total += r.n_tokens
+    enc = tokens.encoder(tokens.default_path())
+    expected = collections.Counter(x for _, t, *_ in corpus() for x in [*enc.encode(t).tolist(), 1])
+    assert flat == expected and total == sum(expected.values())
+    assert materialise(empty, "k", root=f"file://{tmp_path}/none").count() == 0
+
+
+def test_language_scores_sum_all_segmentations(spark, empty):
+    s = Scorer(["a", "b"], {"▁": (0.1, 0.2), "▁x": (0.3, 0.1), "x": (0.2, 0.2), "xy": (0.1, 0.3), "y": (0.2, 0.1)})
+    expected = [0.1 * 0.1 + 0.1 * 0.2 * 0.2 + 0.3 * 0.2, 0.2 * 0.3 + 0.2 * 0.2 * 0.1 + 0.1 * 0.1]
+    assert np.allclose(np.exp(s.word("xy")), expected)
+    assert np.isfinite(s.word("xy" * 5000)).all()
+    train = spark.createDataFrame([(i, ("the house and the garden" if i % 2 else "der garten und das haus") + f" {i}", "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
+    model = fit(train)
+    ask = spark.createDataFrame([(1, "and the house"), (2, "und das haus"), (3, None), (4, "123 !!"), (5, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(ask, model).collect()}
+    assert [got[k][0] for k in range(1, 6)] == ["en", "de", "und", "und", "und"] and all(0 <= v[1] <= 1 for v in got.values())
+    assert identify(empty, fit(empty)).count() == 0
+
+
+def test_html(spark):
+    page = '<html><body><nav>menu</nav><article><h1>T</h1><p>a &amp; b<br>c<p>d<div class="comments">no</div></article><footer>f</footer></body>'
+    assert extract(page) == "T\n\na & b c\n\nd" and extract(None) == "" and extract("<script>x") == ""
+    own = "".join(f"<p>text {k}</p>" for k in range(3))
+    rows = [(i, "https://h.example/x", f"<body><div>Site</div><h1>T{i}</h1>{own}<p>page {i}</p></body>") for i in range(8)] + [(9, None, None), (10, "https://o.example/", "<div>Site</div>")]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "T3\n\npage 3" and got[9] == "" and got[10] == "Site"
+    joined = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_rows=0)
+    assert {r.page_id: r.text for r in joined.collect()} == got
+
+
+def test_quality(spark, docs, empty):
+    trusted = spark.createDataFrame([(11,), (12,), (24,)], "doc_id long")
+    got = quality(docs, trusted, buckets=4096).collect()
+    raw, target, feats = collections.Counter(), collections.Counter(), []
+    h = lambda s, seed=42: xxhash.xxh64(s.encode(), seed=seed).intdigest()
+    signed = lambda x: (x - (1 << 64) if x >> 63 else x) % 4096
+    for i, t, *_ in corpus():
+        tok = re.findall(r"\w+|[^\w\s]+", (t or ""), re.A) if (t or "").isascii() else None
+        if tok is None:
+            import regex
+
+            tok = regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]+", t or "")
+        f = [signed(h(x)) for x in tok] + [signed(h(b, h(a))) for a, b in zip(tok, tok[1:])]
+        raw.update(f)
+        if i in (11, 12, 24):
+            target.update(f)
+        feats.append((i, t, f))
+    nr, nt = sum(raw.values()), sum(target.values())
+    ratio = [round(1e6 * (np.log((target[b] + 1) / (nt + 4096)) - np.log((raw[b] + 1) / (nr + 4096)))) for b in range(4096)]
+    expected = collections.Counter()
+    for i, t, f in feats:
+        w, places = WORD.findall(t or ""), collections.defaultdict(list)
+        for k in range(len(w) - 2):
+            places[tuple(w[k : k + 3])].append(k)
+        rep = len({j for v in places.values() if len(v) > 1 for k in v for j in (k, k + 1, k + 2)})
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        failed = len(w) < 50 or 100 * rep > 50 * len(w)
+        llr = sum(ratio[b] for b in f)
+        expected[i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), rep, failed, not failed and llr >= -600000 * len(f)] += 1
+    assert collections.Counter(tuple(r)[:8] for r in got) == expected
+    assert quality(empty, trusted, buckets=4096).count() == 0
+
+
+def test_pseudonyms(spark, empty):
+    luhn = lambda s: sum((d * 2 - 9 * (d > 4)) if k % 2 else d for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
+    text = 'c 4111111111111111, p +1 (212) 555-1234 m a.b@mail.example.com i 10.0.0.255 d 2024-02-29 s 123-45-6789 n 1234567890123456 v 2.0 x 999.1.1.1 token = "0123456789abcdef0123"'
+    df = spark.createDataFrame([(1, text), (2, "again 4111111111111111 4111 1111 1111 1111"), (3, None), (4, ""), (5, "2024-13-01 plain")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_pii) for r in pseudonymise(df, "k").collect()}
+    new, n = got[1]
+    assert n == 7 and got[3] == (None, 0) and got[4] == ("", 0) and got[5] == ("2024-13-01 plain", 0)
+    for gone in ("4111111111111111", "(212) 555-1234", "a.b@mail", "10.0.0.255", "2024-02-29", "123-45-6789", "0123456789abcdef"):
+        assert gone not in new
+    card = re.search(r"c (\d{16}),", new)[1]
+    assert luhn(card) and card[0] == "4" and "n 1234567890123456 v 2.0 x 999.1.1.1" in new
+    assert card in got[2][0] and got[2][0].endswith(" ".join(card[k : k + 4] for k in (0, 4, 8, 12)))
+    assert re.search(r"p \+1 \([2-9]\d\d\) [2-9]\d\d-\d{4} m", new) and re.search(r"d (19|20)\d\d-\d\d-\d\d s \d{3}-\d\d-\d{4} n", new)
+    many = spark.range(3000).select(F.concat(F.lit("10.0."), F.expr("cast(id div 250 as string)"), F.lit("."), F.expr("cast(id % 250 as string)")).alias("text"))
+    assert pseudonymise(many, "k").distinct().count() == 3000
+    assert pseudonymise(empty, "k").count() == 0
+
+
+def test_decontamination(spark, docs, empty):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    item = [rng.choice(words) for _ in range(40)]
+    changed = item.copy()
+    for k in (3, 9, 17, 25, 33):
+        changed[k] = "zzz"
+    rows = [(1, " ".join(["a", "b"] + changed + ["c"])), (2, " ".join(item).upper()), (3, " ".join(rng.sample(item, 40))), (4, None), (5, ""), (6, " ".join(item[:10])), (1, " ".join(item))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None), (7, " ".join(item))], "item_id long, text string")
+    got = leaks(d, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 7), (2, 7)]
+    assert sorted(r.doc_id for r in clean(d, bench).collect()) == [3, 4, 5, 6]
+    assert sorted((r.doc_id, r.item_id) for r in leaks(d, bench, broadcast_rows=0).collect()) == [(1, 7), (2, 7)]
+    assert leaks(empty, bench).count() == 0 and leaks(d, bench.limit(0)).count() == 0
+
+
+def test_preferences(spark):
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 1, "assistant", "no"), (2, 0, None, None), (3, 0, None, None), (4, 0, "user", "x"), (None, 0, "user", "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in format_preferences(df, neighbour_pairs(df)).collect()}
+    assert got[0].prompt == "<|im_start|>user\nhi<|im_end|>\n" and got[0].n_prompt_turns == 1
+    s = got[0].chosen_spans[0]
+    assert got[0].chosen[s.start : s.end] == "yo<|im_end|>\n"
+    assert got[1].chosen == got[1].rejected == "" and got[1].n_prompt_turns == 1
+    assert got[2].n_prompt_turns == 0 and got[2].rejected == ""
+    assert format_preferences(df.limit(0), neighbour_pairs(df.limit(0))).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item, one = text(40), text(90)
+    rows = [(1, one, "en"), (2, one, "en"), (3, text(30) + " " + item, "en"), (4, "123", "en"), (5, text(50) + " 10.1.2.3", "en"), (6, None, "en")] + [(k, text(60), "en") for k in range(10, 16)]
+    spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 5, *range(10, 16)}
