@@ -40,6 +40,20 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """Ids of words; what is missing is encoded, and all are dropped when there are too many."""
+
+    def __init__(self, encode, most: int):
+        self.encode, self.most = encode, most
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.encode(word)
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = out
+        return out
+
+
 class WordEncoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import regex
@@ -49,26 +63,15 @@ class WordEncoder:
         self.model = self.whole.model
         self.split = regex.compile(_PIECES).findall
         self.names = str.maketrans(_byte_names())
-        self.cache_words = cache_words
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Words(self._piece, cache_words)
+        self.words = _Words(self._word, cache_words)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
-            found = np.array([t.id for t in self.model.tokenize(name)], "<u2").tobytes()
-            if len(self.pieces) >= self.cache_words:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
+        name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
+        return np.array([t.id for t in self.model.tokenize(name)], "<u2").tobytes()
 
     def _word(self, word: str) -> bytes:
-        out = b"".join(map(self._piece, self.split(word)))
-        if len(self.words) >= self.cache_words:
-            self.words.clear()
-        self.words[word] = out
-        return out
+        return b"".join(map(self.pieces.__getitem__, self.split(word)))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as unsigned 16-bit numbers."""
@@ -76,7 +79,4 @@ class WordEncoder:
             return np.zeros(0, "<u2")
         if _ODD.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2")
-        get, out = self.words.get, []
-        for w in text.lower().split():
-            out.append(get(w) or self._word(w))
-        return np.frombuffer(b"".join(out), "<u2")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), "<u2")
