@@ -66,13 +66,11 @@ class Permutation:
         return self._walk(slot, self._back)
 
 
-def _squeeze(ids: np.ndarray) -> bytes:
-    """Low and high bytes apart, compressed: less to shuffle."""
-    return zlib.compress(ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+def _codec():
+    """Compression of sequences on their way: less to shuffle and to keep."""
+    import zstandard
 
-
-def _expand(data: bytes) -> bytes:
-    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, -1).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
 
 
 def _sequences(path: str, length: int):
@@ -80,6 +78,7 @@ def _sequences(path: str, length: int):
         from pyspark import TaskContext
 
         part, enc, end = TaskContext.get().partitionId(), tokens.encoder(path), np.array([END_ID], "<u2")
+        squeeze = _codec()[0]
         kept, size, local = [], 0, 0
 
         def rows(last: bool) -> pa.RecordBatch:
@@ -91,7 +90,7 @@ def _sequences(path: str, length: int):
             padded = [np.concatenate([c, np.full(length - len(c), PAD_ID, "<u2")]) for c in cuts]
             local += len(cuts)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(cuts), pa.int64()), pa.array(range(local - len(cuts), local), pa.int64()), pa.array(map(len, cuts), pa.int64()), pa.array(map(_squeeze, padded), pa.binary())],
+                [pa.array([part] * len(cuts), pa.int64()), pa.array(range(local - len(cuts), local), pa.int64()), pa.array(map(len, cuts), pa.int64()), pa.array([squeeze(x.tobytes()) for x in padded], pa.binary())],
                 ["part", "local", "n_tokens", "data"],
             )
 
@@ -148,8 +147,9 @@ def _write(root: str, per_shard: int, length: int):
         from pyspark import TaskContext
 
         attempt, shard, out = TaskContext.get().taskAttemptId(), None, None
+        expand = _codec()[1]
         for b in batches:
-            data = [_expand(x.as_py()) for x in b.column("data")]
+            data = [expand(x.as_py()) for x in b.column("data")]
             for s, one in zip(b.column("shard").to_pylist(), data):
                 if s != shard:
                     if out:
