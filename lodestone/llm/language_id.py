@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lodestone.llm.common import ship
+from lodestone.llm.hashing import mix
 
 #: Bound of the sample that is fitted: labelled documents of each language.
 PER_LANGUAGE = 400
 ITERATIONS = 3
+#: Tasks that share the rows of one language while its sample is chosen.
+FIRST_CUT = 64
 #: Added to each piece's expected count.
 PRIOR = 0.05
 #: Probability of a character that no piece covers, for every language.
@@ -26,6 +29,10 @@ UNKNOWN = 1e-9
 #: A word's place in a text's evidence; more words than this sharpen the score no further.
 EVIDENCE = 40
 CACHE_WORDS = 400_000
+#: Letters of a word that is scored along with others of its length; texts and words that are at once.
+TOGETHER, TOGETHER_CHARS, CHUNK_WORDS = 64, 1_000_000, 100_000
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_POWERS = np.multiply.accumulate(np.array([1] + [int(_BASE)] * (TOGETHER + 1), np.uint64))
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -100,6 +107,9 @@ class Scorer:
         self.none = (UNKNOWN,) * len(langs)
         self.index: dict[str, int] = {}
         self.table = np.zeros((1024, len(langs)))
+        hashes = np.array([_piece_hash(p) for p in model] or [0], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.p = hashes[order], np.array(list(model.values()) or [self.none])[order]
 
     def word(self, w: str) -> list[float]:
         """Log probability of one word under each language, over all segmentations."""
@@ -124,37 +134,95 @@ class Scorer:
                         ahead[i] = [x / f if m == k else x for m, x in enumerate(ahead[i])]
         return [b + math.log(max(x, 1e-300)) for b, x in zip(base, ahead[n])]
 
-    def _add(self, w: str) -> int:
-        if len(self.index) >= self.cache_words:
+    def words(self, ws: list[str]) -> np.ndarray:
+        """`word` for many words: those of one length go through the forward algorithm together."""
+        out = np.zeros((len(ws), len(self.langs)))
+        lengths = np.array([len(w) for w in ws], np.int64)
+        for n in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == n)
+            if n > TOGETHER:
+                out[at] = [self.word(ws[k]) for k in at]
+                continue
+            codes = np.frombuffer("".join("▁" + ws[k] for k in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n + 1)
+            ahead, base = np.zeros((n + 2, len(at), len(self.langs))), np.zeros((len(at), len(self.langs)))
+            ahead[0] = 1.0
+            sums = _prefixes(codes)
+            for j in range(1, n + 2):
+                for i in range(max(0, j - self.longest), j):
+                    rank, known = self._rank(sums[:, j] - sums[:, i] * _POWERS[j - i])
+                    if i == j - 1:
+                        ahead[j] += ahead[i] * np.where(known[:, None], self.p[rank], UNKNOWN)
+                    elif (hit := np.flatnonzero(known)).size:
+                        ahead[j][hit] += ahead[i][hit] * self.p[rank[hit]]
+                if j % 24 == 0:
+                    f = np.maximum(ahead[j], 1e-300)
+                    base += np.log(f)
+                    ahead[max(0, j - self.longest) : j + 1] /= f
+            out[at] = base + np.log(np.maximum(ahead[n + 1], 1e-300))
+        return out
+
+    def _rank(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return rank, self.hashes[rank] == h
+
+    def _rows(self, ws: list[str]) -> np.ndarray:
+        """Their log probabilities; new words enter the cache, which is dropped when it is full."""
+        new = list({w: None for w in ws if w not in self.index})
+        if len(self.index) + len(new) > self.cache_words:
             self.index.clear()
-        k = self.index[w] = len(self.index)
-        if k >= len(self.table):
-            self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        self.table[k] = self.word(w)
-        return k
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        ws = words_of(text)
-        if not ws or not self.langs:
-            return "und", 0.0
-        total = np.zeros(len(self.langs))
-        for at in range(0, len(ws), 4096):
-            part = ws[at : at + 4096]
-            if len(self.index) + len(part) > self.cache_words:
-                self.index.clear()
-            get = self.index.get
-            at_row = [k if (k := get(w)) is not None else self._add(w) for w in part]
-            total += self.table[at_row].sum(axis=0)
-        total *= min(1.0, EVIDENCE / len(ws))
-        best = int(total.argmax())
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+            new = list(dict.fromkeys(ws))
+        if new:
+            first = len(self.index)
+            self.index.update(zip(new, range(first, first + len(new))))
+            if len(self.index) > len(self.table):
+                self.table = np.vstack([self.table, np.zeros((max(len(self.table), len(new)), len(self.langs)))])
+            self.table[first : first + len(new)] = self.words(new)
+        return self.table[list(map(self.index.__getitem__, ws))]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [words_of(t) for t in texts] if self.langs else [[] for _ in texts]
+        counts = np.array([len(ws) for ws in found], np.int64)
+        owner, flat = np.repeat(np.arange(len(texts)), counts), [w for ws in found for w in ws]
+        total = np.zeros((len(self.langs), len(texts)))
+        for at in range(0, len(flat), CHUNK_WORDS):
+            rows = self._rows(flat[at : at + CHUNK_WORDS])
+            for k in range(len(self.langs)):  # adds in the order of the words, wherever chunks end
+                np.add.at(total[k], owner[at : at + CHUNK_WORDS], rows[:, k])
+        out = []
+        for d, n in enumerate(counts.tolist()):
+            if not n:
+                out.append(("und", 0.0))
+                continue
+            logs = total[:, d] * min(1.0, EVIDENCE / n)
+            best = int(logs.argmax())
+            out.append((self.langs[best], float(1.0 / np.exp(logs - logs[best]).sum())))
+        return out
+
+
+def _prefixes(codes: np.ndarray) -> np.ndarray:
+    """Polynomial hashes modulo 2^64 of the prefixes of each row."""
+    sums = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
+    spread = mix(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for j in range(codes.shape[1]):
+        sums[:, j + 1] = sums[:, j] * _BASE + spread[:, j]
+    return sums
+
+
+def _piece_hash(piece: str) -> int:
+    return int(_prefixes(np.array([[ord(c) for c in piece]], np.uint32))[0, -1])
 
 
 def _predict(langs: list[str], model):
     def run(batches):
         scorer = Scorer(langs, model.value)
         for b in batches:
-            got = [scorer.predict(t.as_py()) for t in b.column("text")]
+            texts, got, part, size = b.column("text"), [], [], 0
+            for k in range(len(texts)):
+                part.append(texts[k].as_py())
+                size += len(part[-1] or "")
+                if size >= TOGETHER_CHARS or k == len(texts) - 1:
+                    got += scorer.predict(part)
+                    part, size = [], 0
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     return run
@@ -170,7 +238,10 @@ def fit(docs: DataFrame, path: str | None = None, per_language: int = PER_LANGUA
     ship(docs.sparkSession)
     path = path or vocabulary_path()
     labelled = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("id is not null and lang is not null and text is not null and crc32(id) % 5 <> 0")
-    chosen = labelled.select("id", "lang", F.xxhash64("id", "lang").alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(f"k <= {per_language}").select("id", "lang")
+    chosen = labelled.select("id", "lang", F.xxhash64("id", "lang").alias("h"))
+    for keys in (["lang", F.pmod("h", F.lit(FIRST_CUT))], ["lang"]):  # a language's rows are cut in many tasks first
+        chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).where(f"k <= {per_language}").select("id", "lang", "h")
+    chosen = chosen.select("id", "lang")
     sample = labelled.join(F.broadcast(chosen.distinct()), ["id", "lang"])
     rows = sample.select("lang", "text").groupBy("lang").applyInPandas(_fit(path, iterations), "lang string, piece string, p double").collect()
     langs = sorted({r["lang"] for r in rows})

@@ -249,3 +249,13 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 5, *range(10, 16)}
+
+
+def test_words_scored_together_equal_words_scored_alone():
+    model = {"▁": (0.1, 0.2), "▁x": (0.3, 0.1), "x": (0.2, 0.2), "xy": (0.1, 0.3), "y": (0.2, 0.1), "xyx": (0.05, 0.01)}
+    s = Scorer(["a", "b"], model, cache_words=8)
+    ws = ["x", "xyx", "yyxyxyz", "é", "xy" * 20, "y" * 64, "xy" * 40, "漢字x"]
+    assert np.allclose(s.words(ws), [s.word(w) for w in ws], rtol=1e-12, atol=0)
+    texts = [None, "", "12 !?", " ".join(ws), "xy xy " * 50, "é"]
+    assert s.predict(texts) == [s.predict([t])[0] for t in texts]
+    assert s.predict(texts[:3]) == [("und", 0.0)] * 3
