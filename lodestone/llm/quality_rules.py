@@ -18,16 +18,23 @@ UNIT = 1_000_000
 #: Documents whose mean log ratio is below this are not kept.
 THRESHOLD = -0.6
 SYMBOLS = "#*$%&|<>"
-_SPACE = " \t\n\x0b\x0c\r"
 _FEATURE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 
 def features(text: Column, buckets: int = BUCKETS) -> Column:
     """Buckets of the unigrams and bigrams of letter runs and punctuation runs."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_FEATURE), F.lit(0))
-    one = lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")
-    two = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")
-    return let(tokens, lambda t: F.concat(F.transform(t, one), F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), two)))
+    return let(hashes(tokens), lambda h: F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(buckets))), pairs(h, buckets)))
+
+
+def hashes(tokens: Column) -> Column:
+    """32-bit hashes of strings: each string is hashed once, n-grams are hashes of these."""
+    return F.transform(tokens, lambda t: F.hash(t))
+
+
+def pairs(h: Column, buckets: int) -> Column:
+    n = F.greatest(F.size(h) - 1, F.lit(0))
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.pmod(F.hash(a, b), F.lit(buckets)))
 
 
 def model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> DataFrame:
@@ -63,14 +70,14 @@ def base_counts(text: Column) -> dict[str, Column]:
         return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(let(ordered, beside))
 
     def windows(w: Column) -> Column:
-        keys = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.struct(F.size(w).cast("long").alias("n"), F.when(F.size(w) < 3, F.lit(0)).otherwise(let(keys, repeats)).cast("long").alias("r"))
+        keys = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - 2), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))))
+        repeated = F.when(F.size(w) < 3, F.lit(0)).otherwise(let(keys, repeats)).cast("long")
+        return F.struct(F.size(w).cast("long").alias("n"), repeated.alias("r"), F.length(F.array_join(w, "")).cast("long").alias("chars"))
 
     counted = let(words(text), windows)
     return {
         "counted": counted,
-        "word_chars": F.length(F.translate(text, _SPACE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": lines.cast("long"),
     }
 
@@ -90,9 +97,10 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, b
     fitted = space.save(model(docs, trusted, buckets, target_docs), "model")
     text = F.col("text").cast("string")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("ratios", fitted.select("ratios").scalar())
-    llr = let(features(text, buckets), lambda f: F.struct(F.size(f).alias("n"), F.aggregate(f, F.lit(0).cast("long"), lambda s, b: s + F.coalesce(F.get(F.col("ratios"), b), F.lit(0).cast("long"))).alias("sum")))
+    total = lambda buckets: F.aggregate(buckets, F.lit(0).cast("long"), lambda s, b: s + F.get(F.col("ratios"), b))
+    llr = let(features(text, buckets), lambda f: F.struct(F.size(f).alias("n"), total(f).alias("sum")))
     base = base_counts(text)
-    out = out.select("doc_id", base["counted"].alias("c"), base["word_chars"].alias("word_chars"), base["n_symbols"].alias("n_symbols"), base["n_dup_lines"].alias("n_dup_lines"), llr.alias("llr"))
+    out = out.select("doc_id", base["counted"].alias("c"), base["n_symbols"].alias("n_symbols"), base["n_dup_lines"].alias("n_dup_lines"), llr.alias("llr"))
     failed = (F.col("c.n") < 50) | (100 * F.col("c.r") > 50 * F.col("c.n"))
     good = F.col("llr.sum") >= F.lit(round(threshold * UNIT)).cast("long") * F.col("llr.n")
-    return out.select("doc_id", F.col("c.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("c.r").alias("n_repeat_words"), failed.alias("base_failed"), (~failed & good).alias("kept"), F.col("llr.sum").alias("llr_sum"), F.col("llr.n").cast("long").alias("n_features"))
+    return out.select("doc_id", F.col("c.n").alias("n_words"), F.col("c.chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("c.r").alias("n_repeat_words"), failed.alias("base_failed"), (~failed & good).alias("kept"), F.col("llr.sum").alias("llr_sum"), F.col("llr.n").cast("long").alias("n_features"))
