@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import importlib
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,19 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_worker() -> None:
+    """Give back what tasks of other operators left in this reused Python worker."""
+    held = sys.modules.get(f"{__package__}.tokens")
+    if held:
+        held.release()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _SHIPPED: set[str] = set()
 
 

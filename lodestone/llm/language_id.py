@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lodestone.llm.common import ship
+from lodestone.llm.common import release_worker, ship
 from lodestone.llm.hashing import mix
 
 #: Bound of the sample that is fitted: labelled documents of each language.
@@ -63,6 +63,7 @@ def _fit(path: str, iterations: int):
     """Piece probabilities of one language by expectation maximisation."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        release_worker()
         counts: Counter = Counter()
         for text in rows["text"]:
             counts.update("▁" + w for w in words_of(text))
@@ -214,6 +215,7 @@ def _piece_hash(piece: str) -> int:
 
 def _predict(langs: list[str], model):
     def run(batches):
+        release_worker()
         scorer = Scorer(langs, model.value)
         for b in batches:
             texts, got, part, size = b.column("text"), [], [], 0

@@ -33,6 +33,11 @@ def encoder(path: str) -> "WordEncoder":
     return _LOADED[path]
 
 
+def release() -> None:
+    """Drop this process's encoders and their words."""
+    _LOADED.clear()
+
+
 def _byte_names() -> dict[int, str]:
     """The byte-level alphabet: printable bytes name themselves, the others follow from 256."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
