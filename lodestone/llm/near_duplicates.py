@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import Workspace, release_worker, ship
 from lodestone.llm.components import LINKS_A_FILE, components
-from lodestone.llm.hashing import shingles
+from lodestone.llm.hashing import mix, shingles
 
 #: Values kept of each set, and how many of them make inverted lists.
 KEPT, LISTED = 48, 32
@@ -25,6 +25,12 @@ CACHED = 1000
 BITS = 20
 #: Share of the union sketch that both must hold for a pair to be verified.
 LEAST = 0.5
+#: Entries of an inverted list that one task pairs with as many; longer lists are cut into blocks.
+BLOCK = 1000
+#: Times that sets which cannot have a partner any more are taken out of the lists across components.
+PRUNED = 2
+#: Inverted lists across components whose keys may be broadcast; with more the join shuffles.
+BROADCAST_LISTS = 1_000_000
 
 
 def _sketch(size: int):
@@ -85,6 +91,85 @@ def _exact(size: int, percent: int):
     return run
 
 
+def _groups(n: int, percent: int) -> list[tuple[int, bool, int, int]]:
+    """Groups of size classes a set of n values is in: (group, in its lower class, parts, differences).
+
+    A class ends at 100 / percent of its start, so that linked sets are in one class or in
+    neighbouring ones; group g is classes g and g + 1, and answers for pairs with an end in g.
+    Such a pair differs in at most `differences` values.
+    """
+    out, lo, g = [], 1, 0
+    while True:
+        hi = lo * 100 // percent
+        differ = (hi + hi * 100 // percent) * (100 - percent) // (100 + percent)
+        if differ and lo <= n <= hi * 100 // percent:
+            out.append((g, n <= hi, int(1.12 * differ + 1.2 * differ**0.5) + 1, differ))
+        if n <= hi:
+            return out
+        lo, g = hi + 1, g + 1
+
+
+def _parts(size: int, percent: int):
+    """Sets with whole texts: one row for each group, with a key for each part that holds values."""
+
+    def run(batches):
+        release_worker()
+        for batch in batches:
+            rows = []
+            for doc, comp, text in zip(*(batch.column(c) for c in ("doc_id", "comp", "text"))):
+                u = np.sort(shingles(text.as_py(), size).view(np.uint64))
+                d = mix(u ^ np.uint64(0xA0761D6478BD642F))
+                for g, low, parts, differ in _groups(len(u), percent):
+                    part = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                    keys = mix(np.add.reduceat(d, first) + mix(part[first] + np.uint64(g << 32)))
+                    rows.append((doc.as_py(), comp.as_py(), len(u), g, low, len(first), False, keys.view(np.int64)))
+                    if len(first) <= differ:
+                        rows.append((doc.as_py(), comp.as_py(), len(u), g, low, len(first), True, np.array([g], np.int64)))
+            doc, comp, n, g, low, m, weak, keys = zip(*rows) if rows else ([],) * 8
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            flat = np.concatenate(keys) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in (doc, comp, n, g)), pa.array(low, pa.bool_()), pa.array(m, pa.int64()), pa.array(weak, pa.bool_()), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))],
+                ["doc_id", "comp", "n", "g", "low", "m", "weak", "keys"],
+            )
+
+    return run
+
+
+def _left(docs: DataFrame, reps: DataFrame, comps: DataFrame | None, space: Workspace, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that may be linked: no link is left out.
+
+    The values of a group are cut into more parts by hash range than a linked pair has
+    differences, so that one part that holds values is equal in both and its key shared; sets
+    with too few such parts share one key of their own. All pairs of a list are taken, of long
+    ones by blocks. Each of the larger number of parts that is not shared costs a difference, so
+    pairs that share too few are dropped for certain.
+    """
+    ends = reps.select("doc_id", F.col("doc_id").alias("comp")) if comps is None else reps.select("doc_id").join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    whole = docs.where("doc_id is not null").join(ends.distinct(), "doc_id")
+    schema = "doc_id long, comp long, n long, g long, low boolean, m long, weak boolean, keys array<long>"
+    sets = space.save(whole.select("doc_id", "comp", "text").mapInArrow(_parts(size, percent), schema), "parts")
+    rows = sets.select("*", F.explode("keys").alias("key")).drop("keys")
+    for turn in range(PRUNED + 1):
+        if turn:  # sets with too few keys that a partner can share have no partner
+            most = f"(n + n * 100 div {percent}) * {100 - percent} div {100 + percent}"
+            enough = rows.groupBy("doc_id", "comp", "g", "n", "m").agg(F.sum(F.when(F.col("weak"), 0).otherwise(1)).alias("shared")).where(f"shared >= m - {most}")
+            rows = rows.drop("blocks").join(enough.select("doc_id", "g", "n", "m"), ["doc_id", "g", "n", "m"], "left_semi")
+        lists = rows.select("key", "comp").groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n_sets")).where("c1 <> c2")
+        lists = space.save(lists.select("key", F.ceil(F.col("n_sets") / BLOCK).alias("blocks")), "lists")
+        space.release()
+        rows = space.save(rows.join(F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists, "key"), "entries")
+    space.drop(sets)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    one = rows.select("key", "weak", F.col("own").alias("x"), every.alias("y"), F.col("doc_id").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("low").alias("al"), "g")
+    two = rows.select("key", every.alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"), F.col("m").alias("bm"), F.col("low").alias("bl"))
+    pairs = one.join(two, ["key", "x", "y"]).where(f"a < b and ac <> bc and (al or bl) and 100 * least(an, bn) >= {percent} * greatest(an, bn)")
+    shared = pairs.groupBy("a", "b", "g", "an", "bn", "am", "bm").agg(F.sum(F.when(F.col("weak"), 0).otherwise(1)).alias("shared"))
+    return shared.where(f"shared >= greatest(am, bm) - (an + bn) * {100 - percent} div {100 + percent}").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents (doc_id, text) that links of similar word-shingle sets connect.
 
@@ -152,6 +237,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                 comps = space.save(components(links, space), "components")
         if comps is None:
             break
+    space.release()
+    todo = _left(docs, reps, comps, space, size, percent)
+    if tested is not None:
+        todo = todo.join(tested, ["a", "b"], "left_anti")
+    todo = space.save(todo, "left")
+    n_left = todo.count()
+    if n_left:
+        todo = todo.coalesce(1 + n_left // LINKS_A_FILE)
+        text = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+        for c in ("a", "b"):
+            todo = todo.join(text.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text")), c)
+        good = space.save(todo.select("a", "a_text", "b", "b_text").mapInArrow(_exact(size, percent), "a long, b long"), "links")
+        if not good.isEmpty():
+            links = good if links is None else links.union(good)
+            comps = space.save(components(links, space), "components")
     out = made.join(classes, same, "left")
     if comps is not None:
         out = out.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -75,6 +75,19 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates(empty, size=2).count() == 0
 
 
+def test_near_duplicates_of_a_loose_template(spark):
+    rng = random.Random(11)
+    sets = [set(rng.sample(range(100), 83)) for _ in range(300)] + [set(rng.sample(range(9), 7)) for _ in range(40)]
+    label = list(range(len(sets)))
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = [(i, " ".join(f"w{v}" for v in s)) for i, s in enumerate(sets)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
+
+
 def test_repeated_text(docs, empty):
     rows = [(i, (t or "").encode()) for i, t, *_ in corpus()]
     seen = collections.Counter(b[i : i + 200] for _, b in rows for i in range(len(b) - 199))
