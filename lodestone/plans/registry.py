@@ -197,7 +197,7 @@ _QSIM = D.query_similarity("benchmark", "item_id", "text", "(select * from conve
 @query(f"select target_id, ref_id, round(sim, 6) as sim from ({_QSIM})")
 def query_similarity(spark, d):
     refs = _t(spark, d, "benchmark").select(F.col("item_id").alias("ref_id"), X.normalize_lexical_text(F.col("text")).alias("text"))
-    turns = _t(spark, d, "conversations").where("role = 'user' and turn <= 1").select((F.col("conv_id") * 1000 + F.col("turn")).alias("target_id"), X.normalize_lexical_text(F.col("text")).alias("text"))
+    turns = _t(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("target_id"), X.normalize_lexical_text(F.col("text")).alias("text"))
     return _r(tfidf.query_similarity(refs, turns), "sim")
 
 

@@ -138,3 +138,13 @@ def test_robust_gate(spark):
     unseen = spark.createDataFrame([(9, 2)], "ref_id long, article_id long")
     got = {(r.query_id, r.article_id): r.score for r in S.robust(direct, direct, memory, none, none, sim, unseen).collect()}
     assert got[3, 1] == 1.0 and got[3, 2] == pytest.approx((0.45 - 0.275) / 0.625)
+
+
+def test_query_similarity_compares_all_user_turns(spark, tmp_path):
+    from lodestone.plans.registry import QUERIES
+
+    spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    turns = [(3, 0, "user", "alpha beta"), (3, 1, "assistant", "alpha"), (3, 2, "user", "alpha gamma"), (3, 4, "user", "delta"), (4, 0, "assistant", "delta")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.target_id for r in QUERIES["query_similarity"](spark, str(tmp_path)).collect()}
+    assert got == {3000, 3002, 3004}
