@@ -186,9 +186,7 @@ def lexical_article_scores(spark, d):
 @query(" union all ".join(f"select '{ch}' as channel, * from ({_TOP.format(D.tfidf('pages', 'page_id', col, 'benchmark', 'item_id', 'text', an, mind, an == 'char'), 3)})" for ch, col, an, mind in (("body_word", D.CLEAN, "word", 1), ("body_char", D.CLEAN, "char", 2), ("title_word", D.TITLE, "word", 1), ("title_char", D.TITLE, "char", 1))))
 def lexical_channels(spark, d):
     a = _articles(spark, d).select("article_id", F.col("title").alias("clean_title"), "clean_body")
-    scores = tfidf.lexical_channels(a, _bench(spark, d))
-    ranked = S.rank(scores.withColumn("query_id", F.struct("channel", "query_id")), 3)
-    return _r(ranked.select("query_id.channel", "query_id.query_id", "rank", "article_id", "score"))
+    return _r(tfidf.lexical_channels(a, _bench(spark, d)))
 
 
 _QSIM = D.query_similarity("benchmark", "item_id", "text", "(select * from conversations where role = 'user' and turn <= 1)", "conv_id * 1000 + turn", "text")

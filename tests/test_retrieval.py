@@ -148,3 +148,13 @@ def test_query_similarity_compares_all_user_turns(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.target_id for r in QUERIES["query_similarity"](spark, str(tmp_path)).collect()}
     assert got == {3000, 3002, 3004}
+
+
+def test_lexical_channels_returns_every_score(spark, tmp_path):
+    from lodestone.plans.registry import QUERIES
+
+    spark.createDataFrame([(1, "alpha beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pages = [(k, f"<h1>alpha t{k}</h1><p>beta common{k} alpha</p>") for k in range(8)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["lexical_channels"](spark, str(tmp_path)).collect()
+    assert sorted((r.channel, r.article_id) for r in got) == sorted((c, k) for c in ("body_word", "body_char", "title_word", "title_char") for k in range(8))
