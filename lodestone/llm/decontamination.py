@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import Workspace, let
 
 #: Masks as the places of token pairs that count; the tokens between are ignored.
-MASKS = ((0, 3, 6), (0, 4, 9))
+MASKS = ((0, 3, 6), (0, 4, 9), (0, 1, 2))
+#: One more for items under OVERLAP tokens. With these no substitution pattern that is a leak is missed (enumerated for
+#: 8 to 20 tokens at 80 %; the mask (0, 1, 2), four tokens in a row, finds all of 20).
+SHORT_MASKS = (*MASKS, (0, 1))
 #: Tokens that a verified overlap has, or all of a shorter item; the share that must be equal.
 OVERLAP, SHARE = 20, 0.8
 #: Items with fewer tokens than a mask spans are no evidence.
@@ -22,17 +25,17 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: F.xxhash64(t))
 
 
-def seeds(hashes: Column) -> Column:
+def seeds(hashes: Column, masks: tuple[tuple[int, ...], ...] = SHORT_MASKS) -> Column:
     """Array of (key, at) of every mask at every place of a token array."""
 
     def masked(pairs: Column) -> Column:
         def one(k: int) -> Column:
-            offsets = MASKS[k]
+            offsets = masks[k]
             last = F.size(pairs) - 1 - offsets[-1]
             keys = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(*[F.get(pairs, i + o) for o in offsets], F.lit(k)).alias("key"), i.alias("at")))
             return F.when(last >= 0, keys).otherwise(F.array().cast("array<struct<key:bigint,at:int>>"))
 
-        return F.concat(*[one(k) for k in range(len(MASKS))])
+        return F.concat(*[one(k) for k in range(len(masks))])
 
     def pairs(h: Column) -> Column:
         n = F.greatest(F.size(h) - 1, F.lit(0))
@@ -58,7 +61,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, share:
     space = Workspace(docs.sparkSession, "leaks")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("h")).where(F.size("h") >= MIN_TOKENS)
     items = space.save(items.distinct().withColumn("item", F.xxhash64("item_id", "h")).dropDuplicates(["item"]), "items")
-    keys = space.save(items.select("item", F.explode(seeds(F.col("h"))).alias("s")).select("item", "s.key", F.col("s.at").alias("item_at")), "keys")
+    keys = space.save(items.select("item", F.explode(F.when(F.size("h") < overlap, seeds(F.col("h"))).otherwise(seeds(F.col("h"), MASKS))).alias("s")).select("item", "s.key", F.col("s.at").alias("item_at")), "keys")
     few = keys.count() <= broadcast_rows
     fit = F.broadcast if few else (lambda df: df)
     text = F.col("text").cast("string")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -239,6 +240,20 @@ def test_decontamination(spark, docs, empty):
     assert leaks(empty, bench).count() == 0 and leaks(d, bench.limit(0)).count() == 0
 
 
+def test_decontamination_misses_no_substitution_pattern(spark):
+    rows, bench, expected = [], [], set()
+    for size, changes in ((8, 1), (10, 2), (15, 3), (16, 3), (20, 4)):
+        bench.append((size, " ".join(f"i{size}t{k}" for k in range(size))))
+        for places in itertools.combinations(range(size), changes):
+            w = bench[-1][1].split()
+            for k in places:
+                w[k] = "zzz"
+            expected.add((len(rows), size, size - changes))
+            rows.append((len(rows), "aaa " + " ".join(w) + " bbb"))
+    got = leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.n_equal) for r in got.collect()} == expected
+
+
 def test_preferences(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 1, "assistant", "no"), (2, 0, None, None), (3, 0, None, None), (4, 0, "user", "x"), (None, 0, "user", "x")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
