@@ -201,13 +201,13 @@ def query_similarity(spark, d):
 
 @query(f"""with t as ({D.transfer_sim()}) select target_id, ref_id, round(sim, 6) as sim from t""")
 def dense_similarity(spark, d):
-    return _r(_sim(spark, d), "sim")
+    return _r(_all_sim(spark, d), "sim")
 
 
 @query(f"""with t as ({D.transfer_sim()}), m as (select target_id, greatest(max(sim), 1e-8) as m from t group by 1)
 select target_id as query_id, ref_id as article_id, round(sim / m, 6) as score from t join m using (target_id)""")
 def dense_scores(spark, d):
-    return _r(S.row_scale(_sim(spark, d).select(F.col("target_id").alias("query_id"), F.col("ref_id").alias("article_id"), F.col("sim").alias("score"))))
+    return _r(S.row_scale(_all_sim(spark, d).select(F.col("target_id").alias("query_id"), F.col("ref_id").alias("article_id"), F.col("sim").alias("score"))))
 
 
 def _memory_query(name: str, p: dict) -> None:

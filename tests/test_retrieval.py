@@ -158,3 +158,11 @@ def test_lexical_channels_returns_every_score(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = QUERIES["lexical_channels"](spark, str(tmp_path)).collect()
     assert sorted((r.channel, r.article_id) for r in got) == sorted((c, k) for c in ("body_word", "body_char", "title_word", "title_char") for k in range(8))
+
+
+def test_dense_queries_score_every_pair(spark, tmp_path):
+    from lodestone.plans.registry import QUERIES
+
+    spark.createDataFrame([(k, [1.0, float(k)], 0) for k in range(7)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("dense_similarity", "dense_scores"):
+        assert sorted(tuple(r)[:2] for r in QUERIES[name](spark, str(tmp_path)).collect()) == [(a, b) for a in range(7) for b in range(7)]
