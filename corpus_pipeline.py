@@ -23,12 +23,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group, once; documents without an id stay."""
+    """The document with the smallest id of each group, once; documents without an id stay.
+
+    Different texts under one id are different documents: each gets a number of its own first.
+    """
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th")).distinct()
+    reused = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("th").alias("th")).where("n > 1")
+    if not reused.isEmpty():
+        return _near_dedup_of_reused(spark, docs, texts, reused)
     kept = near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.union(docs.where("doc_id is null")).select(docs.columns)
 
 
+def _near_dedup_of_reused(spark: SparkSession, docs: DataFrame, texts: DataFrame, reused: DataFrame) -> DataFrame:
+    space = Workspace(spark, "numbered")
+    after = texts.agg(F.max("doc_id")).first()[0] + 1
+    others = texts.join(reused.select("doc_id", F.col("th").alias("own")), "doc_id").where("th <> own")
+    others = others.select("doc_id", "th", (F.monotonically_increasing_id() + after).alias("row_id"))
+    others = space.save(others, "others")
+    named = docs.where("doc_id is not null").withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "th"])
+    named = named.join(others, ["doc_id", "th"], "left").withColumn("row_id", F.coalesce("row_id", "doc_id")).drop("th")
+    named = space.save(named, "documents")
+    groups = near_duplicates(named.select(F.col("row_id").alias("doc_id"), "text"), size=5, percent=80).select(F.col("doc_id").alias("row_id"), "component_id")
+    kept = groups.join(named.select("row_id", "doc_id"), "row_id").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_id")).alias("first")).select("first.row_id")
+    return named.join(kept, "row_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null").select(docs.columns))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 

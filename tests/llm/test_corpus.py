@@ -89,6 +89,15 @@ def test_near_duplicates_of_a_loose_template(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
 
 
+def test_near_dedup_keeps_other_texts_of_a_reused_id(spark):
+    from corpus_pipeline import near_dedup
+
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(3, a), (5, a + " more"), (5, b), (5, b), (9, b + " more"), (7, "c d e"), (7, "f g h"), (None, a)]
+    got = near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(3, a), (5, b), (7, "c d e"), (7, "f g h"), (None, a)], key=str)
+
+
 def test_repeated_text(docs, empty):
     rows = [(i, (t or "").encode()) for i, t, *_ in corpus()]
     seen = collections.Counter(b[i : i + 200] for _, b in rows for i in range(len(b) - 199))
