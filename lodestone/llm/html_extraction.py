@@ -15,6 +15,8 @@ from lodestone.llm.common import Workspace, ship
 #: A subtree is a template's when this many differently titled pages of a host have it,
 #: and this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: So many differently titled pages suffice on a host of any size.
+MANY_PAGES = 100
 #: Template subtrees that may be broadcast; with more, pages are joined with them.
 BROADCAST_ROWS = 100_000
 
@@ -267,12 +269,12 @@ def _extracted(templates):
     return run
 
 
-def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Main text of each page (page_id, url, html): page_id, url, text, n_chars.
 
     Element subtrees are hashed and counted per host by the number of differently titled pages
-    that have them; subtrees on min_pages such pages and min_share of the host's are templates and
-    are deleted with menus, headers, footers, forms, notices, adverts and comments, which are known
+    that have them; subtrees on min_pages such pages and min_share of the host's (on a
+    large host: on many_pages) are templates and are deleted with menus, headers, footers, forms, notices, adverts and comments, which are known
     by element, role, class and id. Counting is aggregated before the shuffle, a large host's
     pages are not brought together. Templates go to all tasks only when they are few
     (`broadcast_rows`); beyond that pages are joined with them by host.
@@ -288,7 +290,7 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     seen = rows.select("host", "html").mapInArrow(_subtrees, "host string, subtree long, title long").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     seen = space.save(seen.where(f"subtree = 0 or n >= {min_pages}"), "subtrees")
     all_pages = seen.where("subtree = 0").select("host", F.col("n").alias("total"))
-    found = space.save(seen.where("subtree <> 0").join(all_pages, "host").where(F.col("n") >= min_share * F.col("total")).select("host", "subtree"), "templates")
+    found = space.save(seen.where("subtree <> 0").join(all_pages, "host").where(F.col("n") >= F.least(min_share * F.col("total"), F.lit(many_pages))).select("host", "subtree"), "templates")
     if found.count() <= broadcast_rows:
         by_host: dict[str, set] = {}
         for r in found.collect():

@@ -232,6 +232,14 @@ def test_pseudonyms(spark, empty):
     assert pseudonymise(empty, "k").count() == 0
 
 
+def test_section_templates_of_a_large_host(spark):
+    words = lambda k: " ".join(f"p{k}w{j}" for j in range(30))
+    box = "<div><span>see the other pages of this section today</span></div>"
+    rows = [(k, f"http://h.example/{k}", f"<html><title>t{k}</title><body><p>{words(k)}</p>{box if k < 110 else ''}</body></html>") for k in range(600)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(words(k) in got[k] and "section" not in got[k] for k in range(600))
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(3)
     words = [f"w{k}" for k in range(300)]
