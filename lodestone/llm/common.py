@@ -70,11 +70,27 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for uri in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        """Delete the tables of this workspace that `df` reads; nothing else may read them."""
+        self._delete({uri for uri in _folders(df) if uri.startswith(f"{self.root}/")})
+
+    def close(self, result: DataFrame) -> DataFrame:
+        """Delete all tables but those that the result reads."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        there = {str(f.getPath()) for f in root.getFileSystem(conf).listStatus(root)} if self.count else set()
+        names = {uri.rsplit("/", 1)[1] for uri in _folders(result)}
+        self._delete({uri for uri in there if uri.rsplit("/", 1)[1] not in names})
+        return result
+
+    def _delete(self, uris: set[str]) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for uri in uris:
             path = jvm.org.apache.hadoop.fs.Path(uri)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
 
 
 def release_worker() -> None:

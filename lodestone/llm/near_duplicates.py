@@ -4,33 +4,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Workspace, release_worker, ship
 from lodestone.llm.components import LINKS_A_FILE, components
-from lodestone.llm.hashing import mix, shingles
-
-#: Values kept of each set, and how many of them make inverted lists.
-KEPT, LISTED = 48, 32
-#: Rounds: how many neighbouring kept values make a list's key, and of how many kept values.
-#: The first is over all sets; the others, with longer runs and so with shorter lists of closer
-#: sets, over the sets that have had a candidate. Sets under 6 values also use 2.
-ROUNDS = (((3,), LISTED), ((5, 8), KEPT), ((4, 7), KEPT))
-#: Partners of a set that are verified first in the first round, before its other candidates.
-FIRST = 2
+from lodestone.llm.hashing import shingles
+
+#: Values kept of each set, and neighbouring kept values that make an inverted list's key.
+KEPT, RUN = 48, 2
+#: Lists that two linked sets share at least, but for a probability of 1e-9 (none for sets of under KEPT values).
+SHARED = 4
+#: Bits of 256 in which the signatures of linked sets may differ, but for a probability of 1e-11 (none for sets under 256 values).
+BITS = 64
+#: Share of the union sketch that both must hold for a pair to be verified against a leader.
+LEAST = 0.5
 #: Sets that a task keeps while it verifies pairs.
 CACHED = 1000
-#: Bits of 64 in which the short signatures of linked sets may differ.
-BITS = 20
-#: Share of the union sketch that both must hold for a pair to be verified.
-LEAST = 0.5
-#: Entries of an inverted list that one task pairs with as many; longer lists are cut into blocks.
-BLOCK = 1000
-#: Times that sets which cannot have a partner any more are taken out of the lists across components.
-PRUNED = 2
-#: Inverted lists across components whose keys may be broadcast; with more the join shuffles.
-BROADCAST_LISTS = 1_000_000
+#: Entries of one list, and sets and values of sets on either side, in one block of the closing pass.
+BLOCK_SETS, BLOCK_VALUES = 1000, 400_000
+_SIG = ["s0", "s1", "s2", "s3"]
+#: Values that are columns of one matrix product.
+COLUMNS = 4096
 
 
 def _sketch(size: int):
@@ -41,27 +36,27 @@ def _sketch(size: int):
             for text in b.column(1):
                 s = shingles(text.as_py(), size)
                 u = s.view(np.uint64)
-                first = np.zeros(64, np.uint64)
-                first[(u & np.uint64(63)).astype(np.int64)[::-1]] = u[::-1]
-                sig = int((((first >> np.uint64(6)) & np.uint64(1)) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
+                first = np.zeros(256, np.uint64)
+                first[(u & np.uint64(255)).astype(np.int64)[::-1]] = u[::-1]
+                sig = np.packbits(((first >> np.uint64(8)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
                 d = u * np.uint64(0xC2B2AE3D27D4EB4F)
                 d ^= d >> np.uint64(31)
                 rows.append((len(s), int(d.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(d * u | np.uint64(1)).view(np.int64)) if len(s) else 0, sig, s[:KEPT].copy()))
             n, d1, d2, sig, kept = zip(*rows) if rows else ([],) * 5
             flat = np.concatenate(kept) if rows else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in kept])]).astype(np.int32)
+            sig = np.array(sig, np.int64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))],
-                ["doc_id", "n", "d1", "d2", "sig", "kept"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *(pa.array(x, pa.int64()) for x in sig), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))],
+                ["doc_id", "n", "d1", "d2", *_SIG, "kept"],
             )
 
     return run
 
 
-def _keys(runs: tuple[int, ...], listed: int) -> Column:
+def _keys() -> Column:
     """Keys of the inverted lists of one sketch: runs of neighbouring kept values."""
-    one = lambda r: f"if(size(kept) < {r}, array(), transform(sequence(1, least(size(kept), {listed}) - {r - 1}), i -> xxhash64(slice(kept, i, {r}), {r})))"
-    return F.expr(f"concat({', '.join(one(r) for r in runs)}, if(size(kept) between 2 and 5, transform(sequence(1, size(kept) - 1), i -> xxhash64(slice(kept, i, 2), 2)), array()))")
+    return F.expr(f"if(size(kept) < {RUN}, array(), transform(sequence(1, size(kept) - {RUN - 1}), i -> xxhash64(slice(kept, i, {RUN}))))")
 
 
 def _exact(size: int, percent: int):
@@ -91,193 +86,295 @@ def _exact(size: int, percent: int):
     return run
 
 
-def _groups(n: int, percent: int) -> list[tuple[int, bool, int, int]]:
-    """Groups of size classes a set of n values is in: (group, in its lower class, parts, differences).
+def _values(size: int):
+    """The full set of each whole text."""
+
+    def run(batches):
+        release_worker()
+        for b in batches:
+            sets = [shingles(t.as_py(), size) for t in b.column(1)]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))], ["doc_id", "vals"])
+
+    return run
 
-    A class ends at 100 / percent of its start, so that linked sets are in one class or in
-    neighbouring ones; group g is classes g and g + 1, and answers for pairs with an end in g.
-    Such a pair differs in at most `differences` values.
-    """
-    out, lo, g = [], 1, 0
-    while True:
-        hi = lo * 100 // percent
-        differ = (hi + hi * 100 // percent) * (100 - percent) // (100 + percent)
-        if differ and lo <= n <= hi * 100 // percent:
-            out.append((g, n <= hi, int(1.12 * differ + 1.2 * differ**0.5) + 1, differ))
-        if n <= hi:
-            return out
-        lo, g = hi + 1, g + 1
 
+class _Sets:
+    """Sets of one side of a block: their signatures, and their values in one array."""
 
-def _parts(size: int, percent: int):
-    """Sets with whole texts: one row for each group, with a key for each part that holds values."""
+    def __init__(self, doc: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, flat: np.ndarray):
+        self.doc, self.comp, self.n, self.sig, self.flat = doc, comp, n, sig, flat
+        self.ends = np.concatenate([[0], np.cumsum(n)])
+        self.owner = np.repeat(np.arange(len(n)), n)
+
+    def one(self, k: int) -> np.ndarray:
+        return self.flat[self.ends[k] : self.ends[k + 1]]
+
+    def only(self, rows: np.ndarray) -> _Sets:
+        return _Sets(self.doc[rows], self.comp[rows], self.n[rows], self.sig[rows], self.flat[np.isin(self.owner, rows)])
+
+
+def _similar(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray], j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets are in different components and near in length and signature."""
+    bits = sum(np.bitwise_count((a[s][i] ^ b[s][j]).view(np.uint64)).astype(np.int16) for s in _SIG)  # of signed numbers it counts the absolute value
+    most = np.minimum(BITS, (a["n"][i] + b["n"][j]) * (100 - percent) // (100 + percent))  # each difference turns one bit at most
+    return (bits <= most) & (a["comp"][i] != b["comp"][j]) & (100 * np.minimum(a["n"][i], b["n"][j]) >= percent * np.maximum(a["n"][i], b["n"][j]))
+
+
+def _tied(percent: int):
+    """Entries in the order of their lists' blocks: each set with the smallest of those it is similar to, by steps.
+
+    All pairs within a block are looked at, `d` places apart at a time, and merged to stars here, so the rows that come
+    out are no more than those that went in.
+    """
+
+    def stars(t: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = len(t["doc_id"])
+        starts = np.flatnonzero(np.concatenate([[True], (t["key"][1:] != t["key"][:-1]) | (t["x"][1:] != t["x"][:-1]) | (t["y"][1:] != t["y"][:-1])]))
+        sizes = np.diff(np.concatenate([starts, [n]]))
+        after = np.repeat(starts + sizes, sizes) - np.arange(n) - 1  # rows of the block that follow
+        docs, node = np.unique(t["doc_id"], return_inverse=True)
+        label, d, at = np.arange(len(docs)), 1, np.flatnonzero(after > 0)
+        while len(at):
+            hit = at[_similar(t, at, t, at + d, percent)]
+            if len(hit):
+                _union(label, node[hit], node[hit + d])
+            d += 1
+            at = at[after[at] >= d]
+        moved = np.flatnonzero(label != np.arange(len(docs)))
+        return pa.RecordBatch.from_arrays([pa.array(docs[moved]), pa.array(docs[label[moved]])], ["a", "b"])
 
     def run(batches):
         release_worker()
+        held: list[dict[str, np.ndarray]] = []
         for batch in batches:
-            rows = []
-            for doc, comp, text in zip(*(batch.column(c) for c in ("doc_id", "comp", "text"))):
-                u = np.sort(shingles(text.as_py(), size).view(np.uint64))
-                d = mix(u ^ np.uint64(0xA0761D6478BD642F))
-                for g, low, parts, differ in _groups(len(u), percent):
-                    part = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                    keys = mix(np.add.reduceat(d, first) + mix(part[first] + np.uint64(g << 32)))
-                    rows.append((doc.as_py(), comp.as_py(), len(u), g, low, len(first), False, keys.view(np.int64)))
-                    if len(first) <= differ:
-                        rows.append((doc.as_py(), comp.as_py(), len(u), g, low, len(first), True, np.array([g], np.int64)))
-            doc, comp, n, g, low, m, weak, keys = zip(*rows) if rows else ([],) * 8
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in (doc, comp, n, g)), pa.array(low, pa.bool_()), pa.array(m, pa.int64()), pa.array(weak, pa.bool_()), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))],
-                ["doc_id", "comp", "n", "g", "low", "m", "weak", "keys"],
-            )
+            if not batch.num_rows:
+                continue
+            held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
+            t = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            same = (t["key"] == t["key"][-1]) & (t["x"] == t["x"][-1]) & (t["y"] == t["y"][-1])
+            cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0  # the last block may go on
+            if cut:
+                yield stars({c: v[:cut] for c, v in t.items()})
+            held = [{c: v[cut:] for c, v in t.items()}]
+        if held:
+            yield stars(held[0])
 
     return run
 
 
-def _left(docs: DataFrame, reps: DataFrame, comps: DataFrame | None, space: Workspace, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) across components that may be linked: no link is left out.
+def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the groups of a[k] and b[k]; every node's label is the smallest node of its group."""
+    while True:
+        x, y = label[a], label[b]
+        differ = x != y
+        if not differ.any():
+            return
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label[:] = label[label]
+
+
+def _overlaps(x: _Sets, y: _Sets) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y: products of 0/1 matrices over the values in both."""
+    out = np.zeros((len(x.n), len(y.n)), np.float32)
+    both = np.intersect1d(x.flat, y.flat)
+    sides = []
+    for s in (x, y):
+        at = np.minimum(np.searchsorted(both, s.flat), max(len(both) - 1, 0))
+        hit = np.flatnonzero(both[at] == s.flat) if len(both) else np.zeros(0, np.int64)
+        order = hit[np.argsort(at[hit], kind="stable")]
+        sides.append((at[order], s.owner[order], len(s.n)))
+    for low in range(0, len(both), COLUMNS):
+        m = []
+        for at, owner, size in sides:
+            a, b = np.searchsorted(at, (low, low + COLUMNS))
+            m.append(np.zeros((size, min(COLUMNS, len(both) - low)), np.float32))
+            m[-1][owner[a:b], at[a:b] - low] = 1
+        out += m[0] @ m[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def _linked(x: _Sets, y: _Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of x and sets of y in other components: signatures first, then full sets."""
+    one, two = ({"comp": s.comp, "n": s.n} | {c: s.sig[:, k] for k, c in enumerate(_SIG)} for s in (x, y))
+    may = _similar(one, np.s_[:, None], two, np.s_[None], percent)
+    r, c = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if np.count_nonzero(may) <= 4 * (len(r) + len(c)):
+        pairs = np.argwhere(may).reshape(-1, 2)
+        size = np.array([len(np.intersect1d(x.one(a), y.one(b), assume_unique=True)) for a, b in pairs.tolist()], np.int64)
+    else:
+        full = _overlaps(x.only(r), y.only(c))
+        pairs = np.argwhere(may[np.ix_(r, c)])
+        size = full[pairs[:, 0], pairs[:, 1]]
+        pairs = np.stack([r[pairs[:, 0]], c[pairs[:, 1]]], 1)
+    a, b = pairs[:, 0], pairs[:, 1]
+    good = 100 * size >= percent * (x.n[a] + y.n[b] - size)
+    return x.doc[a[good]], y.doc[b[good]]
+
+
+def _block(percent: int):
+    """One block: sets outside their family's main component (side) against sets of the family."""
+
+    def run(table: pa.Table) -> pa.Table:
+        release_worker()
+        table = table.combine_chunks()
+        side, doc, comp = (table.column(c).to_numpy() for c in ("side", "doc_id", "comp"))
+        vals = table.column("vals").combine_chunks()
+        n = np.diff(vals.offsets.to_numpy()).astype(np.int64)
+        sig = np.stack([table.column(c).to_numpy() for c in _SIG], 1)
+        every = _Sets(doc, comp, n, sig, vals.flatten().to_numpy())
+        a, b = _linked(every.only(np.flatnonzero(side)), every.only(np.flatnonzero(~side)), percent)
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return run
 
-    The values of a group are cut into more parts by hash range than a linked pair has
-    differences, so that one part that holds values is equal in both and its key shared; sets
-    with too few such parts share one key of their own. All pairs of a list are taken, of long
-    ones by blocks. Each of the larger number of parts that is not shared costs a difference, so
-    pairs that share too few are dropped for certain.
+
+def _closing(docs: DataFrame, entries: DataFrame, comps: DataFrame | None, space: Workspace, size: int, percent: int) -> DataFrame:
+    """All links between different components.
+
+    In lists across components, by blocks of bounded size, sets near in signature are merged to
+    stars; these make families of similar sets. In each family the sets outside its largest
+    component are compared with all of its sets, block by block. No pairs become rows on the way.
     """
-    ends = reps.select("doc_id", F.col("doc_id").alias("comp")) if comps is None else reps.select("doc_id").join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    whole = docs.where("doc_id is not null").join(ends.distinct(), "doc_id")
-    schema = "doc_id long, comp long, n long, g long, low boolean, m long, weak boolean, keys array<long>"
-    sets = space.save(whole.select("doc_id", "comp", "text").mapInArrow(_parts(size, percent), schema), "parts")
-    rows = sets.select("*", F.explode("keys").alias("key")).drop("keys")
-    for turn in range(PRUNED + 1):
-        if turn:  # sets with too few keys that a partner can share have no partner
-            most = f"(n + n * 100 div {percent}) * {100 - percent} div {100 + percent}"
-            enough = rows.groupBy("doc_id", "comp", "g", "n", "m").agg(F.sum(F.when(F.col("weak"), 0).otherwise(1)).alias("shared")).where(f"shared >= m - {most}")
-            rows = rows.drop("blocks").join(enough.select("doc_id", "g", "n", "m"), ["doc_id", "g", "n", "m"], "left_semi")
-        lists = rows.select("key", "comp").groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n_sets")).where("c1 <> c2")
-        lists = space.save(lists.select("key", F.ceil(F.col("n_sets") / BLOCK).alias("blocks")), "lists")
-        space.release()
-        rows = space.save(rows.join(F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists, "key"), "entries")
-    space.drop(sets)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    one = rows.select("key", "weak", F.col("own").alias("x"), every.alias("y"), F.col("doc_id").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("low").alias("al"), "g")
-    two = rows.select("key", every.alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"), F.col("m").alias("bm"), F.col("low").alias("bl"))
-    pairs = one.join(two, ["key", "x", "y"]).where(f"a < b and ac <> bc and (al or bl) and 100 * least(an, bn) >= {percent} * greatest(an, bn)")
-    shared = pairs.groupBy("a", "b", "g", "an", "bn", "am", "bm").agg(F.sum(F.when(F.col("weak"), 0).otherwise(1)).alias("shared"))
-    return shared.where(f"shared >= greatest(am, bm) - (an + bn) * {100 - percent} div {100 + percent}").select("a", "b").distinct()
+    cross = space.save(_across(_labelled(entries, comps)), "cross")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own")
+    lists = cross.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    dealt = cross.join(lists, "key").select(*cross.columns, own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    dealt = dealt.select("key", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"), "doc_id", "comp", "n", *_SIG)
+    stars = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_tied(percent), "a long, b long")
+    family = components(space.save(stars.distinct(), "similar"), space).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    sets = space.save(cross.select("doc_id", "comp", "n", *_SIG).distinct().join(family, "doc_id"), "families")
+    sizes = sets.groupBy("family", "comp").agg(F.count("*").alias("sets"), F.sum("n").alias("vals")).groupBy("family").agg(
+        F.max(F.struct("sets", "comp"))["comp"].alias("main"), F.sum("sets").alias("sets"), F.sum("vals").alias("vals"), (F.sum("sets") - F.max("sets")).alias("out_sets"), (F.sum("vals") - F.max(F.struct("sets", "comp", "vals"))["vals"]).alias("out_vals")
+    )
+    blocks = lambda sets, vals: F.greatest(F.ceil(F.col(sets) / BLOCK_SETS), F.ceil(F.col(vals) / BLOCK_VALUES)).cast("int")
+    sizes = sizes.where("out_sets > 0").withColumn("down", blocks("out_sets", "out_vals")).withColumn("across", blocks("sets", "vals"))
+    total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shares = 1 + max(total[0] // BLOCK_SETS, total[1] // BLOCK_VALUES)  # families of one block share blocks
+    sets = sets.join(sizes, "family").withColumn("block", F.when(F.col("down") * F.col("across") == 1, F.pmod(F.xxhash64("family"), F.lit(shares))).otherwise(F.col("family")))
+    part = lambda of, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    alone = (F.col("down") * F.col("across") == 1).alias("alone")
+    one = sets.where("comp <> main").select("doc_id", "comp", *_SIG, "block", alone, F.lit(True).alias("side"), part("down", 1).alias("i"), every("across").alias("j"))
+    two = sets.select("doc_id", "comp", *_SIG, "block", alone, F.lit(False).alias("side"), every("down").alias("i"), part("across", 2).alias("j"))
+    dealt = space.save(one.union(two), "blocks")
+    texts = docs.where("doc_id is not null").join(dealt.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    whole = texts.select("doc_id", "text").mapInArrow(_values(size), "doc_id long, vals array<long>")
+    return dealt.join(whole, "doc_id").groupBy("block", "alone", "i", "j").applyInArrow(_block(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents (doc_id, text) that links of similar word-shingle sets connect.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept. Two documents are
-    linked when 100 * |A and B| >= percent * |A or B| for their sets of `size`-word shingles.
-
-    Equal sets are folded first. Every set keeps the KEPT smallest values of one 64-bit hash. The
-    inverted lists are keyed on runs of neighbouring kept values: sets linked at exactly 80 % share
-    on average half of the first round's keys and miss all of them with a probability near 1e-5.
-    A list of any length is paired with two leaders, drawn by hash, so that work grows with the
-    number of entries and not with its square; in the first round one of the two is drawn alike in
-    all lists, so that the lists of one group propose fewer different pairs. Later rounds use longer runs, whose lists hold
-    closer sets, for the sets that have had a candidate, with lists in more than one component.
-    Pairs pass a length test and a 64-bit signature, the estimate from the union's sketch, and
-    then the exact comparison of full sets of whole texts.
+    linked when 100 * |A and B| >= percent * |A or B| for their sets of `size`-word shingles (64-bit
+    hashes of the words).
+
+    Equal sets are folded first. Every set keeps the KEPT smallest values of one 64-bit hash;
+    inverted lists are keyed on runs of RUN neighbouring kept values, and only lists of several
+    sets go on. Two linked sets share at least SHARED lists, so each set leaves out its longest
+    SHARED - 1 ones (as lists of common passages are). First a list of any length is paired with
+    one leader, drawn alike in all lists, so that work grows with the number of entries and not
+    with its square. Pairs pass a test of length and of a 256-bit signature, the estimate from
+    the union's sketch, and then the exact comparison of full sets of whole texts. Leaders only
+    make components large early: the closing pass
+    compares all sets that share a list across components, so no pair is left out for the lists'
+    length or the leaders drawn. It finds every link of sets of at most KEPT values and misses one
+    of larger sets at exactly 80 % with a probability under 1e-9 (fewer than SHARED common lists,
+    or signatures over BITS apart), above 80 % with a smaller one.
 
     Null or empty texts (and texts without words) have no set and stand alone; rows with a null
     doc_id stand alone under a null component; repeated rows fall in one class; extra columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. Different texts under one doc_id are different
+    documents, each with its own component, whose id is the smallest doc_id in it.
     """
     spark = docs.sparkSession
     ship(spark)
     space = Workspace(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = space.save(docs.mapInArrow(_sketch(size), "doc_id long, n long, d1 long, d2 long, sig long, kept array<long>"), "sketches")
+    numbered = renumbered(docs, space)
+    if numbered is not None:
+        out = near_duplicates(numbered.select(F.col("row_id").alias("doc_id"), "text"), size, percent).withColumnsRenamed({"doc_id": "row_id", "component_id": "node"})
+        out = space.save(out.where("row_id is not null").distinct().join(numbered.select("row_id", "doc_id", "times"), "row_id"), "groups")
+        least = out.groupBy("node").agg(F.min(F.struct("doc_id", "row_id")).alias("least"))
+        rows = out.join(least, "node").select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("row_id") == F.col("least.row_id")).alias("kept"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("k")).drop("k")
+        alone = docs.where("doc_id is null")
+        return rows.union(near_duplicates(alone, size, percent))
+    made = space.save(docs.mapInArrow(_sketch(size), f"doc_id long, n long, d1 long, d2 long, {', '.join(f'{c} long' for c in _SIG)}, kept array<long>"), "sketches")
     same = ["n", "d1", "d2"]
     classes = made.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    reps = space.save(made.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", *same]).select("doc_id", "n", "sig", "kept"), "classes")
-    links, comps, tested, texts, active = None, None, None, None, None
-    for r, (runs, listed) in enumerate(ROUNDS):
-        rows = reps if active is None else _labelled(reps.join(active, "doc_id", "left_semi"), comps)
-        extra = [c for c in rows.columns if c == "comp"]
-        rows = rows.select("doc_id", "n", "sig", *extra, F.explode(_keys(runs, listed)).alias("key"))
-        lead = F.struct(F.xxhash64("key", "doc_id", F.lit(r)).alias("h"), "doc_id", "n", "sig")
-        # one leader that is the same wherever it can be, so that lists of one group agree on it; one of the list's own
-        common = lead if r else F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n", "sig")
-        several = F.count("*") > 1 if not extra else F.min("comp") != F.max("comp")
-        lists = rows.groupBy("key").agg(several.alias("several"), F.min(common).alias("l1"), F.max(lead).alias("l2")).where("several").select("key", F.explode(F.array("l1", "l2")).alias("l"))
-        lists = lists.select("key", F.col("l.doc_id").alias("b"), F.col("l.n").alias("bn"), F.col("l.sig").alias("bsig"))
-        joined = rows.join(lists, "key")
-        pairs = joined.where(f"doc_id <> b and bit_count(sig ^ bsig) <= {BITS} and 100 * least(n, bn) >= {percent} * greatest(n, bn)").groupBy(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).agg(F.count("*").alias("shared"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = space.save(_estimated(_across(pairs, comps), reps).select("a", "b", "shared"), "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        if texts is not None:
-            ids = ids.join(texts, "doc_id", "left_anti")
-        files = 1 + pairs.count() // LINKS_A_FILE
-        new = space.save(docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        texts = new if texts is None else texts.union(new)
-        active = texts.select("doc_id")
-        for first in (True, False) if r == 0 else (False,):
-            todo = _across(pairs, comps)
-            if first:
-                todo = todo.withColumn("rank", F.row_number().over(_by_a())).where(f"rank <= {FIRST}")
-            elif tested is not None:
-                todo = todo.join(tested, ["a", "b"], "left_anti")
-            tried = space.save(todo.select("a", "b").coalesce(files), "tried")
-            tested = tried if tested is None else tested.union(tried)
-            with_a = tried.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-            whole = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b").select("a", "a_text", "b", "b_text")
-            good = space.save(whole.mapInArrow(_exact(size, percent), "a long, b long"), "links")
-            if not good.isEmpty():
-                links = good if links is None else links.union(good)
-                comps = space.save(components(links, space), "components")
-        if comps is None:
-            break
+    reps = space.save(made.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", *same]).select("doc_id", "n", *_SIG, "kept"), "classes")
+    rows = reps.select("doc_id", "n", *_SIG, F.explode(_keys()).alias("key"))
+    several = space.save(rows.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "lists")
+    hottest = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("sets"), "key"))
+    spare = F.least(F.lit(SHARED), F.floor(0.6 * F.col("n")) - 1) - 1
+    entries = space.save(rows.join(several, "key").withColumn("rank", hottest).where(F.col("rank") > spare).drop("rank", "sets"), "entries")
+    pairs = space.save(_estimated(_candidates(entries, percent), reps), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = space.save(docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    todo = pairs.coalesce(1 + pairs.count() // LINKS_A_FILE)
+    for c in ("a", "b"):
+        todo = todo.join(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text")), c)
+    links, comps = _joined(None, None, todo.select("a", "a_text", "b", "b_text").mapInArrow(_exact(size, percent), "a long, b long"), space)
     space.release()
-    todo = _left(docs, reps, comps, space, size, percent)
-    if tested is not None:
-        todo = todo.join(tested, ["a", "b"], "left_anti")
-    todo = space.save(todo, "left")
-    n_left = todo.count()
-    if n_left:
-        todo = todo.coalesce(1 + n_left // LINKS_A_FILE)
-        text = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-        for c in ("a", "b"):
-            todo = todo.join(text.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text")), c)
-        good = space.save(todo.select("a", "a_text", "b", "b_text").mapInArrow(_exact(size, percent), "a long, b long"), "links")
-        if not good.isEmpty():
-            links = good if links is None else links.union(good)
-            comps = space.save(components(links, space), "components")
+    links, comps = _joined(links, comps, _closing(docs, entries, comps, space, size, percent), space)
     out = made.join(classes, same, "left")
     if comps is not None:
         out = out.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
     comp = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
-
-
-def _by_a():
-    from pyspark.sql import Window
+    return space.close(out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept")))
 
-    return Window.partitionBy("a").orderBy(F.desc("shared"), "b")
 
+def renumbered(docs: DataFrame, space: Workspace) -> DataFrame | None:
+    """Where one doc_id stands on different texts: (row_id, doc_id, text, times), one row for each text of an id.
 
-def _labelled(live: DataFrame, comps: DataFrame) -> DataFrame:
-    return live.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n", "sig", "kept", F.coalesce("component", "doc_id").alias("comp"))
+    The smallest hash of an id's texts keeps the id as row_id, the others get numbers after the largest id. None
+    where each id has one text; rows with a null doc_id are left out.
+    """
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"))
+    reused = texts.groupBy("doc_id").agg(F.min("th").alias("own"), F.max("th").alias("last")).where("own <> last")
+    if reused.isEmpty():
+        return None
+    after = texts.agg(F.max("doc_id")).first()[0] + 1
+    others = texts.distinct().join(reused.select("doc_id", "own"), "doc_id").where("th <> own")
+    others = space.save(others.select("doc_id", "th", (F.monotonically_increasing_id() + after).alias("row_id")), "others")
+    one = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias("th")).agg(F.first("text").alias("text"), F.count("*").alias("times"))
+    return space.save(one.join(others, ["doc_id", "th"], "left").select(F.coalesce("row_id", "doc_id").alias("row_id"), "doc_id", "text", "times"), "numbered")
+
+
+def _joined(links: DataFrame | None, comps: DataFrame | None, found: DataFrame, space: Workspace) -> tuple[DataFrame | None, DataFrame | None]:
+    """All links with those that were found, and their components."""
+    found = space.save(found, "links")
+    if found.isEmpty():
+        return links, comps
+    links = found if links is None else links.union(found)
+    return links, space.save(components(links, space), "components")
+
+
+def _candidates(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each entry with its list's leader, where they may be linked."""
+    lists = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n", *_SIG)).alias("l"))
+    lists = lists.select("key", F.col("l.doc_id").alias("b"), F.col("l.n").alias("bn"), *(F.col(f"l.{c}").alias(f"b{c}") for c in _SIG))
+    bits = " + ".join(f"bit_count({c} ^ b{c})" for c in _SIG)
+    joined = entries.join(lists, "key").where(f"doc_id <> b and {bits} <= least({BITS}, (n + bn) * {100 - percent} div {100 + percent}) and 100 * least(n, bn) >= {percent} * greatest(n, bn)")
+    return joined.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+
+
+def _labelled(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
+    if comps is None:
+        return entries.withColumn("comp", F.col("doc_id"))
+    return entries.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
 
 
-def _across(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    if comps is None:
-        return pairs
-    for c in ("a", "b"):
-        pairs = pairs.join(comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp")), c, "left")
-    return pairs.where("coalesce(a_comp, a) <> coalesce(b_comp, b)").drop("a_comp", "b_comp")
+def _across(entries: DataFrame) -> DataFrame:
+    """Entries of lists with several components."""
+    lists = entries.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
+    return entries.join(lists, "key")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -286,4 +383,4 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         pairs = pairs.join(reps.select(F.col("doc_id").alias(c), F.col("kept").alias(f"{c}_kept")), c)
     low = F.expr(f"slice(array_sort(array_union(a_kept, b_kept)), 1, {KEPT})")
     both = F.size(F.array_intersect(F.array_intersect("a_kept", "b_kept"), low))
-    return pairs.where(both >= F.lit(LEAST) * F.size(low))
+    return pairs.where(both >= F.lit(LEAST) * F.size(low)).select("a", "b")

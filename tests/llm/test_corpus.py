@@ -89,6 +89,45 @@ def test_near_duplicates_of_a_loose_template(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_of_one_large_group(spark, seed):
+    rng = random.Random(seed)
+    base, rows, sets = [f"b{k}" for k in range(200)], [], []
+    for i in range(1200):
+        w = list(base)
+        for k in rng.sample(range(200), rng.randint(1, 14)):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+        sets.append(set(zip(w, w[1:])))
+    column = {v: k for k, v in enumerate(set().union(*sets))}
+    m = np.zeros((len(sets), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [column[v] for v in s]] = 1
+    both, n = (m @ m.T).astype(int), m.sum(1).astype(int)
+    linked = 100 * both >= 80 * (n[:, None] + n[None] - both)
+    label = np.arange(len(sets))
+    while (label != (label := np.array([label[linked[i]].min() for i in range(len(sets))]))).any():
+        pass
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label.tolist()))
+    assert len(set(label.tolist())) > 50
+
+
+def test_near_duplicates_of_reused_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a), (5, a + " more"), (5, b), (5, b), (9, b + " more"), (2, c), (None, a), (7, None), (7, c + " more")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=2).collect()
+    expected = [(3, 59, 3, True), (5, 60, 3, False), (5, 59, 5, True), (5, 59, 5, True), (9, 60, 5, False), (2, 59, 2, True), (None, 59, None, True), (7, 0, 7, True), (7, 60, 2, False)]
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+
+
+def test_popcount_of_signatures_is_of_all_bits():
+    from lodestone.llm.near_duplicates import _SIG, _similar
+
+    side = {c: np.array([-1, 0], np.int64) for c in _SIG} | {"n": np.array([9000, 9000]), "comp": np.array([1, 2])}
+    assert _similar(side, np.array([0]), side, np.array([1]), 80).tolist() == [False]
+
+
 def test_near_dedup_keeps_other_texts_of_a_reused_id(spark):
     from corpus_pipeline import near_dedup
 
