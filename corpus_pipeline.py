@@ -74,5 +74,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = space.save(stage(spark, docs, sf_dir), name)
-        space.release()
     return STAGES[-1][1](spark, docs, sf_dir)
