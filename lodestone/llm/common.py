@@ -41,15 +41,20 @@ def let(value: Column, body) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where it is unset (as in tests) a folder of this process is made and set.
+    Only where it is unset in a local session (as in tests) a folder of this process is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Tables in the shared folder, which cut lineage and survive lost executors."""
 
@@ -61,14 +66,14 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")  # the table is what is read from now on, so its shuffle files go at once
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Let the driver's collector find the finished jobs, whose shuffle files then go."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, df: DataFrame) -> None:
         """Delete the tables of this workspace that `df` reads; nothing else may read them."""
         self._delete({uri for uri in _folders(df) if uri.startswith(f"{self.root}/")})
@@ -94,7 +99,8 @@ def _folders(df: DataFrame) -> set[str]:
 
 
 def release_worker() -> None:
-    """Give back what tasks of other operators left in this reused Python worker."""
+    """Give back what tasks of other operators left in this reused Python worker, to the system too: a cluster
+    stops an executor by its resident memory."""
     held = sys.modules.get(f"{__package__}.tokens")
     if held:
         held.release()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Workspace, release_worker, ship
-from lodestone.llm.components import LINKS_A_FILE, components
+from lodestone.llm.components import LINKS_A_FILE, components, union
 from lodestone.llm.hashing import shingles
 
 #: Values kept of each set, and neighbouring kept values that make an inverted list's key.
@@ -21,8 +21,12 @@ BITS = 64
 LEAST = 0.5
 #: Sets that a task keeps while it verifies pairs.
 CACHED = 1000
-#: Entries of one list, and sets and values of sets on either side, in one block of the closing pass.
+#: Entries of one list in one block of the closing pass.
+BLOCK_ENTRIES = 4000
+#: Sets, and values of sets, on either side of one block of its exact comparison.
 BLOCK_SETS, BLOCK_VALUES = 1000, 400_000
+#: Rows of a counted table that may be broadcast; with more its joins shuffle.
+BROADCAST_ROWS = 1_000_000
 _SIG = ["s0", "s1", "s2", "s3"]
 #: Values that are columns of one matrix product.
 COLUMNS = 4096
@@ -139,7 +143,7 @@ def _tied(percent: int):
         while len(at):
             hit = at[_similar(t, at, t, at + d, percent)]
             if len(hit):
-                _union(label, node[hit], node[hit + d])
+                union(label, node[hit], node[hit + d])
             d += 1
             at = at[after[at] >= d]
         moved = np.flatnonzero(label != np.arange(len(docs)))
@@ -164,19 +168,6 @@ def _tied(percent: int):
     return run
 
 
-def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the groups of a[k] and b[k]; every node's label is the smallest node of its group."""
-    while True:
-        x, y = label[a], label[b]
-        differ = x != y
-        if not differ.any():
-            return
-        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while (label != label[label]).any():
-            label[:] = label[label]
-
-
 def _overlaps(x: _Sets, y: _Sets) -> np.ndarray:
     """Sizes of the intersections of all sets of x with all of y: products of 0/1 matrices over the values in both."""
     out = np.zeros((len(x.n), len(y.n)), np.float32)
@@ -198,7 +189,7 @@ def _overlaps(x: _Sets, y: _Sets) -> np.ndarray:
 
 
 def _linked(x: _Sets, y: _Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between sets of x and sets of y in other components: signatures first, then full sets."""
+    """Links between sets of x and sets of y in other components, one for each set and component: signatures first, then full sets."""
     one, two = ({"comp": s.comp, "n": s.n} | {c: s.sig[:, k] for k, c in enumerate(_SIG)} for s in (x, y))
     may = _similar(one, np.s_[:, None], two, np.s_[None], percent)
     r, c = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
@@ -212,7 +203,9 @@ def _linked(x: _Sets, y: _Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
         pairs = np.stack([r[pairs[:, 0]], c[pairs[:, 1]]], 1)
     a, b = pairs[:, 0], pairs[:, 1]
     good = 100 * size >= percent * (x.n[a] + y.n[b] - size)
-    return x.doc[a[good]], y.doc[b[good]]
+    a, b = a[good], b[good]
+    first = np.unique(np.stack([a, y.comp[b]], 1), axis=0, return_index=True)[1]  # one link to each component
+    return x.doc[a[first]], y.doc[b[first]]
 
 
 def _block(percent: int):
@@ -241,7 +234,7 @@ def _closing(docs: DataFrame, entries: DataFrame, comps: DataFrame | None, space
     """
     cross = space.save(_across(_labelled(entries, comps)), "cross")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own")
-    lists = cross.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    lists = cross.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ENTRIES).cast("int").alias("blocks"))
     dealt = cross.join(lists, "key").select(*cross.columns, own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
     dealt = dealt.select("key", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"), "doc_id", "comp", "n", *_SIG)
     stars = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_tied(percent), "a long, b long")
@@ -261,7 +254,7 @@ def _closing(docs: DataFrame, entries: DataFrame, comps: DataFrame | None, space
     one = sets.where("comp <> main").select("doc_id", "comp", *_SIG, "block", alone, F.lit(True).alias("side"), part("down", 1).alias("i"), every("across").alias("j"))
     two = sets.select("doc_id", "comp", *_SIG, "block", alone, F.lit(False).alias("side"), every("down").alias("i"), part("across", 2).alias("j"))
     dealt = space.save(one.union(two), "blocks")
-    texts = docs.where("doc_id is not null").join(dealt.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.where("doc_id is not null").join(_fit(sets.select("doc_id").distinct(), total[0]), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     whole = texts.select("doc_id", "text").mapInArrow(_values(size), "doc_id long, vals array<long>")
     return dealt.join(whole, "doc_id").groupBy("block", "alone", "i", "j").applyInArrow(_block(percent), "a long, b long").distinct()
 
@@ -305,25 +298,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return rows.union(near_duplicates(alone, size, percent))
     made = space.save(docs.mapInArrow(_sketch(size), f"doc_id long, n long, d1 long, d2 long, {', '.join(f'{c} long' for c in _SIG)}, kept array<long>"), "sketches")
     same = ["n", "d1", "d2"]
-    classes = made.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    reps = space.save(made.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", *same]).select("doc_id", "n", *_SIG, "kept"), "classes")
-    rows = reps.select("doc_id", "n", *_SIG, F.explode(_keys()).alias("key"))
+    copies = made.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    copies = space.save(copies, "copies")
+    made = made.join(_fit(copies, copies.count()), same, "left")
+    sets = made.where("n > 0 and doc_id is not null").select("doc_id", "n", *_SIG, "kept", "rep")
+    reps = space.save(sets.where("rep is null").union(sets.where("doc_id = rep").dropDuplicates(["doc_id"])).drop("rep"), "sets")
+    rows = reps.select("doc_id", F.explode(_keys()).alias("key"))
     several = space.save(rows.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "lists")
     hottest = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("sets"), "key"))
     spare = F.least(F.lit(SHARED), F.floor(0.6 * F.col("n")) - 1) - 1
-    entries = space.save(rows.join(several, "key").withColumn("rank", hottest).where(F.col("rank") > spare).drop("rank", "sets"), "entries")
-    pairs = space.save(_estimated(_candidates(entries, percent), reps), "pairs")
+    listed = rows.join(_fit(several, several.count()), "key").join(reps.select("doc_id", "n", *_SIG), "doc_id")
+    entries = space.save(listed.withColumn("rank", hottest).where(F.col("rank") > spare).drop("rank", "sets"), "entries")
+    pairs = space.save(_candidates(entries, percent), "pairs")
+    n_pairs = pairs.count()
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = _fit(ids, 2 * n_pairs)
     texts = space.save(docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    todo = pairs.coalesce(1 + pairs.count() // LINKS_A_FILE)
+    todo = _estimated(pairs, reps.join(ids, "doc_id", "left_semi")).coalesce(1 + n_pairs // LINKS_A_FILE)
     for c in ("a", "b"):
         todo = todo.join(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text")), c)
     links, comps = _joined(None, None, todo.select("a", "a_text", "b", "b_text").mapInArrow(_exact(size, percent), "a long, b long"), space)
-    space.release()
     links, comps = _joined(links, comps, _closing(docs, entries, comps, space, size, percent), space)
-    out = made.join(classes, same, "left")
+    out = made.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
     if comps is not None:
-        out = out.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        out = out.join(_fit(comps.select(F.col("node").alias("rep"), "component"), comps.count()), "rep", "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
     comp = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "rep", "doc_id"))
@@ -368,7 +366,12 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
 def _labelled(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
         return entries.withColumn("comp", F.col("doc_id"))
-    return entries.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    return entries.join(_fit(comps.select(F.col("node").alias("doc_id"), "component"), comps.count()), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+
+
+def _fit(df: DataFrame, rows: int) -> DataFrame:
+    """`df` for a join: broadcast if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _across(entries: DataFrame) -> DataFrame:
