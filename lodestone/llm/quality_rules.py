@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import WORD, Workspace, let, words
 
-#: Buckets of hashed unigrams and bigrams: the size of the model.
-BUCKETS = 1 << 16
+#: Buckets of hashed unigrams, and of hashed bigrams: the size of the model.
+BUCKETS = (1 << 18, 1 << 16)
 #: Bound of the sample of trusted documents that the target multinomial is fitted on.
 TARGET_DOCS = 20_000
 #: Added to every bucket's count.
@@ -17,14 +17,17 @@ PRIOR = 1.0
 UNIT = 1_000_000
 #: Documents whose mean log ratio is below this are not kept.
 THRESHOLD = -0.6
+#: Nor are those with a unigram whose log ratio is below this: one that is 27 times rarer in the target than in the
+#: raw corpus, with at least so many expected, as terms of abuse are.
+PEAK = -3.3
 SYMBOLS = "#*$%&|<>"
 _FEATURE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 
-def features(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the unigrams and bigrams of letter runs and punctuation runs."""
+def features(text: Column, buckets: tuple[int, int] = BUCKETS) -> Column:
+    """Buckets of the unigrams (u) and, after those, bigrams (b) of letter runs and punctuation runs."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_FEATURE), F.lit(0))
-    return let(hashes(tokens), lambda h: F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(buckets))), pairs(h, buckets)))
+    return let(hashes(tokens), lambda h: F.struct(F.transform(h, lambda x: F.pmod(x, F.lit(buckets[0]))).alias("u"), pairs(h, buckets).alias("b")))
 
 
 def hashes(tokens: Column) -> Column:
@@ -32,25 +35,32 @@ def hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.hash(t))
 
 
-def pairs(h: Column, buckets: int) -> Column:
+def pairs(h: Column, buckets: tuple[int, int]) -> Column:
     n = F.greatest(F.size(h) - 1, F.lit(0))
-    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.pmod(F.hash(a, b), F.lit(buckets)))
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.pmod(F.hash(a, b), F.lit(buckets[1])) + buckets[0])
 
 
-def model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> DataFrame:
+def model(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int] = BUCKETS, target_docs: int = TARGET_DOCS) -> DataFrame:
     """One row: array of the buckets' log ratios of target and raw corpus, in millionths.
 
-    The raw multinomial counts all documents. The target's counts those whose doc_id is in
-    `trusted`, of which at most `target_docs` are taken, by a hash of the id. Buckets are counted
-    before the shuffle, so it carries at most `buckets` rows a task.
+    Unigrams and bigrams have a pair of multinomials each, so that no bigram hides a rare word.
+
+    The raw multinomial counts all documents, each bucket once a document, so that one text's
+    repeats are no evidence. The target's counts those whose doc_id is in `trusted`, of which at
+    most `target_docs` are taken, by a hash of the id. Buckets are counted before the shuffle, so
+    it carries at most as many rows a task as there are buckets.
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).withColumn("target", F.lit(1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), features(F.col("text").cast("string"), buckets).alias("f")).join(F.broadcast(ids), "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(features(F.col("text").cast("string"), buckets), lambda f: F.array_distinct(F.concat(f["u"], f["b"]))).alias("f")).join(F.broadcast(ids), "doc_id", "left")
     counts = rows.select(F.coalesce("target", F.lit(0)).alias("target"), F.explode("f").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
-    cells = every.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"), F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("cells"))
-    p = lambda n, of: (n + F.lit(PRIOR)) / (of + F.lit(PRIOR * buckets))
-    ratio = lambda c: F.when(F.col("n_target") == 0, F.lit(0.0)).otherwise(F.log(p(c["target"], F.col("n_target"))) - F.log(p(c["raw"], F.col("n_raw"))))
+    every = docs.sparkSession.range(sum(buckets)).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
+    uni = F.col("bucket") < buckets[0]
+    of = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    totals = [of(c, w).alias(f"{c}_{k}") for c in ("raw", "target") for k, w in (("u", uni), ("b", ~uni))]
+    cells = every.agg(*totals, F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("cells"))
+    p = lambda n, of, size: (n + F.lit(PRIOR)) / (F.col(of) + F.lit(PRIOR * size))
+    log = lambda c, k, size: F.when(F.col(f"target_{k}") == 0, F.lit(0.0)).otherwise(F.log(p(c["target"], f"target_{k}", size)) - F.log(p(c["raw"], f"raw_{k}", size)))
+    ratio = lambda c: F.when(c["bucket"] < buckets[0], log(c, "u", buckets[0])).otherwise(log(c, "b", buckets[1]))
     return cells.select(F.transform("cells", lambda c: F.round(ratio(c) * UNIT).cast("long")).alias("ratios"))
 
 
@@ -82,12 +92,13 @@ def base_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, peak: float = PEAK, buckets: tuple[int, int] = BUCKETS, target_docs: int = TARGET_DOCS) -> DataFrame:
     """Base counts and verdict of each document (doc_id, text), by column functions only.
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows. Others are
-    kept if the mean log ratio of their hashed unigrams and bigrams is at least `threshold`; the
-    sums are of whole numbers, so the verdict is the same for any partitioning.
+    kept if the mean log ratio of their hashed unigrams and bigrams is at least `threshold` and the
+    least one of a unigram at least `peak`, which a long text cannot even out; the ratios are
+    whole numbers, so the verdict is the same for any partitioning.
 
     Null texts have no words. Without trusted documents every ratio is 0. Repeated rows are judged
     each; extra columns are ignored; an empty table gives no rows. The model is bounded by
@@ -97,10 +108,12 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, b
     fitted = space.save(model(docs, trusted, buckets, target_docs), "model")
     text = F.col("text").cast("string")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("ratios", fitted.select("ratios").scalar())
-    total = lambda buckets: F.aggregate(buckets, F.lit(0).cast("long"), lambda s, b: s + F.get(F.col("ratios"), b))
-    llr = let(features(text, buckets), lambda f: F.struct(F.size(f).alias("n"), total(f).alias("sum")))
+    of = lambda places: F.transform(places, lambda b: F.get(F.col("ratios"), b))
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + v)
+    both = lambda f: F.struct(of(f["u"]).alias("u"), of(f["b"]).alias("b"))
+    llr = let(let(features(text, buckets), both), lambda r: F.struct((F.size(r["u"]) + F.size(r["b"])).alias("n"), (total(r["u"]) + total(r["b"])).alias("sum"), F.coalesce(F.array_min(r["u"]), F.lit(0).cast("long")).alias("least")))
     base = base_counts(text)
     out = out.select("doc_id", base["counted"].alias("c"), base["n_symbols"].alias("n_symbols"), base["n_dup_lines"].alias("n_dup_lines"), llr.alias("llr"))
     failed = (F.col("c.n") < 50) | (100 * F.col("c.r") > 50 * F.col("c.n"))
-    good = F.col("llr.sum") >= F.lit(round(threshold * UNIT)).cast("long") * F.col("llr.n")
-    return out.select("doc_id", F.col("c.n").alias("n_words"), F.col("c.chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("c.r").alias("n_repeat_words"), failed.alias("base_failed"), (~failed & good).alias("kept"), F.col("llr.sum").alias("llr_sum"), F.col("llr.n").cast("long").alias("n_features"))
+    good = (F.col("llr.sum") >= F.lit(round(threshold * UNIT)).cast("long") * F.col("llr.n")) & (F.col("llr.least") >= F.lit(round(peak * UNIT)).cast("long"))
+    return out.select("doc_id", F.col("c.n").alias("n_words"), F.col("c.chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("c.r").alias("n_repeat_words"), failed.alias("base_failed"), (~failed & good).alias("kept"), F.col("llr.sum").alias("llr_sum"), F.col("llr.n").cast("long").alias("n_features"), F.col("llr.least").alias("llr_least"))
