@@ -11,7 +11,7 @@ FIRST_DAY, DAYS, DAY_A, DAY_B = "1900-01-01", 73049, 271, 270
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "secret": r"(?<=\b(?:token|secret|password|passwd|api_key|apikey|api-key)\s{0,3}[=:]\s{0,3}[\"']{0,1})[A-Za-z0-9_\-]{16,}",
+    "secret": r"(?<=\b(?i:token|secret|password|passwd|api_key|apikey|api-key)\s{0,3}[=:]\s{0,3}[\"']{0,1})[A-Za-z0-9_\-]{16,}",
     "email": r"(?<![\p{L}\p{N}._+\-])[\p{L}\p{N}._+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)",
@@ -20,8 +20,9 @@ PATTERNS = {
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
 }
 #: What a text must have for any pattern to match.
-_ANY = r"[0-9@]|token|secret|passw|api[_-]?key"
-_ALL = "|".join(PATTERNS.values())
+_ANY = r"[0-9@]|(?i:token|secret|passw|api[_-]?key)"
+#: All patterns; group 1 is a secret, which its context tells and not its characters.
+_ALL = "|".join(f"({v})" if k == "secret" else v for k, v in PATTERNS.items())
 
 
 def _q(text: str) -> str:
@@ -38,8 +39,12 @@ def _feistel(key: str, tag: str, left: str, right: str, a: str, b: str) -> str:
     )
 
 
-def _walked(key: str, tag: str, left: str, right: str, a: str, b: str, inside, steps: int = 60) -> str:
-    """Cycle-walking: permute until the value is inside again; inside is SQL over a struct."""
+def _walked(key: str, tag: str, left: str, right: str, a: str, b: str, inside, steps: int = 200) -> str:
+    """Cycle-walking: permute until the value is inside again; inside is SQL over a struct.
+
+    At least a third of each domain used here is inside, so `steps` are too few with a
+    probability under 1e-35; a value that is found earlier stays as it is.
+    """
     step = _feistel(key, tag, "w.l", "w.r", a, b)
     start = f"named_struct('v', named_struct('l', cast({left} as bigint), 'r', cast({right} as bigint)), 'done', false)"
     again = f"transform(array(w0.v), w -> {step})[0]"
@@ -106,15 +111,21 @@ def _ip(key: str) -> str:
 
 
 def _date(key: str) -> str:
-    """A valid day of 1900 to 2099 becomes another; day/month or month/day: the first that is valid."""
+    """A valid day of 1900 to 2099 becomes another in its format.
+
+    With slashes a date that can be day/month is, and those that can only be month/day stay such
+    ones, so that no two dates of one text form come out equal.
+    """
 
-    def of(fmt: str, otherwise: str) -> str:
+    def of(fmt: str, otherwise: str, only_month_first: bool = False) -> str:
         n = f"datediff(x, date'{FIRST_DAY}')"
-        walked = _walked(key, "date", "n div " + str(DAY_B), "n % " + str(DAY_B), str(DAY_A), str(DAY_B), lambda v: f"{v}.l * {DAY_B} + {v}.r < {DAYS}")
-        made = _bind(walked, "v", f"date_format(date_add(date'{FIRST_DAY}', cast(v.l * {DAY_B} + v.r as int)), '{fmt}')")
+        day = lambda v: f"date_add(date'{FIRST_DAY}', cast({v}.l * {DAY_B} + {v}.r as int))"
+        inside = lambda v: f"({v}.l * {DAY_B} + {v}.r < {DAYS}" + (f" and day({day(v)}) > 12)" if only_month_first else ")")
+        walked = _walked(key, "date", "n div " + str(DAY_B), "n % " + str(DAY_B), str(DAY_A), str(DAY_B), inside)
+        made = _bind(walked, "v", f"date_format({day('v')}, '{fmt}')")
         return _bind(f"cast(try_to_timestamp(m, '{fmt}') as date)", "x", f"if(x is null, {otherwise}, {_bind(n, 'n', f'if(n >= 0 and n < {DAYS}, {made}, m)')})")
 
-    return f"if(m like '%-%', {of('yyyy-MM-dd', 'm')}, {of('dd/MM/yyyy', of('MM/dd/yyyy', 'm'))})"
+    return f"if(m like '%-%', {of('yyyy-MM-dd', 'm')}, {of('dd/MM/yyyy', of('MM/dd/yyyy', 'm', True))})"
 
 
 def _email(key: str) -> str:
@@ -127,10 +138,11 @@ def _secret(key: str) -> str:
     return f"rpad(sha2(concat({_q(key + '|secret|')}, m), 256), length(m), sha2(concat({_q(key + '|secret2|')}, m), 256))"
 
 
-def kind_of(m: str) -> str:
-    """SQL: which pattern a match is of."""
+def kind_of(m: str, secret: str) -> str:
+    """SQL: which pattern a match is of; `secret` is its first group."""
     full = lambda name: f"{m} rlike {_q('^(?:' + PATTERNS[name] + ')$')}"
-    return f"case when {full('email')} then 'email' when {full('ip')} then 'ip' when {full('ssn')} then 'ssn' when {full('date')} then 'date' when {full('phone')} then 'phone' when {full('card')} then 'card' else 'secret' end"
+    others = "email ip ssn date phone".split()
+    return f"case when {secret} <> '' then 'secret' " + " ".join(f"when {full(k)} then '{k}'" for k in others) + " else 'card' end"
 
 
 def pseudonym(key: str) -> str:
@@ -144,23 +156,31 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
 
     Card numbers with a right check digit, phone numbers, IPv4 addresses, social security numbers
     and dates are permuted by Feistel networks within their format (cycle-walking keeps them
-    valid), so equal values stay equal over all documents and different ones different. E-mail
-    addresses and secrets after a name such as `token =` become keyed digests. Numbers that do not
-    validate stay. Adds n_pii, the number of replaced values; all other columns stay.
+    valid), so equal values stay equal over all documents and different ones of a format
+    different. E-mail addresses, and secrets after a name such as `token =` in any case, of
+    digits only, too, become keyed digests. Numbers that do not validate stay. Adds n_pii, the
+    number of replaced values; all other columns stay.
 
     Null texts stay null with 0; empty texts stay empty; rows are treated one by one, so ties,
     repeated rows and hot values move nothing; no shuffle at all. An older n_pii column is replaced.
     """
+    found, new = (_unused(docs, name) for name in ("found", "new"))
     text = F.col(column).cast("string")
     gaps = F.split(text, _ALL, -1)
-    found = F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))
-
-    has = text.rlike(_ANY)
-    none = F.array().cast("array<string>")
-    out = docs.drop("n_pii").withColumn("__found", F.when(has, found).otherwise(none))
-    new = F.expr(f"transform(transform(__found, m -> named_struct('m', m, 'kind', {kind_of('m')})), t -> {_bind('t.m', 'm', _bind('t.kind', 'kind', pseudonym(key)))})")
-    out = out.withColumn("__new", new)
-    joined = F.array_join(F.flatten(F.zip_with(gaps, "__new", lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
-    count = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x)).cast("long")
-    made = out.withColumn("n_pii", F.coalesce(count, F.lit(0).cast("long"))).withColumn(column, F.when(F.size("__found") > 0, joined).otherwise(text))
-    return made.drop("__found", "__new")
+    matches = F.arrays_zip(F.regexp_extract_all(text, F.lit(_ALL), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(_ALL), F.lit(1)).alias("s"))
+
+    none = F.array().cast("array<struct<m:string,s:string>>")
+    out = docs.drop("n_pii").withColumn(found, F.when(text.rlike(_ANY), matches).otherwise(none))
+    made = F.expr(f"transform(transform(`{found}`, x -> named_struct('m', x.m, 'kind', {kind_of('x.m', 'x.s')})), t -> {_bind('t.m', 'm', _bind('t.kind', 'kind', pseudonym(key)))})")
+    out = out.withColumn(new, made)
+    joined = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
+    count = F.size(F.filter(F.zip_with(found, new, lambda a, b: a["m"] != b), lambda x: x)).cast("long")
+    done = out.withColumn("n_pii", F.coalesce(count, F.lit(0).cast("long"))).withColumn(column, F.when(F.size(found) > 0, joined).otherwise(text))
+    return done.drop(found, new)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` does not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
