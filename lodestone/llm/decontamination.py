@@ -14,8 +14,9 @@ MASKS = ((0, 3, 6), (0, 4, 9), (0, 1, 2))
 SHORT_MASKS = (*MASKS, (0, 1))
 #: Tokens that a verified overlap has, or all of a shorter item; the share that must be equal.
 OVERLAP, SHARE = 20, 0.8
-#: Items with fewer tokens than a mask spans are no evidence.
-MIN_TOKENS = 8
+#: Items with fewer tokens, which masks cannot hold, are found by an exact join of all their tokens: one changed word
+#: in so short a phrase makes another phrase.
+MASK_TOKENS = 8
 #: Hashes and items of the benchmark that may be broadcast; with more the joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -44,45 +45,69 @@ def seeds(hashes: Column, masks: tuple[tuple[int, ...], ...] = SHORT_MASKS) -> C
     return let(let(hashes, pairs), masked)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Pairs (doc_id, item_id) of documents that hold a benchmark passage, substitutions allowed.
+def runs(hashes: Column, lengths: list[int]) -> Column:
+    """Array of (key, at) of all runs of these numbers of tokens."""
 
-    Fixed masks pick token pairs and ignore the tokens between; hashes of the picked tokens of the
-    items (item_id, text) are joined with those of the documents (doc_id, text). A hit fixes how
-    item and document lie against each other; the overlap around it is verified on all tokens: in
-    some window of `overlap` neighbouring tokens (the whole item if it is shorter) at least `share`
-    must be equal. Returns doc_id, item_id, n_equal, n_tokens, doc_start of the best overlap.
+    def one(h: Column, n: int) -> Column:
+        keys = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(F.xxhash64(F.slice(h, i + 1, F.lit(n)), F.lit(-n)).alias("key"), i.alias("at")))
+        return F.when(F.size(h) >= n, keys).otherwise(F.array().cast("array<struct<key:bigint,at:int>>"))
 
-    The benchmark's hashes are counted and broadcast only up to `broadcast_rows`. Documents are
-    shuffled once, to verify. Null and empty texts have no tokens; items under MIN_TOKENS tokens
-    are no evidence; null ids are kept as ids; repeated rows give one pair; extra columns are
-    ignored; empty tables give no pairs.
-    """
-    space = Workspace(docs.sparkSession, "leaks")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("h")).where(F.size("h") >= MIN_TOKENS)
+    return let(hashes, lambda h: F.concat(*[one(h, n) for n in lengths]))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, space: Workspace, overlap: int, share: float, min_tokens: int, broadcast_rows: int) -> DataFrame:
+    """Verified overlaps of rows of `docs`, named by doc_id and th, the hash of the text."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("h")).where(F.size("h") >= min_tokens)
     items = space.save(items.distinct().withColumn("item", F.xxhash64("item_id", "h")).dropDuplicates(["item"]), "items")
-    keys = space.save(items.select("item", F.explode(F.when(F.size("h") < overlap, seeds(F.col("h"))).otherwise(seeds(F.col("h"), MASKS))).alias("s")).select("item", "s.key", F.col("s.at").alias("item_at")), "keys")
+    own = F.when(F.size("h") < MASK_TOKENS, F.array(F.struct(F.xxhash64("h", -F.size("h")).alias("key"), F.lit(0).alias("at")))).when(F.size("h") < overlap, seeds(F.col("h"))).otherwise(seeds(F.col("h"), MASKS))
+    keys = space.save(items.select("item", F.explode(own).alias("s")).select("item", "s.key", F.col("s.at").alias("item_at")), "keys")
+    sizes = items.agg(F.coalesce(F.max(F.size("h")), F.lit(1)), F.collect_set(F.when(F.size("h") < MASK_TOKENS, F.size("h"))), F.coalesce(F.min(F.when(F.size("h") >= MASK_TOKENS, F.size("h"))), F.lit(overlap))).first()
+    longest, short = sizes[0], sorted(sizes[1])
     few = keys.count() <= broadcast_rows
     fit = F.broadcast if few else (lambda df: df)
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text, F.lit(7)).alias("th"), text.alias("text"))
-    placed = rows.select("doc_id", "th", F.explode(seeds(tokens(F.col("text")))).alias("s")).select("doc_id", "th", "s.key", "s.at")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    masks = SHORT_MASKS if sizes[2] < overlap else MASKS
+    placed = let(tokens(F.col("text")), lambda h: F.concat(seeds(h, masks), runs(h, short))) if short else seeds(tokens(F.col("text")), masks)
+    placed = rows.select("doc_id", "th", F.explode(placed).alias("s")).select("doc_id", "th", "s.key", "s.at")
     hits = placed.join(fit(keys), "key").groupBy("doc_id", "th", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("n"))
     by_doc = space.save(hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item", "shift")).alias("hits")), "hits")
-    longest = items.agg(F.coalesce(F.max(F.size("h")), F.lit(1)).alias("n")).first()["n"]
-    near = rows.join(by_doc.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("th", "hit_th"), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")))
+    near = rows.join(by_doc.withColumnsRenamed({"doc_id": "hit_id", "th": "hit_th"}), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")))
     local = let(tokens(F.col("text")), lambda h: F.transform("hits", lambda x: F.struct(x["item"].alias("item"), x["shift"].alias("shift"), F.slice(h, F.greatest(x["shift"], F.lit(0)) + 1, F.lit(longest)).alias("part"))))
-    parts = near.select("doc_id", F.explode(local).alias("x")).select("doc_id", "x.*").join(fit(items), "item")
+    parts = near.select("doc_id", "th", F.explode(local).alias("x")).select("doc_id", "th", "x.*").join(fit(items), "item")
     first = F.greatest(-F.col("shift"), F.lit(0))
     count = F.least(F.size("h") - first, F.size("part"))
     equal = F.zip_with(F.slice("h", first + 1, F.greatest(count, F.lit(0))), F.slice("part", F.lit(1), F.greatest(count, F.lit(0))), lambda a, b: (a == b).cast("int"))
     size = F.least(F.size("h"), F.lit(overlap))
     sums = let(equal, lambda e: F.transform(F.sequence(F.lit(0), F.greatest(F.size(e) - F.col("size"), F.lit(0))), lambda i: F.struct(F.aggregate(F.slice(e, i + 1, F.col("size")), F.lit(0), lambda t, v: t + v).alias("n"), (-i).alias("at"))))
-    found = parts.withColumn("size", size).withColumn("first", first).where(count >= F.col("size")).withColumn("best", F.array_max(sums)).where(F.col("best.n") >= F.lit(share) * F.col("size"))
+    return parts.withColumn("size", size).withColumn("first", first).where(count >= F.col("size")).withColumn("best", F.array_max(sums)).where(F.col("best.n") >= F.lit(share) * F.col("size"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, share: float = SHARE, min_tokens: int = 1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Pairs (doc_id, item_id) of documents that hold a benchmark passage, substitutions allowed.
+
+    Fixed masks pick token pairs and ignore the tokens between; hashes of the picked tokens of the
+    items (item_id, text) are joined with those of the documents (doc_id, text). A hit fixes how
+    item and document lie against each other; the overlap around it is verified on all tokens: in
+    some window of `overlap` neighbouring tokens (the whole item if it is shorter) at least `share`
+    must be equal. Items under MASK_TOKENS tokens must be there as they are. Returns doc_id,
+    item_id, n_equal, n_tokens, doc_start of the best overlap.
+
+    The benchmark's hashes are counted and broadcast only up to `broadcast_rows`. Documents are
+    shuffled once, to verify. Null and empty texts have no tokens; items under min_tokens tokens
+    are no evidence; null ids are kept as ids; repeated rows give one pair; extra columns are
+    ignored; empty tables give no pairs.
+    """
+    space = Workspace(docs.sparkSession, "leaks")
+    found = _found(docs, benchmark, space, overlap, share, min_tokens, broadcast_rows)
     best = F.max(F.struct(F.col("best.n").alias("n"), F.col("size").alias("size"), (-(F.greatest(F.col("shift"), F.lit(0)) - F.col("best.at"))).alias("at")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.n").cast("long").alias("n_equal"), F.col("b.size").cast("long").alias("n_tokens"), (-F.col("b.at")).cast("long").alias("doc_start"))
+    return space.close(found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.n").cast("long").alias("n_equal"), F.col("b.size").cast("long").alias("n_tokens"), (-F.col("b.at")).cast("long").alias("doc_start")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """`docs` without the documents that hold a benchmark passage; rows with a null doc_id stay."""
-    return docs.join(leaks(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, share: float = SHARE, min_tokens: int = 1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`docs` without the rows that hold a benchmark passage (see leaks), each judged by its own text, whatever its id."""
+    space = Workspace(docs.sparkSession, "clean")
+    found = space.save(_found(docs, benchmark, space, overlap, share, min_tokens, broadcast_rows).select(F.col("doc_id").alias("__leak_id"), F.col("th").alias("__leak_th")).distinct(), "found")
+    gone = F.broadcast(found) if found.count() <= broadcast_rows else found
+    text = F.xxhash64(docs["text"].cast("string"))
+    return space.close(docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__leak_id"]) & (text == gone["__leak_th"]), "left_anti"))

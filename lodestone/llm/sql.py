@@ -50,13 +50,17 @@ places as (
     select pair_id, k, count(*) = 2 and min(role) = max(role) and min(text) = max(text) as same from turns group by 1, 2),
 prefix as (
     select pair_id, coalesce(min(k) filter (where not same) - 1, max(k)) as n from places group by 1),
-shown as (select t.*, '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) as s, f.n from turns t join prefix f using (pair_id))
+shown as (select t.*, '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) as s, f.n from turns t join prefix f using (pair_id)),
+placed as (
+    select *, coalesce(sum(length(s)) over (partition by pair_id, side order by k rows between unbounded preceding and 1 preceding), 0) as at from shown where k > n),
+masks as (
+    select pair_id, side, string_agg((at + 13 + length(role))::bigint || '-' || (at + length(s))::bigint, ' ' order by k) as mask from placed where role = 'assistant' group by 1, 2)
 select p.pair_id, p.chosen_id, p.rejected_id, any_value(s.n) as n_prompt_turns,
     coalesce(string_agg(s.s, '' order by s.k) filter (where s.side = 'c' and s.k <= s.n), '') as prompt,
     coalesce(string_agg(s.s, '' order by s.k) filter (where s.side = 'c' and s.k > s.n), '') as chosen,
+    coalesce(any_value((select mask from masks m where m.pair_id = p.pair_id and m.side = 'c')), '') as chosen_mask,
     coalesce(string_agg(s.s, '' order by s.k) filter (where s.side = 'r' and s.k > s.n), '') as rejected,
-    coalesce(sum(length(s.text) + 11) filter (where s.side = 'c' and s.k > s.n and s.role = 'assistant'), 0)::bigint as chosen_learned,
-    coalesce(sum(length(s.text) + 11) filter (where s.side = 'r' and s.k > s.n and s.role = 'assistant'), 0)::bigint as rejected_learned
+    coalesce(any_value((select mask from masks m where m.pair_id = p.pair_id and m.side = 'r')), '') as rejected_mask
 from pairs p join shown s using (pair_id) group by 1, 2, 3
 """
 
@@ -74,7 +78,10 @@ al as (
         least(len(ii.h) - greatest(-shift, 0), len(d.h) - greatest(shift, 0)) as n
     from hits join d using (r) join ii using (item)),
 eq as (select *, list_transform(generate_series(1, n), lambda j: (ih[first + j] = dh[greatest(shift, 0) + j])::int) as e from al where n >= size),
-win as (select doc_id, item_id, size, greatest(shift, 0) + o as doc_start, list_sum(e[o + 1 : o + size])::bigint as n_equal from (select *, unnest(generate_series(0, n - size)) as o from eq))
+short as (select item_id, h, len(h) as size from i where len(h) between 1 and 7),
+whole as (select doc_id, item_id, size, o as doc_start, size as n_equal from (select d.doc_id, s.item_id, s.size, s.h as ih, d.h as dh, unnest(generate_series(0, len(d.h) - s.size)) as o from d, short s) where dh[o + 1 : o + size] = ih),
+win as (select doc_id, item_id, size, greatest(shift, 0) + o as doc_start, list_sum(e[o + 1 : o + size])::bigint as n_equal from (select *, unnest(generate_series(0, n - size)) as o from eq)
+    union all select * from whole)
 select doc_id, item_id, n_equal, size::bigint as n_tokens, doc_start::bigint as doc_start from win where n_equal >= 0.8 * size
 qualify row_number() over (partition by doc_id, item_id order by n_equal desc, size desc, doc_start) = 1
 """
