@@ -56,11 +56,8 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     out = format_preferences(turns, neighbour_pairs(turns))
-    learned = lambda c: F.aggregate(c, F.lit(0), lambda t, s: t + s["end"] - s["start"]).cast("long")
-    return out.select(
-        "pair_id", "chosen_id", "rejected_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen", "rejected",
-        learned("chosen_spans").alias("chosen_learned"), learned("rejected_spans").alias("rejected_learned"),
-    )
+    mask = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
+    return out.select("pair_id", "chosen_id", "rejected_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen", mask("chosen_spans").alias("chosen_mask"), "rejected", mask("rejected_spans").alias("rejected_mask"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
