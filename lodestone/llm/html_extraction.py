@@ -31,78 +31,177 @@ _OTHER = re.compile(
     re.I,
 )
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar", "form"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_QUOTE_OR_END = re.compile(r"[>\"']")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+_BARRIERS = {"table", "article", "main", "body"}
+_KEEPS_ITEMS = {"ul", "ol", "dl", "table", "select", "article", "main", "body", "div"}
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    """An element: `size` is the length of its text and `key` the hash of its subtree once measured."""
+
+    __slots__ = ("tag", "attrs", "kids", "size", "key")
 
     def __init__(self, tag: str, attrs: dict | None = None):
         self.tag, self.attrs, self.kids = tag, attrs or {}, []
 
 
-def parse(page: str) -> Node:
-    """A lenient tree: unknown closings are ignored, open elements end with their parent."""
+class _Open:
+    """The open elements, with the places of each tag, so that nothing is searched for."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.barriers, self.blocks, self.keeps = [root], {}, [0], [0], [0]
+
+    def push(self, node: Node) -> None:
+        n = len(self.nodes)
+        self.nodes.append(node)
+        self.at.setdefault(node.tag, []).append(n)
+        for tracked, own in ((self.barriers, node.tag in _BARRIERS), (self.blocks, node.tag not in INLINE), (self.keeps, node.tag in _KEEPS_ITEMS)):
+            if own:
+                tracked.append(n)
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.at[tag].pop()
+            for tracked in (self.barriers, self.blocks, self.keeps):
+                if tracked[-1] == len(self.nodes):
+                    tracked.pop()
+
+
+class _Tags:
+    """Ends of tags, found in time linear in the page."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends a tag; quoted attribute values may hold one; -1 if there is none.
+
+        A quote that nothing closes, and all quotes after a tag that would never end by them, are plain characters.
+        """
+        if at > self.last[">"]:
+            return -1
+        i = at
+        while self.quotes:
+            m = _QUOTE_OR_END.search(self.page, i)
+            if not m:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            elif i <= m.start() < self.last[m[0]] and self.page[max(at, m.start() - 64) : m.start()].rstrip().endswith("="):
+                i = self.page.find(m[0], m.end()) + 1
+            else:
+                i = m.end()
+        return self.page.find(">", at)
+
+
+def parse(page: str) -> tuple[Node, list[Node]]:
+    """A lenient tree and its elements in page order: unknown closings are ignored, open elements end with their parent.
+
+    Takes time linear in the page, however deep or broken the markup. What begins a tag that never ends is no text.
+    """
     root = Node("#root")
-    stack, at, n = [root], 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
+    nodes, stack, tags = [root], _Open(root), _Tags(page)
+    at, n, low, kept = 0, len(page), None, 0
+
+    def text(end: int) -> None:
+        if end > kept:
+            stack.nodes[-1].kids.append(entities.unescape(page[kept:end]))
+
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at + 1 >= n:
+            text(n)
+            return root, nodes
+        c = page[at + 1]
+        if page.startswith("<!--", at):
+            text(at)
+            end = page.find("-->", at + 4)
+            at = kept = end + 3 if end >= 0 else n
+            continue
+        if page.startswith("<![CDATA[", at):
+            text(at)
+            end = page.find("]]>", at + 9)
+            stack.nodes[-1].kids.append(page[at + 9 : end if end >= 0 else n])
+            at = kept = end + 3 if end >= 0 else n
+            continue
+        closing = c == "/"
+        m = _NAME.match(page, at + 1 + closing)
+        if not m and c not in "!?":
+            at += 1
+            continue
+        text(at)
+        end = tags.end(m.end()) if m else (page.find(">", at) if at <= tags.last[">"] else -1)
+        if end < 0:
+            return root, nodes
+        inside, at = page[m.end() : end] if m else "", end + 1
+        kept = at
         if not m:
-            cut = page.find("<", at) if re.search(r"<[/a-zA-Z!?][^>]*\Z", page[at:]) else -1
-            tail = page[at:] if cut < 0 else page[at : page.rfind("<")]
-            if tail:
-                stack[-1].kids.append(entities.unescape(tail))
-            break
-        if m.start() > at:
-            stack[-1].kids.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].kids.append(m[0][9:].removesuffix("]]>"))
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("table", "article", "main", "body") and tag in INLINE:
-                    break
-            else:
-                if tag == "br":
-                    stack[-1].kids.append(Node("br"))
+        tag = m[0].lower()
+        if closing:
+            i = stack.last(tag)
+            if i and not (tag in INLINE and stack.barriers[-1] > i):
+                stack.cut(i)
+            elif not i and tag == "br":
+                stack.nodes[-1].kids.append(Node("br"))
+                nodes.append(stack.nodes[-1].kids[-1])
             continue
-        ends = _CLOSES.get(tag)
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("ul", "ol", "dl", "table", "select", "article", "main", "body", "div"):
-                    break
+        if ends := _CLOSES.get(tag):
+            i = max(stack.last(t) for t in ends)
+            if i > stack.keeps[-1]:
+                stack.cut(i)
         elif tag not in INLINE and tag not in VOID and tag not in RAW:  # a block ends an open paragraph
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+            i = stack.last("p")
+            if i and stack.blocks[-1] == i:
+                stack.cut(i)
         attrs = {}
-        if m[3].strip(" /"):
-            attrs = {a[1].lower(): entities.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])}
+        if inside.strip(" /"):
+            attrs = {a[1].lower(): entities.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(inside)}
         node = Node(tag, attrs)
-        stack[-1].kids.append(node)
+        stack.nodes[-1].kids.append(node)
+        nodes.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            body = page[at : end.start()] if end else page[at:]
-            at = end.end() if end else n
+            low = page.lower() if low is None else low
+            if len(low) != n:  # a few letters change their number of characters
+                low = page.translate(_LOWER)
+            begin, end = at, low.find(f"</{tag}", at)
+            while end >= 0 and low[end + len(tag) + 2 : end + len(tag) + 3] not in ("", ">", "/", " ", "\t", "\n", "\f", "\r"):
+                end = low.find(f"</{tag}", end + 2)
+            closed = page.find(">", end) if end >= 0 else -1
+            body = page[begin : end if end >= 0 else n]
+            at = kept = closed + 1 if closed >= 0 else n
             if tag in ("title", "textarea"):
                 node.kids.append(entities.unescape(body))
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-    return root
+        elif tag not in VOID and not inside.endswith("/"):
+            stack.push(node)
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def measure(nodes: list[Node]) -> None:
+    """Text lengths and subtree hashes of all elements, from the last to the first: children before their parents."""
+    for node in reversed(nodes):
+        out, size = blake2b(f"<{node.tag}>".encode("utf-8", "surrogatepass"), digest_size=8), 0
+        for k in node.kids:
+            if isinstance(k, str):
+                size += len(k)
+                out.update(" ".join(k.split()).encode("utf-8", "surrogatepass"))
+            else:
+                size += k.size + 1
+                out.update(b"<" + k.key + b">")
+        node.size, node.key = size, out.digest()
 
 
 def _named_other(node: Node) -> bool:
@@ -126,18 +225,19 @@ def boilerplate(node: Node, inside: bool) -> bool:
 def roots(tree: Node) -> tuple[list[Node], bool]:
     """Articles, else main elements, else everything; whether they are marked as such."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
-
-    def walk(node: Node, inside: bool) -> None:
-        for k in node.kids:
-            if isinstance(k, str) or boilerplate(k, inside):
+    todo = [(tree, False)]
+    while todo:
+        node, inside = todo.pop()
+        if node is not tree:
+            if boilerplate(node, inside):
                 continue
-            kind = "article" if k.tag == "article" else "main" if k.tag == "main" or k.attrs.get("role") == "main" else ""
+            kind = "article" if node.tag == "article" else "main" if node.tag == "main" or node.attrs.get("role") == "main" else ""
             if kind:
-                found[kind].append(k)
-            if kind != "article":
-                walk(k, inside or bool(kind))
-
-    walk(tree, False)
+                found[kind].append(node)
+                inside = True
+            if kind == "article":
+                continue
+        todo += [(k, inside) for k in reversed(node.kids) if not isinstance(k, str)]
     for kind in ("article", "main"):
         if found[kind]:
             return found[kind], True
@@ -145,48 +245,40 @@ def roots(tree: Node) -> tuple[list[Node], bool]:
 
 
 def _text(node: Node) -> str:
-    return "".join(k if isinstance(k, str) else _text(k) + " " for k in node.kids)
+    out, todo = [], [node]
+    while todo:
+        k = todo.pop()
+        if isinstance(k, str):
+            out.append(k)
+        else:
+            todo += [" ", *reversed(k.kids)]
+    return "".join(out)
 
 
 def subtree(node: Node) -> int:
     """Hash of an element with all that is below it; white space does not count."""
-    out = blake2b(digest_size=8)
-
-    def feed(n: Node) -> None:
-        out.update(f"<{n.tag}>".encode())
-        for k in n.kids:
-            if isinstance(k, str):
-                out.update(" ".join(k.split()).encode("utf-8", "surrogatepass"))
-            else:
-                feed(k)
-        out.update(b"</>")
+    return int.from_bytes(node.key, "little", signed=True)
 
-    feed(node)
-    return int.from_bytes(out.digest(), "little", signed=True)
 
-
-def candidates(tree: Node) -> list[Node]:
+def candidates(tops: list[Node], marked: bool) -> list[Node]:
     """Elements that a template may own: blocks outside a marked article, and boxes inside it.
 
     Paragraphs, headings and lists' items of a marked article never are, so that copies of an
     article on one host keep their text; neither is a box with half of the article's text.
     """
-    tops, marked = roots(tree)
     out: list[Node] = []
-
-    def walk(node: Node, limit: float) -> None:
-        for k in node.kids:
-            if isinstance(k, str) or boilerplate(k, marked):
+    for top in tops:
+        todo = [k for k in top.kids if not isinstance(k, str)]
+        while todo:
+            k = todo.pop()
+            if boilerplate(k, marked):
                 continue
             own = k.tag not in INLINE and k.tag not in VOID
             if marked:
-                own = k.tag in ("div", "section", "ul", "ol", "table", "figure", "details", "header", "center") and len(_text(k)) < limit
+                own = k.tag in ("div", "section", "ul", "ol", "table", "figure", "details", "header", "center") and k.size < top.size / 2
             if own and k.tag not in ("html", "body"):
                 out.append(k)
-            walk(k, limit)
-
-    for top in tops:
-        walk(top, len(_text(top)) / 2)
+            todo += [x for x in k.kids if not isinstance(x, str)]
     return out
 
 
@@ -194,9 +286,12 @@ def extract(page: str | None, templates: frozenset | set = frozenset()) -> str:
     """Blocks of the article in page order, joined by two line feeds."""
     if not page:
         return ""
-    tree = parse(page)
+    tree, nodes = parse(page)
     tops, marked = roots(tree)
-    drop = {id(n) for n in candidates(tree) if subtree(n) in templates} if templates else set()
+    drop = set()
+    if templates:
+        measure(nodes)
+        drop = {id(n) for n in candidates(tops, marked) if subtree(n) in templates}
     blocks: list[str] = []
     now: list[str] = []
 
@@ -206,40 +301,38 @@ def extract(page: str | None, templates: frozenset | set = frozenset()) -> str:
             blocks.append(text)
         now.clear()
 
-    def walk(node: Node) -> None:
-        for k in node.kids:
-            if isinstance(k, str):
+    for top in tops:
+        todo: list = list(reversed(top.kids))
+        while todo:
+            k = todo.pop()
+            if k is None:  # the end of a block
+                flush()
+            elif isinstance(k, str):
                 now.append(k)
             elif k.tag == "br":
                 now.append(" ")
             elif boilerplate(k, marked) or id(k) in drop:
                 if k.tag not in INLINE:
                     flush()
-            elif k.tag in INLINE:
-                walk(k)
-            elif k.tag in ("td", "th"):
-                now.append(" ")
-                walk(k)
+            elif k.tag in INLINE or k.tag in ("td", "th"):
+                if k.tag not in INLINE:
+                    now.append(" ")
+                todo += reversed(k.kids)
             else:
                 flush()
-                walk(k)
-                flush()
-
-    for top in tops:
-        walk(top)
+                todo += [None, *reversed(k.kids)]
         flush()
     return "\n\n".join(blocks)
 
 
-def _title(tree: Node) -> str:
-    todo, title = [tree], ""
-    while todo:
-        n = todo.pop()
+def _title(nodes: list[Node]) -> str:
+    """The first heading with text, else the last title element."""
+    title = ""
+    for n in nodes:
         if n.tag == "h1" and (t := " ".join(_text(n).split())):
             return t
         if n.tag == "title":
             title = " ".join(_text(n).split())
-        todo += [k for k in reversed(n.kids) if not isinstance(k, str)]
     return title
 
 
@@ -247,9 +340,10 @@ def _subtrees(batches):
     for b in batches:
         host, tree_hash, title = [], [], []
         for h, page in zip(b.column(0).to_pylist(), b.column(1)):
-            tree = parse(page.as_py() or "")
-            found = {subtree(n) for n in candidates(tree)} | {0}  # 0 stands for the page itself
-            t = int.from_bytes(blake2b(_title(tree).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            tree, nodes = parse(page.as_py() or "")
+            measure(nodes)
+            found = {subtree(n) for n in candidates(*roots(tree))} | {0}  # 0 stands for the page itself
+            t = int.from_bytes(blake2b(_title(nodes).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
             host += [h] * len(found)
             tree_hash += found
             title += [t] * len(found)
