@@ -117,20 +117,28 @@ def _windows(length: int):
     def run(batches):
         for b in batches:
             cols: list[list] = [[] for _ in range(4)]
-            for doc, th, text, spans in zip(*b.columns):
+            ends, start, size, kind = _flat(b.column("spans"), "start", "size", "kind")
+            for k, (doc, th, text) in enumerate(zip(*b.columns[:3])):
                 prefix = Prefix(_bytes(text))
                 hashes = prefix.windows(length).view(np.int64)
-                for s in spans.as_py():
-                    at = np.arange(s["start"], s["start"] + s["size"])
-                    k = len(at)
-                    for c, x in zip(cols, (hashes[at], np.full(k, doc.as_py()), np.full(k, th.as_py(), np.int32), (at if s["kind"] == 2 else -1 - at).astype(np.int32))):
-                        c.append(x)
+                own = slice(ends[k], ends[k + 1])
+                n = size[own].astype(np.int64)
+                first = np.cumsum(n) - n
+                at = np.arange(int(n.sum())) + np.repeat(start[own] - first, n)  # the windows of all spans, one after another
+                partner = np.repeat(kind[own] == 3, n)
+                for c, x in zip(cols, (hashes[at], np.full(len(at), doc.as_py()), np.full(len(at), th.as_py(), np.int32), np.where(partner, -1 - at, at).astype(np.int32))):
+                    c.append(x)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["wh", "doc", "th", "at"])
 
     return run
 
 
+def _flat(spans: pa.ListArray, *fields: str) -> tuple[np.ndarray, ...]:
+    """Ends of the rows' lists of structs, and the fields of all of them."""
+    return spans.offsets.to_numpy(), *(spans.values.field(f).to_numpy() for f in fields)
+
+
 def _repeats(batches):
     """Windows, sorted by hash, that stand next to an equal one."""
     carry, prev = None, None
@@ -167,12 +175,13 @@ def _cut(length: int):
     def run(batches):
         for b in batches:
             rows = []
-            for doc, text, spans in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("spans").to_pylist()):
+            ends, start, size = _flat(b.column("spans"), "start", "size")
+            for k, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text"))):
                 raw = _bytes(text)
                 drop = np.zeros(len(raw) + 1, np.int32)
-                for s in spans or []:
-                    drop[s["start"]] += 1
-                    drop[min(s["start"] + s["size"] - 1 + length, len(raw))] -= 1
+                own = slice(ends[k], ends[k + 1])
+                np.add.at(drop, start[own], 1)
+                np.subtract.at(drop, start[own] + size[own] - 1 + length, 1)
                 gone = np.cumsum(drop[:-1]) > 0
                 runs = int((np.diff(np.concatenate([[0], gone.view(np.int8), [0]])) == 1).sum())
                 kept = raw[~gone].tobytes()
@@ -194,7 +203,8 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     `length` bytes past its last window, order to that depth follows from the dictionary alone.
     Only the windows of phrases that share their trigger with another phrase are compared one by
     one, each distinct phrase once. Rows of a trigger or window are read as a sorted stream,
-    so a frequent one needs no memory.
+    so a frequent one needs no memory. Equality is of 64-bit hashes: of phrases among those of
+    one trigger, of windows among all that are compared.
 
     Null texts are empty. Rows with the same doc_id and text repeat each other wholly; a null
     doc_id is kept. Extra columns are ignored; an empty table gives no rows.
@@ -205,7 +215,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.hash(F.col("text").cast("string"), F.lit(7)).alias("th"), F.col("text").cast("string").alias("text"))
     runs = keyed.select("doc", "th", "text").mapInArrow(_parse(length, gram), _RUNS)
     found = space.save(runs.repartition("m").sortWithinPartitions("m", "ph").mapInArrow(_classes, "doc long, th int, start int, size int, kind int"), "phrases")
-    spans = lambda df: df.groupBy("doc", "th").agg(F.collect_list(F.struct(*[c for c in ("start", "size", "kind") if c in df.columns])).alias("spans"))
+    spans = lambda df: df.groupBy("doc", "th").agg(F.collect_set(F.struct(*[c for c in ("start", "size", "kind") if c in df.columns])).alias("spans"))
     look = spans(found.where("kind >= 2"))
     wh = keyed.join(look, ["doc", "th"]).select("doc", "th", "text", "spans").mapInArrow(_windows(length), "wh long, doc long, th int, at int")
     single = space.save(wh.repartition("wh").sortWithinPartitions("wh").mapInArrow(_repeats, "doc long, th int, at int"), "windows")
