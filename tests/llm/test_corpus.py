@@ -121,6 +121,22 @@ def test_near_duplicates_of_reused_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("per_file", [3, 10**6])
+def test_components(spark, monkeypatch, per_file):
+    from lodestone.llm import components as C
+    from lodestone.llm.common import Workspace
+
+    monkeypatch.setattr(C, "LINKS_A_FILE", per_file)
+    rng = random.Random(per_file)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(k + 1, k) for k in range(200, 240)]
+    label = {v: v for x in links for v in x}
+    for _ in range(60):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = C.components(spark.createDataFrame(links, "a long, b long").repartition(8), Workspace(spark, "test"))
+    assert {r.node: r.component for r in got.collect()} == {v: c for v, c in label.items() if any(v in x and x[0] != x[1] for x in links)}
+
+
 def test_popcount_of_signatures_is_of_all_bits():
     from lodestone.llm.near_duplicates import _SIG, _similar
 
@@ -153,6 +169,13 @@ def test_repeated_text(docs, empty):
     assert remove_repeated(empty).count() == 0
 
 
+def test_repeated_text_of_many_equal_rows(spark):
+    text = " ".join(f"word{k * 7919 % 1000}" for k in range(450))
+    rows = [(1, text)] * 3000 + [(2, "alone")]
+    got = collections.Counter(map(tuple, remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_removed", "n_spans").collect()))
+    assert got == {(1, len(text), 1): 3000, (2, 0, 0): 1}
+
+
 def test_packing(docs, empty):
     enc = tokens.encoder(tokens.default_path())
     ids = collections.Counter()
@@ -193,6 +216,17 @@ def test_permutation_and_shards(docs, empty, tmp_path):
     enc = tokens.encoder(tokens.default_path())
     expected = collections.Counter(x for _, t, *_ in corpus() for x in [*enc.encode(t).tolist(), 1])
     assert flat == expected and total == sum(expected.values())
+    # the very bytes: partitions in order, their texts one after another, cut, and each sequence at its slot
+    cut = []
+    for part in docs.select("text").rdd.glom().collect():
+        ids = [x for r in part for x in [*enc.encode(r.text).tolist(), 1]]
+        cut += [ids[k : k + 64] for k in range(0, len(ids), 64)]
+    slots = Permutation(len(cut), b"k").slots(np.arange(len(cut)))
+    written = np.concatenate([read_shard(f"file://{tmp_path}/shard-{k:08d}.bin", length=64) for k in range(-(-len(cut) // 50))])
+    assert len(written) == len(rows) == len(cut)
+    for slot, ids in zip(slots.tolist(), cut):
+        assert written[slot].tolist() == ids + [0] * (64 - len(ids))
+    assert {r.sequence: r.slot for r in rows} == dict(enumerate(slots.tolist()))
     assert materialise(empty, "k", root=f"file://{tmp_path}/none").count() == 0
 
 
@@ -209,6 +243,54 @@ def test_language_scores_sum_all_segmentations(spark, empty):
     assert identify(empty, fit(empty)).count() == 0
 
 
+def test_language_model_is_expectation_maximisation(spark):
+    import pandas as pd
+
+    from lodestone.llm.language_id import PRIOR, UNKNOWN, _fit, vocabulary, vocabulary_path
+
+    texts = ["the then", "he the", "no note"]
+    got = _fit(vocabulary_path(), 2)(pd.DataFrame({"lang": "en", "text": texts}))
+    pieces = set(vocabulary(vocabulary_path()))
+
+    def cuts(w):
+        return [[]] if not w else [[w[:j], *rest] for j in range(1, len(w) + 1) if w[:j] in pieces or j == 1 for rest in cuts(w[j:])]
+
+    ws = ["▁" + w for t in texts for w in t.split()]
+    count = collections.Counter()
+    for w in ws:
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                if w[i:j] in pieces:
+                    count[w[i:j]] += j - i
+    for turn in range(3):
+        total = sum(count.values()) + PRIOR * len(pieces)
+        p = {k: (count[k] + PRIOR) / total for k in pieces}
+        if turn < 2:
+            count = collections.Counter()
+            for w in ws:
+                chances = [np.prod([p.get(x, UNKNOWN) for x in c]) for c in cuts(w)]
+                for c, q in zip(cuts(w), chances):
+                    for x in c:
+                        if x in pieces:
+                            count[x] += q / sum(chances)
+    assert np.allclose(got["p"], [p[k] for k in got["piece"]], rtol=1e-9)
+
+
+def test_language_of_held_out_documents(spark):
+    from lodestone.llm.queries import op2_language_id
+
+    out = op2_language_id(spark, "/root/testdata/sf0.01").where("held_out")
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").select("doc_id", "lang")
+    right = [r.lang == r.lang_pred for r in out.where("lang_pred <> 'und'").join(truth, "doc_id").collect()]
+    assert len(right) > 100 and np.mean(right) > 0.97
+
+
+def test_language_sample_is_bounded_by_rows(spark):
+    rows = [(1, f"ein satz {k}", "de") for k in range(500)] + [(k, "some words here", "en") for k in range(2, 40)] + [(50, "x", None), (None, "y", "de"), (51, None, "fr")]
+    langs, model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == ["de", "en"]
+
+
 def test_html(spark):
     page = '<html><body><nav>menu</nav><article><h1>T</h1><p>a &amp; b<br>c<p>d<div class="comments">no</div></article><footer>f</footer></body>'
     assert extract(page) == "T\n\na & b c\n\nd" and extract(None) == "" and extract("<script>x") == ""
@@ -220,37 +302,98 @@ def test_html(spark):
     assert {r.page_id: r.text for r in joined.collect()} == got
 
 
+def test_html_of_any_shape():
+    assert extract("<div>" * 100_000 + "x") == "x"
+    for page in ("<p <" * 250_000, "<a '" * 250_000 + ">", "<a ='" * 200_000, "<a =\"'>" * 100_000):
+        assert len(extract(page)) <= len(page)
+    assert extract("<div>a</div>" + "</x>" * 50_000 + "<b>" * 50_000 + "<p>b") == "a\n\nb"
+    assert extract("<p>" + "<b>" * 20_000 + "<div></div>" * 20_000 + "c", frozenset([1])) == "c"
+    assert extract('<a title="x > y">t</a> 1 < 2 <i class=\'a"b\'>u</i>') == "t 1 < 2 u"
+    assert extract('<a href="open>t</a> z') == "t z"
+    assert extract("<script>a</scripty>b</script >c<title>d</title>") == "c"
+
+
+def test_html_of_awkward_tables(spark):
+    schema = "page_id long, url string, html string, extra int, n_chars string"
+    rows = [(1, "http://a/", "<p>x</p>", 1, "q"), (1, "http://a/", "<p>x</p>", 1, "q"), (None, None, None, None, None), (3, "", "", 1, "q")]
+    got = extract_pages(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "http://a/", "x", 1), (1, "http://a/", "x", 1), (None, None, "", 0), (3, "", "", 0)], key=str)
+    assert extract_pages(spark.createDataFrame([], schema)).count() == 0
+
+
+def _rotate(x, n):
+    return ((x << n) | (x >> (32 - n))) & 0xFFFFFFFF
+
+
+def _mixed(h, k):
+    k = _rotate(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+    return (_rotate(h ^ k, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+
+
+def _murmur(words, n, seed):
+    """32-bit Murmur3 of whole numbers, as Spark's hash() applies it."""
+    h = seed & 0xFFFFFFFF
+    for k in words:
+        h = _mixed(h, k & 0xFFFFFFFF)
+    h ^= n
+    for m, c in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> m)) * c & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def _hash_text(t, seed=42):
+    b = t.encode()
+    whole = len(b) // 4 * 4
+    return _murmur([int.from_bytes(b[k : k + 4], "little") for k in range(0, whole, 4)] + [x - 256 if x > 127 else x for x in b[whole:]], len(b), seed)
+
+
 def test_quality(spark, docs, empty):
+    import regex
+
     trusted = spark.createDataFrame([(11,), (12,), (24,)], "doc_id long")
-    got = quality(docs, trusted, buckets=4096).collect()
+    got = quality(docs, trusted, buckets=(4096, 512)).collect()
     raw, target, feats = collections.Counter(), collections.Counter(), []
-    h = lambda s, seed=42: xxhash.xxh64(s.encode(), seed=seed).intdigest()
-    signed = lambda x: (x - (1 << 64) if x >> 63 else x) % 4096
     for i, t, *_ in corpus():
-        tok = re.findall(r"\w+|[^\w\s]+", (t or ""), re.A) if (t or "").isascii() else None
-        if tok is None:
-            import regex
-
-            tok = regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]+", t or "")
-        f = [signed(h(x)) for x in tok] + [signed(h(b, h(a))) for a, b in zip(tok, tok[1:])]
-        raw.update(f)
+        tok = [_hash_text(x) for x in regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]+", t or "")]
+        u, b = [x % 4096 for x in tok], [4096 + _murmur([y], 4, _murmur([x], 4, 42)) % 512 for x, y in zip(tok, tok[1:])]
+        raw.update(set(u + b))
         if i in (11, 12, 24):
-            target.update(f)
-        feats.append((i, t, f))
-    nr, nt = sum(raw.values()), sum(target.values())
-    ratio = [round(1e6 * (np.log((target[b] + 1) / (nt + 4096)) - np.log((raw[b] + 1) / (nr + 4096)))) for b in range(4096)]
+            target.update(set(u + b))
+        feats.append((i, t, u, b))
+    ratio = []
+    for span in (range(4096), range(4096, 4608)):
+        nr, nt = sum(raw[b] for b in span), sum(target[b] for b in span)
+        ratio += [round(1e6 * (np.log((target[b] + 1) / (nt + len(span))) - np.log((raw[b] + 1) / (nr + len(span))))) for b in span]
     expected = collections.Counter()
-    for i, t, f in feats:
+    for i, t, u, b in feats:
         w, places = WORD.findall(t or ""), collections.defaultdict(list)
         for k in range(len(w) - 2):
             places[tuple(w[k : k + 3])].append(k)
         rep = len({j for v in places.values() if len(v) > 1 for k in v for j in (k, k + 1, k + 2)})
         lines = [x for x in (t or "").split("\n") if WORD.search(x)]
         failed = len(w) < 50 or 100 * rep > 50 * len(w)
-        llr = sum(ratio[b] for b in f)
-        expected[i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), rep, failed, not failed and llr >= -600000 * len(f)] += 1
-    assert collections.Counter(tuple(r)[:8] for r in got) == expected
-    assert quality(empty, trusted, buckets=4096).count() == 0
+        llr, least = sum(ratio[x] for x in u + b), min((ratio[x] for x in u), default=0)
+        kept = not failed and llr >= -600000 * len(u + b) and least >= -3300000
+        expected[i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), rep, failed, kept, llr, len(u + b), least] += 1
+    assert collections.Counter(map(tuple, got)) == expected
+    assert quality(empty, trusted, buckets=(4096, 512)).count() == 0
+
+
+def test_quality_finds_terms_of_abuse(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    text = lambda: [rng.choice(words) for _ in range(200)]
+    rows = []
+    for i in range(600):
+        w = text()
+        if i % 10 == 0:
+            w[rng.randrange(200)] = "scoundrel"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = spark.createDataFrame([(i,) for i in range(600) if i % 10], "doc_id long")
+    kept = {r.doc_id for r in quality(d, trusted, buckets=(4096, 4096)).collect() if r.kept}
+    assert kept == {i for i in range(600) if i % 10}
 
 
 def test_pseudonyms(spark, empty):
@@ -271,6 +414,74 @@ def test_pseudonyms(spark, empty):
     assert pseudonymise(empty, "k").count() == 0
 
 
+def _permuted(key, tag, left, right, a, b, inside):
+    """The Feistel network with cycle-walking, written apart from the SQL."""
+    f = lambda i, x: int(hashlib.sha256(f"{key}|{tag}|{i}|{x}".encode()).hexdigest()[:13], 16)
+    while True:
+        for i in range(1, 9):
+            if i % 2:
+                left = (left + f(i, right)) % a
+            else:
+                right = (right + f(i, left)) % b
+        if inside(left, right):
+            return left, right
+
+
+def test_pseudonyms_against_another_feistel_network(spark):
+    import datetime
+
+    rng, key, rows, expected = random.Random(8), "k", [], []
+    total = lambda d, first: sum((2 * v - 9 * (v > 4)) if (k + first) % 2 else v for k, v in enumerate(map(int, reversed(d))))
+    start = datetime.date(1900, 1, 1)
+    for _ in range(60):
+        p = f"4{rng.randrange(10**14):014d}"
+        card = p + str((10 - total(p, 1) % 10) % 10)
+        l, r = _permuted(key, "card", int(card[1:8]), int(card[8:15]), 10**7, 10**7, lambda l, r: True)
+        new = f"{card[0]}{l:07d}{r:07d}"
+        new += str((10 - total(new, 1) % 10) % 10)
+        rows.append(" ".join(card[k : k + 4] for k in (0, 4, 8, 12)))
+        expected.append(" ".join(new[k : k + 4] for k in (0, 4, 8, 12)))
+        d = f"{rng.randrange(2, 10)}{rng.randrange(10)}{rng.randrange(10)}{rng.randrange(10**7):07d}"
+        ok = lambda l, r: l // 10000 >= 2 and l // 10 % 10 >= 2
+        own = ok(int(d[:5]), 0)
+        l, r = _permuted(key, "phone", int(d[:5]), int(d[5:]), 10**5, 10**5, lambda l, r: ok(l, r) == own)
+        rows.append(f"({d[:3]}) {d[3:6]}-{d[6:]}")
+        new = f"{l:05d}{r:05d}"
+        expected.append(f"({new[:3]}) {new[3:6]}-{new[6:]}")
+        q = [rng.randrange(256) for _ in range(4)]
+        l, r = _permuted(key, "ip", q[0] * 256 + q[1], q[2] * 256 + q[3], 65536, 65536, lambda l, r: True)
+        rows.append(".".join(map(str, q)))
+        expected.append(f"{l // 256}.{l % 256}.{r // 256}.{r % 256}")
+        good = lambda l, r: l // 100 not in (0, 666) and l // 100 < 900 and l % 100 and r
+        l, r = rng.randrange(10**5), rng.randrange(10**4)
+        rows.append(f"{l // 100:03d}-{l % 100:02d}-{r:04d}")
+        if good(l, r):
+            l, r = _permuted(key, "ssn", l, r, 10**5, 10**4, good)
+        expected.append(f"{l // 100:03d}-{l % 100:02d}-{r:04d}")
+        day = start + datetime.timedelta(rng.randrange(73049))
+        for fmt in ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y"):
+            text, only = day.strftime(fmt), fmt == "%m/%d/%Y" and day.day > 12
+            read = day if fmt != "%m/%d/%Y" or only else datetime.date(day.year, day.day, day.month)
+            inside = lambda l, r: l * 270 + r < 73049 and (not only or (start + datetime.timedelta(l * 270 + r)).day > 12)  # noqa: E731,B023
+            n = (read - start).days
+            l, r = _permuted(key, "date", n // 270, n % 270, 271, 270, inside)
+            rows.append(text)
+            expected.append((start + datetime.timedelta(l * 270 + r)).strftime("%d/%m/%Y" if fmt == "%m/%d/%Y" and not only else fmt))
+        mail = f"A.b{rng.randrange(999)}@mail.example.com"
+        rows.append(mail)
+        expected.append("u" + hashlib.sha256(f"k|email|{mail.lower()}".encode()).hexdigest()[:20] + "@example.invalid")
+    for name, secret in (("token = ", "1234567890123456"), ("api_key=", "202401011234567x"), ("Secret: ", "12345678901234567"), ("PASSWORD='", "abcdefgh12345678zz"), ("Token = ", "4111111111111111")):
+        rows.append(name + secret)
+        digests = [hashlib.sha256(f"k|{t}|{secret}".encode()).hexdigest() for t in ("secret", "secret2")]
+        expected.append(name + "".join(digests)[: len(secret)])
+    frame = spark.createDataFrame([(k, f"see {t} there", 1, 2) for k, t in enumerate(rows)], "doc_id long, text string, found int, new int")
+    out = pseudonymise(frame, key)
+    assert out.columns == ["doc_id", "text", "found", "new", "n_pii"]
+    got = {r.doc_id: r.text for r in out.collect()}
+    for k, (a, b) in enumerate(zip(rows, expected)):
+        assert got[k] == f"see {b} there", a
+
+
 def test_section_templates_of_a_large_host(spark):
     words = lambda k: " ".join(f"p{k}w{j}" for j in range(30))
     box = "<div><span>see the other pages of this section today</span></div>"
@@ -292,6 +503,10 @@ def test_decontamination(spark, docs, empty):
     got = leaks(d, bench).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 7), (2, 7)]
     assert sorted(r.doc_id for r in clean(d, bench).collect()) == [3, 4, 5, 6]
+    mixed = spark.createDataFrame([(None, " ".join(item)), (None, "fine"), (1, "fine"), (1, " ".join(item)), (2, "it was too SHORT, really"), (3, "too, very short")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in clean(mixed, bench).where("doc_id is not null").collect()) == [(1, "fine"), (3, "too, very short")]
+    assert [r.text for r in clean(mixed, bench).where("doc_id is null").collect()] == ["fine"]
+    assert sorted(((r.doc_id, r.item_id, r.n_equal, r.doc_start) for r in leaks(mixed, bench).collect()), key=str) == [(1, 7, 20, 0), (2, 8, 2, 2), (None, 7, 20, 0)]
     assert sorted((r.doc_id, r.item_id) for r in leaks(d, bench, broadcast_rows=0).collect()) == [(1, 7), (2, 7)]
     assert leaks(empty, bench).count() == 0 and leaks(d, bench.limit(0)).count() == 0
 
@@ -310,6 +525,31 @@ def test_decontamination_misses_no_substitution_pattern(spark):
     assert {(r.doc_id, r.item_id, r.n_equal) for r in got.collect()} == expected
 
 
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, [rng.choice(words) for _ in range(n)]) for k, n in enumerate((1, 2, 4, 7, 8, 9, 11, 14, 19, 20, 21, 30))]
+    texts = []
+    for k in range(150):
+        w = [rng.choice(words) for _ in range(rng.randint(0, 40))]
+        item = rng.choice(items)[1]
+        part = [rng.choice(words) if rng.random() < 0.12 else x for x in item][rng.randint(0, 2) :]
+        texts.append((k, w[:10] + part + w[10:]))
+    expected = {}
+    for d, t in texts:
+        for i, h in items:
+            size, best = min(len(h), 20), None
+            for a in range(len(h) - size + 1):
+                for o in range(len(t) - size + 1):
+                    n = sum(x == y for x, y in zip(h[a : a + size], t[o : o + size]))
+                    if n >= (size if len(h) < 8 else 0.8 * size):
+                        best = max(best or 0, n)
+            if best:
+                expected[d, i] = best
+    got = leaks(spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(h)) for i, h in items], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.n_equal for r in got.collect()} == expected and len(expected) > 60
+
+
 def test_preferences(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 1, "assistant", "no"), (2, 0, None, None), (3, 0, None, None), (4, 0, "user", "x"), (None, 0, "user", "x")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
