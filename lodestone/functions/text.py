@@ -89,3 +89,8 @@ def article_passages(articles: DataFrame) -> DataFrame:
 
 def instructed(c: Column, task: str) -> Column:
     return F.concat(F.lit(f"Instruct: {task}\nQuery: "), c)
+
+
+def rerank_prompt(query: Column, passage: Column, task: str) -> Column:
+    """What a pairwise model reads: the task, then query and passage."""
+    return F.concat(F.lit(f"Instruct: {task}\nQuery: "), query, F.lit("\nDocument: "), passage)

@@ -12,8 +12,10 @@ from lodestone.operators import tfidf
 from lodestone.operators.scores import row_scale
 
 COST, PRIOR, CHAR_WEIGHT = 0.3, 0.1, 4.0
-#: Training queries whose kernel one task may hold: n * n doubles.
-MAX_TRAIN = 8000
+#: Bound of the sample of training queries that is fitted; its kernel is n * n doubles.
+MAX_TRAIN = 4000
+#: Target queries that one task scores at once, and kernel weights that are sent to the tasks at once.
+BLOCK, WEIGHTS = 500, 5_000_000
 
 
 def kfold(n: int, seed: int, splits: int = 5) -> np.ndarray:
@@ -56,43 +58,60 @@ def solve(gram: np.ndarray, positive: np.ndarray, cost: float = COST, steps: int
     return beta
 
 
-def _one_label(ids: np.ndarray, gram: np.ndarray, targets: np.ndarray, cross: np.ndarray):
-    at = {int(x): i for i, x in enumerate(ids)}
-
+def _one_label(ids: np.ndarray, gram):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         positive = np.zeros(len(ids), bool)
-        positive[[at[int(r)] for r in rows["ref_id"] if int(r) in at]] = True
-        if positive.all():
-            p = np.ones(len(targets))
-        else:
-            p = 1 / (1 + np.exp(-np.clip(cross @ solve(gram, positive), -500, 500)))
-        return pd.DataFrame({"query_id": targets, "article_id": rows["article_id"].iloc[0], "score": p, "freq": float(positive.sum())})
+        positive[np.searchsorted(ids, rows["ref_id"].to_numpy())] = True
+        beta = np.zeros(len(ids)) if positive.all() else solve(gram.value, positive)
+        return pd.DataFrame({"article_id": rows["article_id"].iloc[:1], "freq": [float(positive.sum())], "always": [bool(positive.all())], "beta": [beta]})
+
+    return run
+
+
+def _one_block(ids: np.ndarray, fitted):
+    """Probabilities of all labels for one block of targets; kernel rows hold what is above the bias."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        articles, freq, always, beta = fitted.value
+        queries, at = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+        near = rows["ref_id"].notna().to_numpy()
+        k = np.zeros((len(queries), len(ids)))
+        k[at[near], np.searchsorted(ids, rows["ref_id"][near].to_numpy(np.int64))] = rows["k"][near] - 1.0
+        logit = k @ beta.T + beta.sum(1)
+        p = np.where(always, 1.0, 1 / (1 + np.exp(-np.clip(logit, -500, 500))))
+        return pd.DataFrame({"query_id": np.repeat(queries, len(articles)), "article_id": np.tile(articles, len(queries)), "score": p.ravel(), "freq": np.tile(freq, len(queries))})
 
     return run
 
 
-def logistic_scores(train: DataFrame, target: DataFrame, labels: DataFrame) -> DataFrame:
+def logistic_scores(train: DataFrame, target: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """score(query_id, article_id) of every label that training queries (query_id, text) have.
 
-    Labels (ref_id, article_id) are fitted in parallel, one group each. The kernel of at most
-    MAX_TRAIN training queries is sent to the tasks; more are refused.
+    Labels (ref_id, article_id) are fitted in parallel, one group each, over the kernel of at most
+    `max_train` training queries; of more, those with the smallest hash of their id are taken.
+    Targets are scored by blocks of BLOCK queries on the executors, and the fitted weights reach
+    them WEIGHTS numbers at a time.
     """
-    ids = np.array(sorted(r[0] for r in train.select("query_id").collect()))
-    if len(ids) > MAX_TRAIN:
-        raise ValueError(f"{len(ids)} training queries; the kernel is bounded at {MAX_TRAIN}")
-    targets = np.array(sorted(r[0] for r in target.select("query_id").collect()))
-
-    def dense(rows: np.ndarray, k: pd.DataFrame) -> np.ndarray:
-        out = np.ones((len(rows), len(ids)))
-        if len(k):
-            out[np.searchsorted(rows, k["query_id"]), np.searchsorted(ids, k["ref_id"])] = k["k"]
-        return out
-
-    gram, cross = dense(ids, kernel(train, train).toPandas()), dense(targets, kernel(train, target).toPandas())
-    own = labels.join(train.select(F.col("query_id").alias("ref_id")), "ref_id", "left_semi").distinct()
-    raw = own.groupBy("article_id").applyInPandas(_one_label(ids, gram, targets, cross), "query_id long, article_id long, score double, freq double")
-    top = own.groupBy("article_id").agg(F.count("*").alias("f")).agg(F.greatest(F.max("f"), F.lit(1)).alias("m"))
-    scaled = row_scale(raw).withColumn("m", top.scalar()).withColumn("score", F.col("score") + PRIOR * F.col("freq") / F.col("m"))
+    spark = train.sparkSession
+    train = train.orderBy(F.xxhash64("query_id"), "query_id").limit(max_train)
+    ids = np.array(sorted(r[0] for r in train.select("query_id").collect()), np.int64)
+    train = train.persist()
+    gram, k = np.ones((len(ids), len(ids))), kernel(train, train).toPandas()
+    if len(k):
+        gram[np.searchsorted(ids, k["query_id"]), np.searchsorted(ids, k["ref_id"])] = k["k"]
+    own = labels.join(F.broadcast(train.select(F.col("query_id").alias("ref_id"))), "ref_id", "left_semi").select("ref_id", "article_id").distinct()
+    fitted = own.groupBy("article_id").applyInPandas(_one_label(ids, spark.sparkContext.broadcast(gram)), "article_id long, freq double, always boolean, beta array<double>").persist()
+    top = fitted.agg(F.greatest(F.max("freq"), F.lit(1.0)).alias("m")).first()["m"]
+    articles = [r[0] for r in fitted.select("article_id").orderBy("article_id").collect()]
+    blocks = 1 + target.count() // BLOCK
+    rows = target.select("query_id").join(kernel(train, target), "query_id", "left").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    raw, each = None, max(1, WEIGHTS // max(len(ids), 1))
+    for at in range(0, max(len(articles), 1), each):
+        some = fitted.where(F.col("article_id").between(articles[at], articles[min(at + each, len(articles)) - 1])).orderBy("article_id").collect() if articles else []
+        sent = spark.sparkContext.broadcast((np.array([r["article_id"] for r in some], np.int64), np.array([r["freq"] for r in some]), np.array([r["always"] for r in some], bool), np.array([r["beta"] for r in some]).reshape(len(some), len(ids))))
+        part = rows.groupBy("block").applyInPandas(_one_block(ids, sent), "query_id long, article_id long, score double, freq double")
+        raw = part if raw is None else raw.unionByName(part)
+    scaled = row_scale(raw).withColumn("score", F.col("score") + PRIOR * F.col("freq") / F.lit(float(top or 1.0)))
     return row_scale(scaled.select("query_id", "article_id", "score"))
 
 
@@ -101,7 +120,7 @@ def logistic_oof(queries: DataFrame, labels: DataFrame, seed: int, splits: int =
     spark = queries.sparkSession
     ids = sorted(r[0] for r in queries.select("query_id").collect())
     folds = spark.createDataFrame([(int(q), int(f)) for q, f in zip(ids, kfold(len(ids), seed, splits))], "query_id long, fold int")
-    rows = queries.join(F.broadcast(folds), "query_id")
+    rows = queries.join(folds, "query_id")
     out = None
     for f in range(splits):
         one = logistic_scores(rows.where(f"fold <> {f}"), rows.where(f"fold = {f}"), labels)

@@ -17,6 +17,30 @@ def label_frequency(labels: DataFrame, top: int = 20) -> DataFrame:
     return labels.groupBy("article_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "article_id").limit(top)
 
 
+def label_summary(labels: DataFrame) -> DataFrame:
+    """One row: labels in use, and those with one example."""
+    return labels.groupBy("article_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_labels"), F.count_if(F.col("n") == 1).alias("n_single"))
+
+
+def labels_per_query(labels: DataFrame) -> DataFrame:
+    """(n_labels, n_queries): how many queries have how many labels."""
+    return labels.groupBy("query_id").agg(F.count("*").alias("n_labels")).groupBy("n_labels").agg(F.count("*").alias("n_queries"))
+
+
+def discrete_histogram(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, density): a bin for each whole number that occurs."""
+    total = df.agg(F.count(column))
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("value")).agg(F.count("*").alias("n"))
+    return counts.withColumn("density", F.col("n") / total.scalar())
+
+
+def lengths(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_chars, n_words, log_chars): log_chars is log10(n_chars + 1); null texts have null lengths."""
+    words = F.size(F.filter(F.split(F.trim(F.col(text)), r"\s+"), lambda w: w != ""))
+    n = F.length(text)
+    return df.select(key, n.cast("long").alias("n_chars"), F.when(F.col(text).isNotNull(), words).cast("long").alias("n_words"), F.log10(n + 1).alias("log_chars"))
+
+
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """(bin, n, density) of equal bins between the extremes; the last one is closed."""
     b = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"), F.count(column).alias("total"))

@@ -34,26 +34,43 @@ def hashing_encoder(dimension: int = 256) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
-def encode(df: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_encoder) -> DataFrame:
-    """(key, embedding): `load` runs once in each worker, on its first batch."""
+def encode(df: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_encoder, batch_size: int = 64) -> DataFrame:
+    """(key, embedding): `load` runs once in each worker, on its first batch; the model gets batch_size texts at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
         for b in batches:
             model = model or load()
-            yield pd.DataFrame({key: b[key], "embedding": list(model(b[text].tolist()))})
+            texts = b[text].tolist()
+            for at in range(0, len(texts), batch_size):
+                part = slice(at, at + batch_size)
+                yield pd.DataFrame({key: b[key].iloc[part].tolist(), "embedding": list(model(texts[part]))})
 
     return df.select(key, text).mapInPandas(run, f"{key} long, embedding array<float>")
 
 
-def rerank(base: DataFrame, chunks: DataFrame, queries: DataFrame, cached: DataFrame | None = None, score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Fuse base scores with reranked scores of each query's best CANDIDATES articles.
+def candidate_logits(base: DataFrame, chunks: DataFrame, queries: DataFrame, cached: DataFrame | None = None, score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(query_id, article_id, logit) of each query's best CANDIDATES articles.
 
-    Logits (query_id, article_id, logit) of a cache are used where they exist; only missing pairs
-    are scored. The default scorer is the best chunk's lexical similarity.
+    Logits of a cache are used where they exist; only missing pairs are scored. A scorer gets
+    (query_id, article_id, query, passage), the passage being the article's best chunk of all
+    chunks; the default one is that chunk's lexical similarity.
     """
     pairs = rank(base, CANDIDATES).select("query_id", "article_id")
     todo = pairs.join(cached, ["query_id", "article_id"], "left_anti") if cached is not None else pairs
-    made = score(todo) if score else best_chunks(chunks, queries, todo).select("query_id", "article_id", F.col("sim").alias("logit"))
-    logits = made if cached is None else made.unionByName(pairs.join(cached, ["query_id", "article_id"]).select("query_id", "article_id", "logit"))
+    best = best_chunks(chunks, queries, todo)
+    if score is None:
+        made = best.select("query_id", "article_id", F.col("sim").alias("logit"))
+    else:
+        asked = best.join(chunks.withColumnRenamed("text", "passage"), ["article_id", "chunk_id"]).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+        made = score(asked.select("query_id", "article_id", "query", "passage"))
+    return made if cached is None else made.unionByName(pairs.join(cached, ["query_id", "article_id"]).select("query_id", "article_id", "logit"))
+
+
+def fuse(base: DataFrame, logits: DataFrame) -> DataFrame:
     return high_score(base, minmax(logits.withColumnRenamed("logit", "score")))
+
+
+def rerank(base: DataFrame, chunks: DataFrame, queries: DataFrame, cached: DataFrame | None = None, score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Fuse base scores with reranked scores of each query's best CANDIDATES articles (see candidate_logits)."""
+    return fuse(base, candidate_logits(base, chunks, queries, cached, score))

@@ -96,10 +96,12 @@ def fold_memory(sim: DataFrame, labels: DataFrame, folds: DataFrame, p: dict = M
         return base
     other = labels.select("ref_id", F.col("article_id").alias("b"))
     both = labels.select("ref_id", F.col("article_id").alias("a")).join(other, "ref_id").join(f.toDF("ref_id", "fold"), "ref_id").groupBy("fold", "a", "b").agg(F.count("*").alias("m"))
-    whole = both.groupBy("a", "b").agg(F.sum("m").alias("n"))
-    left = f.select("fold").distinct().join(F.broadcast(whole)).join(both, ["fold", "a", "b"], "left").select("fold", "a", "b", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"))
-    diag = left.where("a = b")
-    c = left.where("a <> b and n > 0").join(diag.select("fold", "a", F.col("n").alias("fa")), ["fold", "a"]).join(diag.select("fold", "b", F.col("n").alias("fb")), ["fold", "b"])
+    whole = both.groupBy("a", "b").agg(F.sum("m").alias("n")).where("a <> b")
+    # label pairs are needed for the articles of a fold's base scores only
+    asked = base.join(f.toDF("query_id", "fold"), "query_id").select("fold", F.col("article_id").alias("a")).distinct()
+    c = asked.join(whole, "a").join(both, ["fold", "a", "b"], "left").withColumn("n", F.col("n") - F.coalesce("m", F.lit(0))).where("n > 0").drop("m")
+    for x in ("a", "b"):
+        c = c.join(total.toDF(x, "t"), x).join(own.toDF("fold", x, "o"), ["fold", x], "left").withColumn(f"f{x}", F.col("t") - F.coalesce("o", F.lit(0))).drop("t", "o")
     c = c.select("fold", "a", "b", (F.col("n") / F.greatest(F.sqrt(F.col("fa") * F.col("fb")), F.lit(EPS))).alias("c"))
     return _expand(base, base.select("query_id").distinct().join(f.toDF("query_id", "fold"), "query_id").join(c, "fold").select("query_id", "a", "b", "c"))
 
@@ -133,14 +135,33 @@ def hybrid(lexical: DataFrame, dense: DataFrame, dense_memory: DataFrame, lexica
     return row_scale(weighted((0.35, direct(lexical, dense)), (0.45, dense_memory), (0.05, lexical_memory), (0.15, classifier)))
 
 
+def _confidence(sim: DataFrame, gate: dict) -> DataFrame:
+    return sim.groupBy(F.col("target_id").alias("query_id")).agg(F.least(F.greatest((F.max("sim") - gate["start"]) / gate["width"], F.lit(0.0)), F.lit(1.0)).alias("conf"))
+
+
+def _robust(first: DataFrame, dense_memory: DataFrame, lexical_memory: DataFrame, classifier: DataFrame, conf: DataFrame, unseen: DataFrame) -> DataFrame:
+    gated = dense_memory.join(conf, "query_id").select("query_id", "article_id", (F.col("score") * F.col("conf")).alias("score"))
+    shift = weighted((0.275, first), (-0.275, gated)).join(unseen.select("query_id"), "query_id", "left_semi")
+    return row_scale(weighted((0.35, first), (0.45, gated), (0.05, lexical_memory), (0.15, classifier), (1.0, shift)))
+
+
 def robust(lexical: DataFrame, dense: DataFrame, dense_memory: DataFrame, lexical_memory: DataFrame, classifier: DataFrame, sim: DataFrame, labels: DataFrame, gate: dict = GATE) -> DataFrame:
     """Dense memory counts by the gate of the nearest labelled query; unseen best articles shift."""
-    conf = sim.groupBy(F.col("target_id").alias("query_id")).agg(F.least(F.greatest((F.max("sim") - gate["start"]) / gate["width"], F.lit(0.0)), F.lit(1.0)).alias("conf"))
     first = direct(lexical, dense)
-    gated = dense_memory.join(conf, "query_id").select("query_id", "article_id", (F.col("score") * F.col("conf")).alias("score"))
-    top = rank(first, 1).join(labels.select("article_id").distinct(), "article_id", "left_anti").select("query_id")
-    shift = weighted((0.275, first), (-0.275, gated)).join(top, "query_id", "left_semi")
-    return row_scale(weighted((0.35, first), (0.45, gated), (0.05, lexical_memory), (0.15, classifier), (1.0, shift)))
+    unseen = rank(first, 1).join(labels.select("article_id").distinct(), "article_id", "left_anti")
+    return _robust(first, dense_memory, lexical_memory, classifier, _confidence(sim, gate), unseen)
+
+
+def fold_robust(lexical: DataFrame, dense: DataFrame, lexical_memory: DataFrame, classifier: DataFrame, sim: DataFrame, labels: DataFrame, folds: DataFrame, p: dict = ROBUST, gate: dict = GATE) -> DataFrame:
+    """`robust` for each fold (id, fold) with the labelled queries of the other folds, in one pass over all folds."""
+    f = folds.select("id", "fold")
+    others = sim.join(f.toDF("target_id", "tf"), "target_id").join(f.toDF("ref_id", "rf"), "ref_id").where("tf <> rf").select("target_id", "ref_id", "sim")
+    first = direct(lexical, dense)
+    total = labels.groupBy("article_id").agg(F.count("*").alias("n"))
+    own = labels.join(f.toDF("ref_id", "fold"), "ref_id").groupBy("fold", "article_id").agg(F.count("*").alias("m"))
+    best = rank(first, 1).join(f.toDF("query_id", "fold"), "query_id").join(total, "article_id", "left").join(own, ["fold", "article_id"], "left")
+    unseen = best.where("coalesce(n, 0) = coalesce(m, 0)")
+    return _robust(first, fold_memory(sim, labels, folds, p), lexical_memory, classifier, _confidence(others, gate), unseen)
 
 
 def high_score(base: DataFrame, reranked: DataFrame) -> DataFrame:
@@ -148,12 +169,20 @@ def high_score(base: DataFrame, reranked: DataFrame) -> DataFrame:
 
 
 def complete(scores: DataFrame, queries: DataFrame, articles: DataFrame, k: int = 10) -> DataFrame:
-    """Add zero scores where a query has fewer than k articles or any negative one.
+    """Add the zero scores that a ranking of k articles can need.
 
-    Only the first articles can be needed where all scores are positive: k more than the row has.
+    A query with fewer than k positive scores lacks zeros, and they come in the order of article
+    ids: among the first k + (its number of rows) ids there are enough that it has no row for. So
+    only that many ids are read, and joined with those queries alone.
     """
-    zeros = queries.select("query_id").distinct().join(F.broadcast(articles.select("article_id")))
-    return zeros.join(scores, ["query_id", "article_id"], "left").select("query_id", "article_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    rows = scores.groupBy("query_id").agg(F.count("*").alias("rows"), F.count_if(F.col("score") > 0).alias("positive"))
+    short = queries.select("query_id").distinct().join(rows, "query_id", "left").na.fill(0, ["rows", "positive"]).where(f"positive < {k}").select("query_id", (F.col("rows") + k).alias("upto")).persist()
+    most = short.agg(F.max("upto")).first()[0]
+    if most is None:
+        return scores
+    first = articles.select("article_id").distinct().orderBy("article_id").limit(most).withColumn("at", F.row_number().over(Window.orderBy("article_id")))
+    zeros = short.join(first, F.col("at") <= F.col("upto")).select("query_id", "article_id").join(scores, ["query_id", "article_id"], "left_anti")
+    return scores.select("query_id", "article_id", "score").unionByName(zeros.withColumn("score", F.lit(0.0)))
 
 
 def rank(scores: DataFrame, k: int = 10) -> DataFrame:

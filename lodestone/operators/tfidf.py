@@ -9,6 +9,10 @@ WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 CHAR_SIZES = (3, 4, 5)
 
 
+#: Terms of a vocabulary, and term weights of questions, that may be broadcast; with more the joins shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
 def word_terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term) of unigrams and bigrams of tokens with two or more word characters.
 
@@ -20,50 +24,79 @@ def word_terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return grams.where("term is not null")
 
 
-def char_terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term) of 3- to 5-character grams inside space-padded words."""
-    words = df.select(key, F.explode(F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")).alias("w")).where("w <> ''")
-    padded = words.select(key, F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
-    sizes = padded.select(key, "w", F.explode(F.array(*map(F.lit, CHAR_SIZES))).alias("n")).where("n = 3 or length(w) >= n")
-    places = sizes.select(key, "w", "n", F.explode(F.expr("sequence(1, greatest(length(w) - n + 1, 1))")).alias("i"))
-    return places.select(key, F.expr("substring(w, i, n)").alias("term"))
+def words(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, w) of lower-cased words between white space."""
+    return df.select(key, F.explode(F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")).alias("w")).where("w <> ''")
 
 
-TERMS = {"word": word_terms, "char": char_terms}
+def word_grams(df: DataFrame) -> DataFrame:
+    """The 3- to 5-character grams inside each space-padded word `w`, as column `term` in place of w."""
+    rest = [c for c in df.columns if c != "w"]
+    padded = df.select(*rest, F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
+    sizes = padded.select(*rest, "w", F.explode(F.array(*map(F.lit, CHAR_SIZES))).alias("n")).where("n = 3 or length(w) >= n")
+    places = sizes.select(*rest, "w", "n", F.explode(F.expr("sequence(1, greatest(length(w) - n + 1, 1))")).alias("i"))
+    return places.select(*rest, F.expr("substring(w, i, n)").alias("term"))
+
+
+def char_terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term) of 3- to 5-character grams inside space-padded words."""
+    return word_grams(words(df, key, text))
 
 
 def _tf(sublinear: bool) -> Column:
     return F.lit(1.0) + F.log("tf") if sublinear else F.col("tf").cast("double")
 
 
-def counts(terms: DataFrame, key: str) -> DataFrame:
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+def counts(df: DataFrame, key: str, analyzer: str) -> DataFrame:
+    """(key, term, tf) of the texts. Only the texts are shuffled, by key: terms are counted where they arise.
+
+    Grams of characters are made once for each distinct word of a text.
+    """
+    dealt = df.repartition(key)
+    if analyzer == "word":
+        return word_terms(dealt, key, "text").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    times = words(dealt, key, "text").groupBy(key, "w").agg(F.count("*").alias("times"))
+    return word_grams(times).groupBy(key, "term").agg(F.sum("times").alias("tf"))
+
 
+def idf(tf: DataFrame, n: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:
+    """(term, idf): smooth inverse document frequency of the corpus; n: one row, its size.
 
-def idf(tf: DataFrame, key: str, n: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:
-    """(term, idf): smooth inverse document frequency of the corpus; n: one row, its size."""
+    With max_features the most frequent terms stay, ties by the term: each task keeps its first
+    ones before they are merged, so the whole vocabulary is never in one task.
+    """
     seen = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(f"df >= {min_df}")
     if max_features:
-        rank = F.row_number().over(Window.orderBy(F.desc("total"), "term"))
-        seen = seen.withColumn("r", rank).where(f"r <= {max_features}")
+        seen = seen.orderBy(F.desc("total"), "term").limit(max_features)
     return seen.withColumn("n", n.scalar()).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def weigh(tf: DataFrame, weights: DataFrame, key: str, sublinear: bool) -> DataFrame:
-    """(key, term, w) with rows of length one; terms that the corpus lacks are dropped."""
-    raw = tf.join(weights, "term").select(key, "term", (_tf(sublinear) * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+def _small(df: DataFrame) -> DataFrame:
+    """`df`, kept and counted, for a broadcast if it is small enough."""
+    df = df.persist()
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def tfidf_scores(corpus: DataFrame, queries: DataFrame, analyzer: str, min_df: int = 1, sublinear: bool = False, max_features: int | None = None) -> DataFrame:
-    """score(query_id, article_id, score > 0): cosine of queries (query_id, text) and corpus (article_id, text)."""
-    terms = TERMS[analyzer]
-    ctf, qtf = counts(terms(corpus, "article_id", "text"), "article_id"), counts(terms(queries, "query_id", "text"), "query_id")
-    weights = idf(ctf, "article_id", corpus.agg(F.count("*")), min_df, max_features)
-    docs, asked = weigh(ctf, weights, "article_id", sublinear), weigh(qtf, weights, "query_id", sublinear)
-    both = asked.withColumnRenamed("w", "qw").join(docs, "term")
-    return both.groupBy("query_id", "article_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+    """score(query_id, article_id, score > 0): cosine of queries (query_id, text) and corpus (article_id, text).
+
+    Articles are dealt by id once; counting terms, weighing them, the rows' lengths and the sums
+    for each question follow without another shuffle while the vocabulary and the questions are
+    small enough to be broadcast (both are counted). Only terms that a question has leave an
+    article's row. Terms that the corpus lacks are dropped.
+    """
+    tf = counts(corpus, "article_id", analyzer)
+    weights = _small(idf(tf, corpus.agg(F.count("*")), min_df, max_features))
+    raw = counts(queries, "query_id", analyzer).join(weights, "term").select("query_id", "term", (_tf(sublinear) * F.col("idf")).alias("w"))
+    length = Window.partitionBy("query_id")
+    asked = _small(raw.select("query_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(length))).alias("qw")))
+    terms = weights.join(asked.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
+    terms = F.broadcast(terms) if weights.count() <= BROADCAST_ROWS else terms
+    rows = tf.join(terms, "term").select("article_id", "term", "asked", (_tf(sublinear) * F.col("idf")).alias("w"))
+    rows = rows.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("asked"), F.struct("term", "w"))).alias("hits"))
+    docs = rows.select("article_id", "norm", F.explode("hits").alias("h")).select("article_id", "h.term", (F.col("h.w") / F.col("norm")).alias("w"))
+    both = docs.join(asked, "term")
+    return both.groupBy("article_id", "query_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score")).select("query_id", "article_id", "score")
 
 
 def lexical_channels(articles: DataFrame, queries: DataFrame) -> DataFrame:

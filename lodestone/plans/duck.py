@@ -72,30 +72,48 @@ cs as (select a, b, n / greatest(sqrt(fa.f * fb.f), 1e-8) as c from co join fr f
 """ + _SUM.format(join="base join cs on base.article_id = cs.a")
 
 
-def _held_out(p: dict, cooc: bool, exclude: str, own: str) -> str:
+def _held_out(p: dict, cooc: bool, exclude: str, own: str, labels: str | None = None, digits: int = 6) -> str:
     """Statement where each target learns from references for which `exclude` is false."""
-    lab = DOUBLE if cooc else LABELS
+    lab = labels or (DOUBLE if cooc else LABELS)
     head = f"""with all_sim as ({transfer_sim('true', 'true')}), lab as ({lab}), sim as (select * from all_sim where not ({exclude})),
     q as (select vec_id as query_id from embeddings),
     fr as (select q.query_id, l.article_id, count(*) as f from q join lab l on not ({own}) group by 1, 2),
     rawt as ({_transfer(p)}),
     base as (select query_id, article_id, s / greatest(max(s) over (partition by query_id), 1e-8) as score from (select query_id, article_id, raw / pow(greatest(coalesce(f, 0), 1), {p['frequency_power']}) as s from rawt left join fr using (query_id, article_id)))"""
     if not cooc:
-        return head + " select query_id, article_id, round(score, 6) as score from base"
+        return head + f" select query_id, article_id, round(score, {digits}) as score from base"
     return head + f""",
     xy as (select x.ref_id, x.article_id as a, y.article_id as b from lab x join lab y on x.ref_id = y.ref_id and x.article_id <> y.article_id),
     co as (select q.query_id, a, b, count(*) as n from q join xy l on not ({own}) group by 1, 2, 3),
     cs as (select co.query_id, a, b, n / greatest(sqrt(fa.f * fb.f), 1e-8) as c from co join fr fa on fa.query_id = co.query_id and fa.article_id = a join fr fb on fb.query_id = co.query_id and fb.article_id = b),
     {_SUM.format(join='(select base.query_id, cs.b, base.score, cs.c from base join cs on base.query_id = cs.query_id and base.article_id = cs.a)')}
-    select query_id, article_id, round(score, 6) as score from scaled"""
+    select query_id, article_id, round(score, {digits}) as score from scaled"""
 
 
 def loo(p: dict, cooc: bool = False) -> str:
     return _held_out(p, cooc, "target_id = ref_id", "l.ref_id = q.query_id")
 
 
-def fold(p: dict, cooc: bool = False) -> str:
-    return _held_out(p, cooc, "target_id % 5 = ref_id % 5", "l.ref_id % 5 = q.query_id % 5")
+def fold(p: dict, cooc: bool = False, labels: str | None = None, digits: int = 6) -> str:
+    return _held_out(p, cooc, "target_id % 5 = ref_id % 5", "l.ref_id % 5 = q.query_id % 5", labels, digits)
+
+
+#: Labels of which some occur in one fold only.
+FOLD_LABELS = "select vec_id as ref_id, label::bigint as article_id from embeddings where label % 3 <> 0 or vec_id % 5 = 1"
+
+
+def fold_robust(p: dict, gate: dict) -> str:
+    return f"""with t as ({transfer_sim('true', 'true')}), sim as (select * from t where target_id % 5 <> ref_id % 5), lab as ({FOLD_LABELS}),
+    sl as (select target_id as query_id, article_id, max(sim) as mx, avg(abs(sim)) as av from t join lab using (ref_id) where target_id <> ref_id group by 1, 2),
+    den as ({_scaled('select query_id, article_id, mx as s from sl')}), lex as ({_scaled('select query_id, article_id, av as s from sl')}), clf as (select query_id, article_id, score * score as score from den),
+    dm as ({fold(p, False, FOLD_LABELS, 15)}), dir as ({_scaled(_weighted(('.15', 'lex'), ('.85', 'den')))}),
+    conf as (select target_id as query_id, least(greatest((max(sim) - {gate['start']}) / {gate['width']}, 0), 1) as conf from sim group by 1),
+    gm as (select query_id, article_id, score * conf as score from dm join conf using (query_id)),
+    best as (select query_id, article_id from dir qualify row_number() over (partition by query_id order by round(score, 9) desc, article_id) = 1),
+    top as (select query_id from best b where not exists (select 1 from lab l where l.article_id = b.article_id and l.ref_id % 5 <> b.query_id % 5)),
+    sh as (select query_id, article_id, s as score from ({_weighted(('.275', 'dir'), ('-.275', 'gm'))}) where query_id in (select query_id from top)),
+    robust as ({_scaled(_weighted(('.35', 'dir'), ('.45', 'gm'), ('.05', 'lex'), ('.15', 'clf'), ('1', 'sh')))})
+    select query_id, article_id, round(score, 6) as score from robust"""
 
 
 def _scaled(body: str) -> str:
@@ -126,7 +144,7 @@ def fusion(p: dict, last: str, gate: dict | None = None) -> str:
 
 def best_chunk(top: str) -> str:
     chunks = """(select doc_id as article_id, chunk_id, doc_id * 1000000 + chunk_id as ref, lang || chr(10) || coalesce(array_to_string(w[chunk_id * 90 + 1 : chunk_id * 90 + 120], ' '), '') as text
-        from (select *, unnest(generate_series(0, (greatest(len(w), 1) - 1) // 90)) as chunk_id from (select doc_id, lang, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from documents where doc_id in (select article_id from cand))))"""
+        from (select *, unnest(generate_series(0, (greatest(len(w), 1) - 1) // 90)) as chunk_id from (select doc_id, lang, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from documents)))"""
     return f"""with cand as materialized (select query_id, article_id from ({top})), ch as materialized (select * from {chunks}),
     s as materialized ({query_similarity('ch', 'ref', 'text', 'benchmark', 'item_id', 'text', 0.4, 0.6, 2)}),
     j as (select cand.query_id, cand.article_id, ch.chunk_id, round(coalesce(s.sim, 0), 9) as sim from cand join ch using (article_id) left join s on s.target_id = cand.query_id and s.ref_id = ch.ref)

@@ -3,59 +3,129 @@
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.html_text import rendered
-from lodestone.functions.text import article_passages, instructed, normalize_text, parse_ground_truth, reranker_chunks
+from lodestone.functions.text import article_passages, instructed, normalize_lexical_text, normalize_text, parse_ground_truth, rerank_prompt, reranker_chunks
 from lodestone.operators import scores as S
 from lodestone.operators.classifier import kfold, logistic_oof, logistic_scores
-from lodestone.operators.rerank import encode, rerank
+from lodestone.operators.rerank import candidate_logits, encode, fuse, hashing_encoder
 from lodestone.operators.tfidf import query_similarity, tfidf_scores
-from lodestone.sources.io import load_data, save_submission, validate_submission
-from lodestone.functions.text import normalize_lexical_text
+from lodestone.sources import io
 
 MODES = ("fast", "high-score", "robust")
 ARTICLE_TASK = "Given a customer support question, retrieve all help articles that answer it"
 MEMORY_TASK = "Given a customer support question, retrieve other questions with the same articles"
+RERANK_TASK = "Given a customer support question, decide whether this passage is needed to answer it"
+
+
+@dataclass(frozen=True)
+class Models:
+    """Where encoder and reranker come from, and where their results are kept.
+
+    `encoder` and `scorer` get device and batch size; the defaults are stand-ins without weights.
+    Without cache_dir nothing is kept.
+    """
+
+    encoder: Callable[[str], Callable] = lambda device: hashing_encoder
+    scorer: Callable[[str, int], Callable[[DataFrame], DataFrame]] | None = None
+    name: str = "stand-in"
+    dimension: int = 256
+    device: str = "cpu"
+    batch_size: int = 4
+    cache_dir: str | None = None
+    version: int = 1
 
 
 def prepare_articles(articles: DataFrame) -> DataFrame:
-    """One parse for the clean and the dense text; an empty clean body is an error."""
-    out = articles.withColumn("r", rendered(F.col("body"))).select("*", normalize_text(F.col("title")).alias("clean_title"), F.col("r.clean").alias("clean_body"), F.col("r.dense").alias("dense")).drop("r").cache()
-    if not out.where("clean_body = ''").isEmpty():
-        raise ValueError("articles without text after cleaning")
+    """One parse for the clean and the dense text; an empty clean body is an error. Kept until unpersist()."""
+    out = articles.withColumn("r", rendered(F.col("body"))).select("*", normalize_text(F.col("title")).alias("clean_title"), F.col("r.clean").alias("clean_body"), F.col("r.dense").alias("dense")).drop("r").persist()
+    if empty := empty_bodies(out):
+        out.unpersist()
+        raise ValueError(f"{empty} articles without text after cleaning")
     return out
 
 
+def empty_bodies(prepared: DataFrame) -> int:
+    return prepared.agg(F.count_if(F.col("clean_body") == "")).first()[0]
+
+
 def label_matrix(calibration: DataFrame) -> DataFrame:
     return calibration.select(F.col("query_id").alias("ref_id"), F.explode(parse_ground_truth(F.col("ground_truth"))).alias("article_id")).distinct()
 
 
-def _channels(articles: DataFrame, refs: DataFrame, targets: DataFrame) -> dict[str, DataFrame]:
+def embedding_channels(articles: DataFrame, refs: DataFrame, targets: DataFrame, models: Models) -> dict[str, DataFrame]:
+    """(id, embedding) of passages, references and targets with each task: from the cache, or encoded and kept there."""
+    passages = article_passages(articles)
+    of = lambda df, task: df.select("query_id", (instructed(F.col("query_text"), task) if task else F.col("query_text")).alias("text"))
+    wanted = {"passages": (passages, "article_id", "passage"), "references": (of(refs, None), "query_id", "text"), "article_queries": (of(targets, ARTICLE_TASK), "query_id", "text"), "memory_queries": (of(targets, MEMORY_TASK), "query_id", "text")}
+    make = lambda df, key, text: encode(df, key, text, models.encoder(models.device), models.batch_size).withColumnRenamed(key, "id")
+    if not models.cache_dir:
+        return {name: make(*w) for name, w in wanted.items()}
+    spark = articles.sparkSession
+    settings = (models.version, models.name, models.dimension, ARTICLE_TASK, MEMORY_TASK)
+    key = io.embedding_key(passages, refs.select("query_id", "query_text"), targets.select("query_id", "query_text"), settings, models.device)
+    out = {}
+    for name, w in wanted.items():
+        path = f"{models.cache_dir}/embeddings/{key}"
+        out[name] = io.cached_embeddings(spark, path, name, w[0].count(), models.dimension)
+        if out[name] is None:
+            io.write_cache(make(*w), path, name)
+            out[name] = spark.read.parquet(f"{path}/{name}")
+    return out
+
+
+def channels(articles: DataFrame, refs: DataFrame, targets: DataFrame, models: Models) -> dict[str, DataFrame]:
+    """Lexical and dense scores of articles, and similarities to labelled queries."""
     corpus = articles.select("article_id", F.col("clean_body").alias("text"))
     asked = targets.select("query_id", normalize_text(F.col("query_text")).alias("text"))
     lexical = S.row_scale(tfidf_scores(corpus, asked, "word"))
     lex = lambda df, name: df.select(F.col("query_id").alias(name), normalize_lexical_text(F.col("query_text")).alias("text"))
     lex_sim = query_similarity(lex(refs, "ref_id"), lex(targets, "target_id"))
-    passages = encode(article_passages(articles), "article_id", "passage").toDF("ref_id", "u")
-    of = lambda df, task: encode(df.select("query_id", (instructed(F.col("query_text"), task) if task else F.col("query_text")).alias("text")), "query_id", "text")
-    dense = S.dense_similarity(of(targets, ARTICLE_TASK).toDF("target_id", "v"), passages)
+    e = embedding_channels(articles, refs, targets, models)
+    dense = S.dense_similarity(e["article_queries"].toDF("target_id", "v"), e["passages"].toDF("ref_id", "u"))
     dense = S.row_scale(dense.select(F.col("target_id").alias("query_id"), F.col("ref_id").alias("article_id"), F.col("sim").alias("score")))
-    dense_sim = S.dense_similarity(of(targets, MEMORY_TASK).toDF("target_id", "v"), of(refs, None).toDF("ref_id", "u"))
+    dense_sim = S.dense_similarity(e["memory_queries"].toDF("target_id", "v"), e["references"].toDF("ref_id", "u"))
     return {"lexical": lexical, "lex_sim": lex_sim, "dense": dense, "dense_sim": dense_sim}
 
 
-def build_submission(spark: SparkSession, data_dir: str, mode: str = "fast") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(submission with pos, test, articles)."""
+def reranked(base: DataFrame, articles: DataFrame, queries: DataFrame, models: Models) -> DataFrame:
+    """`base` fused with logits of its candidates; pairs that the cache lacks are scored and kept.
+
+    `base` is used several times and so persisted, until the caller unpersists it.
+    """
+    base = base.persist()
+    asked = queries.select("query_id", normalize_lexical_text(F.col("query_text")).alias("text"))
+    chunks = reranker_chunks(articles.select("article_id", "title", "dense")).withColumn("text", normalize_lexical_text(F.col("text")))
+    score = models.scorer(models.device, models.batch_size) if models.scorer else None
+    with_prompt = (lambda df: score(df.withColumn("prompt", rerank_prompt(F.col("query"), F.col("passage"), RERANK_TASK)))) if score else None
+    if not models.cache_dir:
+        return fuse(base, candidate_logits(base, chunks, asked, None, with_prompt))
+    spark, path = articles.sparkSession, f"{models.cache_dir}/logits"
+    key = io.reranker_key(articles.select("article_id", "title", "body"), queries.select("query_id", "query_text"), (models.version, models.name, RERANK_TASK), models.device)
+    cached = io.cached_logits(spark, path, key, queries.count())
+    pairs = S.rank(base, 15).select("query_id", "article_id")
+    if cached is None or not pairs.join(cached, ["query_id", "article_id"], "left_anti").isEmpty():
+        io.write_cache(candidate_logits(base, chunks, asked, cached, with_prompt), path, key)
+        cached = spark.read.parquet(f"{path}/{key}")
+    return fuse(base, pairs.join(cached, ["query_id", "article_id"]))
+
+
+def final_scores(articles: DataFrame, refs: DataFrame, test: DataFrame, mode: str = "fast", models: Models | None = None) -> DataFrame:
+    """score(query_id, article_id) of prepared articles for test queries in one of MODES.
+
+    The channels are used several times and so persisted; a session that goes on drops them by
+    spark.catalog.clearCache().
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    articles, refs, test = load_data(spark, data_dir)
-    articles = prepare_articles(articles)
-    labels = label_matrix(refs)
-    c = _channels(articles, refs, test)
+    models, labels = models or Models(), label_matrix(refs)
+    c = {name: df.persist() for name, df in channels(articles, refs, test, models).items()}
     lexical_memory = S.cooccurrence_scores(c["lex_sim"], labels)
     classifier = logistic_scores(refs.select("query_id", F.col("query_text").alias("text")), test.select("query_id", F.col("query_text").alias("text")), labels)
     if mode == "robust":
@@ -63,52 +133,73 @@ def build_submission(spark: SparkSession, data_dir: str, mode: str = "fast") ->
         base = S.robust(c["lexical"], c["dense"], memory, lexical_memory, classifier, c["dense_sim"], labels)
     else:
         base = S.hybrid(c["lexical"], c["dense"], S.memory_scores(c["dense_sim"], labels, S.DENSE), lexical_memory, classifier)
-    if mode != "fast":
-        base = rerank(base, reranker_chunks(articles), test.select("query_id", normalize_lexical_text(F.col("query_text")).alias("text")))
-    order = test if "pos" in test.columns else test.withColumn("pos", F.col("query_id"))
-    ranking = S.rank(S.complete(base, test, articles))
-    return S.submission(ranking).join(order.select("query_id", "pos"), "query_id").select("pos", "query_id", "answer"), order, articles
-
-
-def evaluate(spark: SparkSession, data_dir: str, seeds: Sequence[int] = (7, 42, 2026)) -> DataFrame:
-    """(protocol, channel, map) under leave-one-out and repeated five-fold splits."""
-    articles, refs, _ = load_data(spark, data_dir)
-    articles, labels = prepare_articles(articles), label_matrix(refs)
-    c = {k: v.cache() for k, v in _channels(articles, refs, refs).items()}
+    return base if mode == "fast" else reranked(base, articles, test, models)
+
+
+def answers(scores: DataFrame, test: DataFrame, articles: DataFrame) -> DataFrame:
+    """(pos, query_id, answer) in the test's order."""
+    ranking = S.rank(S.complete(scores, test, articles))
+    return S.submission(ranking).join(test.select("query_id", "pos"), "query_id").select("pos", "query_id", "answer")
+
+
+def build_submission(spark: SparkSession, data_dir: str, mode: str = "fast", models: Models | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(submission with pos, test, prepared articles)."""
+    articles, refs, test = io.load_data(spark, data_dir)
+    articles = prepare_articles(articles)
+    return answers(final_scores(articles, refs, test, mode, models), test, articles), test, articles
+
+
+def evaluate(articles: DataFrame, refs: DataFrame, seeds: Sequence[int] = (7, 42, 2026), models: Models | None = None) -> DataFrame:
+    """(protocol, channel, map, seconds) of prepared articles, best first, under leave-one-out and five-fold splits.
+
+    The leave-one-out fusion holds the classifier of the folds of one seed, the middle one of the
+    list. `seconds` is what the row took to compute.
+    """
+    spark, models, labels = articles.sparkSession, models or Models(), label_matrix(refs)
+    c = {k: v.persist() for k, v in channels(articles, refs, refs, models).items()}
     truth = labels.withColumnRenamed("ref_id", "query_id")
     texts = refs.select("query_id", F.col("query_text").alias("text"))
-    rows = []
+    rows, kept = [], list(c.values())
 
     def add(protocol: str, channel: str, scores: DataFrame) -> None:
-        rows.append((protocol, channel, S.mean_average_precision(S.rank(S.complete(scores, refs, articles)), truth).first()[0]))
-
-    lex_loo, dense_loo = S.leave_one_out(c["lex_sim"], labels), S.leave_one_out(c["dense_sim"], labels, S.DENSE, False)
-    clf = {s: logistic_oof(texts, labels, s).cache() for s in seeds}
-    for name, scores in (("lexical", c["lexical"]), ("dense", c["dense"]), ("lexical_memory", lex_loo), ("dense_memory", dense_loo), ("fusion", S.hybrid(c["lexical"], c["dense"], dense_loo, lex_loo, clf[seeds[0]]))):
+        began = time.perf_counter()
+        found = S.mean_average_precision(S.rank(S.complete(scores, refs, articles)), truth).first()[0]
+        rows.append((protocol, channel, found, time.perf_counter() - began))
+
+    lexical_memory, dense_memory = S.leave_one_out(c["lex_sim"], labels), S.leave_one_out(c["dense_sim"], labels, S.DENSE, False)
+    classifiers = {s: logistic_oof(texts, labels, s).persist() for s in seeds}
+    middle = classifiers[seeds[len(seeds) // 2]]
+    fusion = S.hybrid(c["lexical"], c["dense"], dense_memory, lexical_memory, middle).persist()
+    kept += [*classifiers.values(), fusion]
+    for name, scores in (("lexical", c["lexical"]), ("lexical_memory", lexical_memory), ("classifier", middle), ("dense", c["dense"]), ("dense_memory", dense_memory), ("fusion", fusion), ("high_score", reranked(fusion, articles, refs, models))):
         add("leave-one-out", name, scores)
     ids = sorted(r[0] for r in refs.select("query_id").collect())
     for s in seeds:
         folds = spark.createDataFrame([(int(q), int(f)) for q, f in zip(ids, kfold(len(ids), s))], "id long, fold int")
-        lex, dense = S.fold_memory(c["lex_sim"], labels, folds, S.MEMORY, True), S.fold_memory(c["dense_sim"], labels, folds, S.DENSE)
-        add(f"five-fold {s}", "fusion", S.hybrid(c["lexical"], c["dense"], dense, lex, clf[s]))
-        strong = S.fold_memory(c["dense_sim"], labels, folds, S.ROBUST)
-        f = folds.select("id", "fold")
-        near = c["dense_sim"].join(f.toDF("target_id", "tf"), "target_id").join(f.toDF("ref_id", "rf"), "ref_id").where("tf <> rf")
-        add(f"five-fold {s}", "robust", S.robust(c["lexical"], c["dense"], strong, lex, clf[s], near, labels))
-    return spark.createDataFrame(rows, "protocol string, channel string, map double")
+        lexical_memory, dense_memory = S.fold_memory(c["lex_sim"], labels, folds, S.MEMORY, True), S.fold_memory(c["dense_sim"], labels, folds, S.DENSE)
+        add(f"five-fold {s}", "fusion", S.hybrid(c["lexical"], c["dense"], dense_memory, lexical_memory, classifiers[s]))
+        add(f"five-fold {s}", "robust", S.fold_robust(c["lexical"], c["dense"], lexical_memory, classifiers[s], c["dense_sim"], labels, folds))
+    for df in kept:
+        df.unpersist()
+    return spark.createDataFrame(sorted(rows, key=lambda r: (r[0], -r[2], r[1])), "protocol string, channel string, map double, seconds double")
 
 
 def main(arguments: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Rank articles for test queries and write the answers.")
     parser.add_argument("--data-dir", default="data")
     parser.add_argument("--output", default="answer.csv")
+    parser.add_argument("--cache-dir", default=None, help="where embeddings and logits are kept between runs")
     parser.add_argument("--mode", choices=MODES, default="fast")
+    parser.add_argument("--batch-size", type=int, default=4)
+    parser.add_argument("--device", default="cpu")
     a = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("lodestone").getOrCreate()
-    submission, test, articles = build_submission(spark, a.data_dir, a.mode)
-    submission = submission.cache()
-    validate_submission(submission, test, articles)
-    save_submission(submission, a.output)
+    models = Models(device=a.device, batch_size=a.batch_size, cache_dir=a.cache_dir)
+    submission, test, articles = build_submission(spark, a.data_dir, a.mode, models)
+    submission = submission.persist()
+    io.validate_submission(submission, test, articles)
+    io.save_submission(submission, a.output)
+    spark.catalog.clearCache()
     print(f"wrote {a.output}")
 
 

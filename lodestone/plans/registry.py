@@ -12,6 +12,7 @@ from lodestone.operators import scores as S
 from lodestone.operators.classifier import kfold, logistic_oof, logistic_scores
 from lodestone.operators.rerank import encode, rerank
 from lodestone.plans import duck as D
+from lodestone.operators.matching import containing
 from lodestone.sources.io import content_key, unknown_labels
 
 QUERIES: dict = {}
@@ -80,9 +81,8 @@ def _r(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _truth(spark, d):
-    """(query_id, article_id): documents that contain the benchmark text, by its words."""
-    docs, items = _docs(spark, d), _bench(spark, d)
-    return items.withColumnRenamed("text", "q").join(docs, F.contains("text", "q")).select("query_id", "article_id")
+    """(query_id, article_id): documents that contain the benchmark text."""
+    return containing(_docs(spark, d), _bench(spark, d))
 
 
 @query("select doc_id, trim(regexp_replace(translate(text, 'ёЁ', 'еЕ'), '\\s+', ' ', 'g')) as clean from documents")
@@ -106,12 +106,12 @@ def html_to_dense_text(spark, d):
     return _t(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(dense, r"\s+", " ")).alias("dense"))
 
 
-@query("select page_id, trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) as clean_title, length(" + D.CLEAN + ") as n_chars from pages")
+@query("select page_id, trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) as clean_title, " + D.CLEAN + " as clean_body from pages")
 def prepare_articles(spark, d):
     from lodestone.plans.pipeline import prepare_articles as prepare
 
     a = _t(spark, d, "pages").select(F.col("page_id").alias("article_id"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"), F.col("html").alias("body"))
-    return prepare(a).select(F.col("article_id").alias("page_id"), "clean_title", F.length("clean_body").cast("long").alias("n_chars"))
+    return prepare(a).select(F.col("article_id").alias("page_id"), "clean_title", "clean_body")
 
 
 @query("""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from documents),
@@ -183,13 +183,13 @@ def lexical_article_scores(spark, d):
     return _r(S.row_scale(tfidf.tfidf_scores(_docs(spark, d), _bench(spark, d), "word")))
 
 
-@query(" union all ".join(f"select '{ch}' as channel, * from ({_TOP.format(D.tfidf('pages', 'page_id', col, 'benchmark', 'item_id', 'text', an, mind, an == 'char'), 3)})" for ch, col, an, mind in (("body_word", D.CLEAN, "word", 1), ("body_char", D.CLEAN, "char", 2), ("title_word", D.TITLE, "word", 1), ("title_char", D.TITLE, "char", 1))))
+@query(" union all ".join(f"select '{ch}' as channel, query_id, article_id, round(score, 6) as score from ({D.tfidf('pages', 'page_id', col, 'benchmark', 'item_id', 'text', an, mind, an == 'char')})" for ch, col, an, mind in (("body_word", D.CLEAN, "word", 1), ("body_char", D.CLEAN, "char", 2), ("title_word", D.TITLE, "word", 1), ("title_char", D.TITLE, "char", 1))))
 def lexical_channels(spark, d):
     a = _articles(spark, d).select("article_id", F.col("title").alias("clean_title"), "clean_body")
     return _r(tfidf.lexical_channels(a, _bench(spark, d)))
 
 
-_QSIM = D.query_similarity("benchmark", "item_id", "text", "(select * from conversations where role = 'user' and turn <= 1)", "conv_id * 1000 + turn", "text")
+_QSIM = D.query_similarity("benchmark", "item_id", "text", "(select * from conversations where role = 'user')", "conv_id * 1000 + turn", "text")
 
 
 @query(f"select target_id, ref_id, round(sim, 6) as sim from ({_QSIM})")
@@ -199,12 +199,12 @@ def query_similarity(spark, d):
     return _r(tfidf.query_similarity(refs, turns), "sim")
 
 
-@query(f"""with t as ({D.transfer_sim()}) select target_id, ref_id, round(sim, 6) as sim from t""")
+@query(f"""with t as ({D.transfer_sim('true', 'true')}) select target_id, ref_id, round(sim, 6) as sim from t""")
 def dense_similarity(spark, d):
     return _r(_all_sim(spark, d), "sim")
 
 
-@query(f"""with t as ({D.transfer_sim()}), m as (select target_id, greatest(max(sim), 1e-8) as m from t group by 1)
+@query(f"""with t as ({D.transfer_sim('true', 'true')}), m as (select target_id, greatest(max(sim), 1e-8) as m from t group by 1)
 select target_id as query_id, ref_id as article_id, round(sim / m, 6) as score from t join m using (target_id)""")
 def dense_scores(spark, d):
     return _r(S.row_scale(_all_sim(spark, d).select(F.col("target_id").alias("query_id"), F.col("ref_id").alias("article_id"), F.col("sim").alias("score"))))
@@ -377,8 +377,7 @@ def eda_label_slices(spark, d):
 def best_chunk_per_candidate(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.col("lang").alias("title"), F.col("text").alias("dense"))
     pairs = S.rank(tfidf.tfidf_scores(_docs(spark, d), _bench(spark, d), "word"), 15)
-    near = docs.join(pairs.select("article_id").distinct(), "article_id", "left_semi")
-    chunks = X.reranker_chunks(near).withColumn("text", X.normalize_lexical_text(F.col("text")))
+    chunks = X.reranker_chunks(docs).withColumn("text", X.normalize_lexical_text(F.col("text")))
     asked = _bench(spark, d).withColumn("text", X.normalize_lexical_text(F.col("text")))
     return _r(tfidf.best_chunks(chunks, asked, pairs), "sim").select("query_id", "article_id", "chunk_id", "sim")
 
@@ -408,18 +407,106 @@ def logistic_oof_scores(spark, d):
 
 @query()
 def encode_stub(spark, d):
-    return encode(_bench(spark, d), "query_id", "text").select("query_id", F.size("embedding").alias("n"))
+    return encode(_bench(spark, d), "query_id", "text")
 
 
 @query()
 def reranked_scores(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.col("lang").alias("title"), F.col("text").alias("dense"))
     base = S.row_scale(tfidf.tfidf_scores(_docs(spark, d), _bench(spark, d), "word"))
-    pairs = S.rank(base, 15).select("article_id").distinct()
-    chunks = X.reranker_chunks(docs.join(pairs, "article_id", "left_semi")).withColumn("text", X.normalize_lexical_text(F.col("text")))
+    chunks = X.reranker_chunks(docs).withColumn("text", X.normalize_lexical_text(F.col("text")))
     return S.rank(rerank(base, chunks, _bench(spark, d).withColumn("text", X.normalize_lexical_text(F.col("text")))))
 
 
 @query()
 def table_content_key(spark, d):
     return spark.createDataFrame([(content_key(_t(spark, d, "documents"), ("v1",)),)], "key string")
+
+
+@query("select doc_id, 'Instruct: Find it' || chr(10) || 'Query: ' || lang || chr(10) || 'Document: ' || text as prompt from documents")
+def reranker_prompt(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.rerank_prompt(F.col("lang"), F.col("text"), "Find it").alias("prompt"))
+
+
+@query(D.fold_robust(SCALED, SCALED_GATE))
+def fold_robust_fusion(spark, d):
+    sim, labels = _all_sim(spark, d), _vectors(spark, d).where("label % 3 <> 0 or vec_id % 5 = 1").select(F.col("vec_id").alias("ref_id"), F.col("label").alias("article_id"))
+    near = sim.where("target_id <> ref_id").join(labels, "ref_id").groupBy(F.col("target_id").alias("query_id"), "article_id")
+    dense, lexical = S.row_scale(near.agg(F.max("sim").alias("score"))), S.row_scale(near.agg(F.avg(F.abs("sim")).alias("score")))
+    clf = dense.select("query_id", "article_id", (F.col("score") * F.col("score")).alias("score"))
+    return _r(S.fold_robust(lexical, dense, lexical, clf, sim, labels, _folds(spark, d), SCALED, SCALED_GATE))
+
+
+@query("select ref_id, article_id from (select l_orderkey as ref_id, l_suppkey as article_id from lineitem) group by 1, 2")
+def label_matrix(spark, d):
+    from lodestone.plans.pipeline import label_matrix as matrix
+
+    packed = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query_id")).agg(F.array_join(F.collect_list(F.col("l_suppkey").cast("string")), " ").alias("ground_truth"))
+    return matrix(packed)
+
+
+@query(f"""with t as ({D._terms('documents', 'doc_id', 'text', 'word')}), c as (select id, term, count(*) as tf from t group by 1, 2)
+select term, round(ln((1 + (select count(*) from documents)) / (1 + count(*))) + 1, 6) as idf from c group by 1 having count(*) >= 2 order by sum(tf) desc, term limit 500""")
+def frequent_terms(spark, d):
+    docs = _docs(spark, d)
+    return _r(tfidf.idf(tfidf.counts(docs, "article_id", "word"), docs.agg(F.count("*")), 2, 500), "idf")
+
+
+@query("select count(*) as n_labels, count_if(n = 1)::bigint as n_single from (select l_suppkey, count(*) as n from lineitem group by 1)")
+def eda_label_summary(spark, d):
+    return eda.label_summary(_t(spark, d, "lineitem").select(F.col("l_suppkey").alias("article_id")))
+
+
+@query("select n_labels, count(*) as n_queries from (select l_orderkey, count(*) as n_labels from lineitem group by 1) group by 1")
+def eda_labels_per_query(spark, d):
+    return eda.labels_per_query(_t(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("article_id")))
+
+
+@query("select l_linenumber::bigint as value, count(*) as n, round(count(*) / (select count(*) from lineitem), 6) as density from lineitem group by 1")
+def eda_discrete_histogram(spark, d):
+    return _r(eda.discrete_histogram(_t(spark, d, "lineitem"), "l_linenumber"), "density")
+
+
+@query("select doc_id, length(text) as n_chars, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''))::bigint as n_words, round(log10(length(text) + 1), 6) as log_chars from documents")
+def eda_lengths(spark, d):
+    return _r(eda.lengths(_t(spark, d, "documents"), "doc_id", "text"), "log_chars")
+
+
+@query("select count_if(" + D.CLEAN + " = '')::bigint as n_empty from pages")
+def eda_empty_bodies(spark, d):
+    return _articles(spark, d).agg(F.count_if(F.col("clean_body") == "").alias("n_empty"))
+
+
+def _task(spark, d):
+    """Pages as articles; benchmark texts as queries, the odd ones labelled by pages whose ids follow from theirs."""
+    from lodestone.plans.pipeline import prepare_articles as prepare
+
+    pages = _t(spark, d, "pages").select(F.col("page_id").alias("article_id"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"), F.col("html").alias("body"))
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), F.col("item_id").alias("pos"))
+    ids = pages.orderBy("article_id").limit(20).agg(F.array_sort(F.collect_list("article_id")).alias("ids"))
+    refs = asked.where("query_id % 2 = 1").withColumn("ids", ids.scalar())
+    refs = refs.select("query_id", "query_text", F.concat_ws(" ", F.expr("cast(ids[cast(query_id % 7 as int)] as string)"), F.expr("cast(ids[cast(query_id % 20 as int)] as string)")).alias("ground_truth"))
+    return prepare(pages), refs, asked.where("query_id % 2 = 0")
+
+
+def _mode_query(mode: str) -> None:
+    def run(spark, d):
+        from lodestone.plans.pipeline import answers, final_scores
+
+        articles, refs, test = _task(spark, d)
+        return answers(final_scores(articles, refs, test, mode), test, articles)
+
+    run.__name__ = f"answers_{mode.replace('-', '_')}"
+    query()(run)
+
+
+for _mode in ("fast", "high-score", "robust"):
+    _mode_query(_mode)
+
+
+@query()
+def evaluation(spark, d):
+    from lodestone.plans.pipeline import evaluate
+
+    articles, refs, _ = _task(spark, d)
+    return evaluate(articles, refs, (7, 42)).drop("seconds")

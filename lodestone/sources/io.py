@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -31,6 +32,12 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(found)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table with its rows' order in the files as column `pos`. For tables of the retrieval task's size."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return rows.withColumn("pos", F.row_number().over(Window.orderBy("__file", "__row")).cast("long") - 1).drop("__file", "__row")
+
+
 def check(df: DataFrame, name: str, columns: tuple[str, ...], key: str) -> None:
     """Columns in order, no nulls, unique key; ValueError otherwise. One job."""
     if tuple(c for c in df.columns if c != "pos") != columns:
@@ -53,7 +60,7 @@ def load_data(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame
     out = []
     for name, columns, key in (("articles", ARTICLES, "article_id"), ("calibration", CALIBRATION, "query_id"), ("test", TEST, "query_id")):
         arrow = Path(directory) / f"{name}.f"
-        df = read_arrow(spark, str(arrow)) if arrow.exists() else spark.read.parquet(f"{directory}/{name}.parquet")
+        df = read_arrow(spark, str(arrow)) if arrow.exists() else read_table(spark, f"{directory}/{name}.parquet")
         check(df, name, columns, key)
         out.append(df)
     labels = out[1].select(F.explode(parse_ground_truth(F.col("ground_truth"))).alias("article_id"))
@@ -90,19 +97,42 @@ def cached_embeddings(spark: SparkSession, path: str, key: str, expected: int, d
     return df if n == expected and not bad else None
 
 
-def cached_logits(spark: SparkSession, path: str, key: str) -> DataFrame | None:
-    """Cached (query_id, article_id, logit), or None if it is missing or has numbers that are not finite."""
+def cached_logits(spark: SparkSession, path: str, key: str, queries: int | None = None) -> DataFrame | None:
+    """Cached (query_id, article_id, logit), or None if the cache cannot be used as a whole.
+
+    That is if it is missing, has numbers that are not finite, a pair twice, queries with more
+    candidates than others or, where `queries` is given, not that many queries.
+    """
     try:
         df = spark.read.parquet(f"{path}/{key}")
-        bad = df.where("logit is null or isnan(logit) or abs(logit) = double('infinity')")
-        return None if not {"query_id", "article_id", "logit"} <= set(df.columns) or not bad.isEmpty() else df
+        if not {"query_id", "article_id", "logit"} <= set(df.columns):
+            return None
+        bad = F.count_if(F.expr("logit is null or isnan(logit) or abs(logit) = double('infinity')"))
+        per_query = df.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("article_id").alias("d"), bad.alias("bad"))
+        n, least, most, repeats, wrong = per_query.agg(F.count("*"), F.min("n"), F.max("n"), F.coalesce(F.sum(F.col("n") - F.col("d")), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+        return None if wrong or repeats or least != most or queries not in (None, n) else df
     except AnalysisException:
         return None
 
 
 def write_cache(df: DataFrame, path: str, key: str) -> None:
-    """Spark's committer makes the table appear as a whole."""
-    df.write.mode("overwrite").parquet(f"{path}/{key}")
+    """Write beside the cache, then take its place: the new table may read the old one, and appears as a whole."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}.{uuid.uuid4().hex[:8]}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{key}")
+    df.write.parquet(new.toString())
+    fs = new.getFileSystem(conf)
+    fs.delete(old, True)
+    fs.rename(new, old)
+
+
+def embedding_key(articles: DataFrame, references: DataFrame, targets: DataFrame, settings: Iterable[object], device: str) -> str:
+    """Key of settings, device, passages (article_id, passage) and both lists of queries."""
+    return cache_key([[*settings, device], [content_key(df) for df in (articles, references, targets)]])
+
+
+def reranker_key(articles: DataFrame, queries: DataFrame, settings: Iterable[object], device: str) -> str:
+    """Key of settings, device, articles and queries; candidates are left out, so that their logits can be reused."""
+    return cache_key([[*settings, device], [content_key(df) for df in (articles, queries)]])
 
 
 def validate_submission(submission: DataFrame, test: DataFrame, articles: DataFrame) -> None:
