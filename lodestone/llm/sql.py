@@ -52,9 +52,9 @@ prefix as (
     select pair_id, coalesce(min(k) filter (where not same) - 1, max(k)) as n from places group by 1),
 shown as (select t.*, '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) as s, f.n from turns t join prefix f using (pair_id)),
 placed as (
-    select *, coalesce(sum(length(s)) over (partition by pair_id, side order by k rows between unbounded preceding and 1 preceding), 0) as at from shown where k > n),
+    select *, coalesce(sum(length(s)) over (partition by pair_id, side order by k rows between unbounded preceding and 1 preceding), 0)::bigint as begins from shown where k > n),
 masks as (
-    select pair_id, side, string_agg((at + 13 + length(role))::bigint || '-' || (at + length(s))::bigint, ' ' order by k) as mask from placed where role = 'assistant' group by 1, 2)
+    select pair_id, side, string_agg((begins + 13 + length(role)) || '-' || (begins + length(s)), ' ' order by k) as mask from placed where role = 'assistant' group by 1, 2)
 select p.pair_id, p.chosen_id, p.rejected_id, any_value(s.n) as n_prompt_turns,
     coalesce(string_agg(s.s, '' order by s.k) filter (where s.side = 'c' and s.k <= s.n), '') as prompt,
     coalesce(string_agg(s.s, '' order by s.k) filter (where s.side = 'c' and s.k > s.n), '') as chosen,
