@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +16,31 @@ from lodestone.llm.packing import pack
 from lodestone.llm.pseudonyms import pseudonymise
 from lodestone.llm.queries import KEY
 
+#: Columns that the stages know; others pass through them under names that cannot clash with their own.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
 #: Documents whose language is less certain go, with those that have none.
 LEAST_SCORE = 0.5
 
 
+def _apart(stage: Callable) -> Callable:
+    """The stage with further columns of `docs` renamed on the way."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"__column_{k}" for k, c in enumerate(docs.columns) if c not in KNOWN}
+        return stage(spark, docs.withColumnsRenamed(names), sf_dir).withColumnsRenamed({v: c for c, v in names.items()})
+
+    return run
+
+
+@_apart
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = identify(docs, fit(docs.select("doc_id", "text", "lang")))
     return found.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").drop("lang_pred", "score")
 
 
+@_apart
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group, once; documents without an id stay.
 
@@ -50,15 +69,18 @@ def _near_dedup_of_reused(spark: SparkSession, docs: DataFrame, texts: DataFrame
     return named.join(kept, "row_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null").select(docs.columns))
 
 
+@_apart
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
+@_apart
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = pseudonymise(docs, KEY).drop("n_pii")
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
+@_apart
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
