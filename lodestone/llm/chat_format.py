@@ -43,6 +43,7 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     The longest common prefix of turns (role and text equal) is rendered once as `prompt`; what
     follows in either conversation is its completion, with the spans of it that count in the loss.
     Equal conversations give two empty completions; a missing or null conversation has no turns.
+    Turns are taken whole, whatever their length; an empty table gives no pairs.
     Conversations are assembled by their own id and a pair holds two of them, so a text or
     opening that is common to many conversations brings no rows together.
     """

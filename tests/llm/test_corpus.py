@@ -583,3 +583,25 @@ def test_words_scored_together_equal_words_scored_alone():
     texts = [None, "", "12 !?", " ".join(ws), "xy xy " * 50, "é"]
     assert s.predict(texts) == [s.predict([t])[0] for t in texts]
     assert s.predict(texts[:3]) == [("und", 0.0)] * 3
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, n_pii string, th string, row_id int, h int"
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(70))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, a), (1, b), (None, c), (2, None), (3, ""), (4, a + " more"), (5, "see 4111111111111111 there " + text())]
+    rows = [(i, t, "en", "s", len(t or ""), 7, "p", "t", 8, 9) for i, t in rows]
+    for name, some in (("some", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, text())], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/some")
+        assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+    out = docs.collect()
+    assert sorted((str(r.doc_id), r.text[:9]) for r in out) == sorted([("1", a[:9]), ("1", b[:9]), ("None", c[:9]), ("5", "see 4" + out[[r.doc_id for r in out].index(5)].text[5:9])])
+    assert all((r.score, r.n_pii, r.th, r.row_id, r.h) == (7, "p", "t", 8, 9) for r in out) and not any("4111111111111111" in r.text for r in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
