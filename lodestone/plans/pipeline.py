@@ -97,9 +97,9 @@ def channels(articles: DataFrame, refs: DataFrame, targets: DataFrame, models: M
 def reranked(base: DataFrame, articles: DataFrame, queries: DataFrame, models: Models) -> DataFrame:
     """`base` fused with logits of its candidates; pairs that the cache lacks are scored and kept.
 
-    `base` is used several times and so persisted, until the caller unpersists it.
+    `base` is used several times and so settled first.
     """
-    base = base.persist()
+    base = io.settled(base)
     asked = queries.select("query_id", normalize_lexical_text(F.col("query_text")).alias("text"))
     chunks = reranker_chunks(articles.select("article_id", "title", "dense")).withColumn("text", normalize_lexical_text(F.col("text")))
     score = models.scorer(models.device, models.batch_size) if models.scorer else None
@@ -119,13 +119,12 @@ def reranked(base: DataFrame, articles: DataFrame, queries: DataFrame, models: M
 def final_scores(articles: DataFrame, refs: DataFrame, test: DataFrame, mode: str = "fast", models: Models | None = None) -> DataFrame:
     """score(query_id, article_id) of prepared articles for test queries in one of MODES.
 
-    The channels are used several times and so persisted; a session that goes on drops them by
-    spark.catalog.clearCache().
+    The channels are used several times and so settled first.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     models, labels = models or Models(), label_matrix(refs)
-    c = {name: df.persist() for name, df in channels(articles, refs, test, models).items()}
+    c = {name: io.settled(df) for name, df in channels(articles, refs, test, models).items()}
     lexical_memory = S.cooccurrence_scores(c["lex_sim"], labels)
     classifier = logistic_scores(refs.select("query_id", F.col("query_text").alias("text")), test.select("query_id", F.col("query_text").alias("text")), labels)
     if mode == "robust":
@@ -156,31 +155,30 @@ def evaluate(articles: DataFrame, refs: DataFrame, seeds: Sequence[int] = (7, 42
     list. `seconds` is what the row took to compute.
     """
     spark, models, labels = articles.sparkSession, models or Models(), label_matrix(refs)
-    c = {k: v.persist() for k, v in channels(articles, refs, refs, models).items()}
+    c = {k: io.settled(v) for k, v in channels(articles, refs, refs, models).items()}
     truth = labels.withColumnRenamed("ref_id", "query_id")
     texts = refs.select("query_id", F.col("query_text").alias("text"))
-    rows, kept = [], list(c.values())
+    rows = []
 
     def add(protocol: str, channel: str, scores: DataFrame) -> None:
         began = time.perf_counter()
         found = S.mean_average_precision(S.rank(S.complete(scores, refs, articles)), truth).first()[0]
         rows.append((protocol, channel, found, time.perf_counter() - began))
 
-    lexical_memory, dense_memory = S.leave_one_out(c["lex_sim"], labels), S.leave_one_out(c["dense_sim"], labels, S.DENSE, False)
-    classifiers = {s: logistic_oof(texts, labels, s).persist() for s in seeds}
+    labels = io.settled(labels)
+    lexical_memory, dense_memory = io.settled(S.leave_one_out(c["lex_sim"], labels)), io.settled(S.leave_one_out(c["dense_sim"], labels, S.DENSE, False))
+    classifiers = {s: io.settled(logistic_oof(texts, labels, s)) for s in seeds}
     middle = classifiers[seeds[len(seeds) // 2]]
-    fusion = S.hybrid(c["lexical"], c["dense"], dense_memory, lexical_memory, middle).persist()
-    kept += [*classifiers.values(), fusion]
+    fusion = S.hybrid(c["lexical"], c["dense"], dense_memory, lexical_memory, middle)
+    fusion = io.settled(fusion)
     for name, scores in (("lexical", c["lexical"]), ("lexical_memory", lexical_memory), ("classifier", middle), ("dense", c["dense"]), ("dense_memory", dense_memory), ("fusion", fusion), ("high_score", reranked(fusion, articles, refs, models))):
         add("leave-one-out", name, scores)
     ids = sorted(r[0] for r in refs.select("query_id").collect())
     for s in seeds:
         folds = spark.createDataFrame([(int(q), int(f)) for q, f in zip(ids, kfold(len(ids), s))], "id long, fold int")
-        lexical_memory, dense_memory = S.fold_memory(c["lex_sim"], labels, folds, S.MEMORY, True), S.fold_memory(c["dense_sim"], labels, folds, S.DENSE)
+        lexical_memory, dense_memory = io.settled(S.fold_memory(c["lex_sim"], labels, folds, S.MEMORY, True)), io.settled(S.fold_memory(c["dense_sim"], labels, folds, S.DENSE))
         add(f"five-fold {s}", "fusion", S.hybrid(c["lexical"], c["dense"], dense_memory, lexical_memory, classifiers[s]))
         add(f"five-fold {s}", "robust", S.fold_robust(c["lexical"], c["dense"], lexical_memory, classifiers[s], c["dense_sim"], labels, folds))
-    for df in kept:
-        df.unpersist()
     return spark.createDataFrame(sorted(rows, key=lambda r: (r[0], -r[2], r[1])), "protocol string, channel string, map double, seconds double")
 
 

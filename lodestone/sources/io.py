@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 import uuid
 from collections.abc import Iterable
 from pathlib import Path
@@ -155,3 +156,19 @@ def save_submission(submission: DataFrame, path: str) -> None:
     out = Path(path)
     out.parent.mkdir(parents=True, exist_ok=True)
     submission.orderBy("pos").select("query_id", "answer").toPandas().to_csv(out, index=False, lineterminator="\n")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder (spark.checkpoint.dir) and read back, which cuts its lineage.
+
+    Only where that is unset in a local session a temporary folder is used.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    path = f"{shared.rstrip('/')}/settled-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
