@@ -13,9 +13,12 @@ from lodestone.llm.html_extraction import extract_pages
 from lodestone.llm.language_id import fit, identify
 from lodestone.llm.near_duplicates import near_duplicates
 from lodestone.llm.packing import pack
+from lodestone.llm.piecewise_hash import fingerprints
 from lodestone.llm.pseudonyms import pseudonymise
 from lodestone.llm.quality_rules import quality
 from lodestone.llm.repeated_text import remove_repeated
+from lodestone.llm.spelling_variants import spelling_variants
+from lodestone.llm.token_alignment import align_tokens
 from lodestone.llm.token_output import materialise
 
 #: Stand-in for the secret key of a production run.
@@ -68,5 +71,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_repeated_text, op4_token_output, op5_html_extraction, op6_quality_rules, op7_pseudonyms, op8_preference_format, op9_packing, op10_decontamination)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))[0]
+
+
+def op12_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_repeated_text, op4_token_output, op5_html_extraction, op6_quality_rules, op7_pseudonyms, op8_preference_format, op9_packing, op10_decontamination, op11_token_alignment, op12_piecewise_hash, op13_spelling_variants)}
 ORACLES = sql.ORACLES
