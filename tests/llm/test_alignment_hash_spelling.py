@@ -213,6 +213,7 @@ def test_spelling_variants(spark):
             edits = [w, w, w, w, w.upper() if w.isascii() else w, w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + "xx" + w[i:]]
             words.append(rng.choice(edits))
         texts.append(rng.choice([" ", "-", "1", "ğ"]).join(words))
+    texts += ["chainedab " * 6, "chaineda " * 40, "chained " * 220]  # forms lead on
     rows, docs = table(spark, AWKWARD + texts)
     counts = Counter()
     for doc, text, *_ in rows:
