@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from lodestone.llm.piecewise_hash import MOST, _common, edited, fingerprint, fingerprints, likeness
 from lodestone.llm.spelling_variants import near_words, spelling_variants
-from lodestone.llm.token_alignment import align, align_tokens, default_paths, group_text, tokenizers
+from lodestone.llm.token_alignment import align, align_tokens, default_paths, group_marks, tokenizers
 
 SCHEMA = "doc_id long, text string, word string, n int, part long"
 AWKWARD = [None, "", " ", "\n\nfoo  bar\tbaz", "one ▁ two", "<|endoftext|> <s> </s> <unk> <0x41>", "日本語 テキスト ① é é ​\x00x", "don't  stop   12345", "a" * 3000, "naïve façade " * 400]
@@ -40,12 +40,13 @@ def test_align_equals_brute_force(size_a, rng):
     total, size_b = sum(size_a), []
     while sum(size_b) < total:
         size_b.append(rng.randint(1, min(5, total - sum(size_b))))
-    a, b, group = align(np.array(size_a), np.array(size_b))
+    a, b, group, group_b = align(np.array(size_a), np.array(size_b))
     links, groups = brute_groups(size_a, size_b)
     assert set(zip(a.tolist(), b.tolist())) == links and len(a) == len(links)
     assert [group[i] for i in range(len(size_a))] == [g for g, (x, _) in enumerate(groups) for _ in x]
+    assert group_b.tolist() == [g for g, (_, y) in enumerate(groups) for _ in y]
     want = ";".join(",".join(str(i + 7) for i in x) + "|" + ",".join(str(j + 9) for j in y) for x, y in groups)
-    assert group_text(np.arange(len(size_a)) + 7, np.arange(len(size_b)) + 9, group).decode() == want
+    assert b"".join(group_marks(np.arange(len(size_a)) + 7, np.arange(len(size_b)) + 9, group, group_b))[:-1].decode() == want
 
 
 @pytest.mark.parametrize("heavy,held", [(500_000, 2_000_000), (40, 50), (1, 1)])
