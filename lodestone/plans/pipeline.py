@@ -14,6 +14,7 @@ from lodestone.functions.html_text import rendered
 from lodestone.functions.text import article_passages, instructed, normalize_lexical_text, normalize_text, parse_ground_truth, rerank_prompt, reranker_chunks
 from lodestone.operators import scores as S
 from lodestone.operators.classifier import kfold, logistic_oof, logistic_scores
+from lodestone.operators.nearest import nearest
 from lodestone.operators.rerank import candidate_logits, encode, fuse, hashing_encoder
 from lodestone.operators.tfidf import query_similarity, tfidf_scores
 from lodestone.sources import io
@@ -80,8 +81,8 @@ def embedding_channels(articles: DataFrame, refs: DataFrame, targets: DataFrame,
     return out
 
 
-def channels(articles: DataFrame, refs: DataFrame, targets: DataFrame, models: Models) -> dict[str, DataFrame]:
-    """Lexical and dense scores of articles, and similarities to labelled queries."""
+def channels(articles: DataFrame, refs: DataFrame, targets: DataFrame, models: Models, neighbors: int | None = None) -> dict[str, DataFrame]:
+    """Lexical and dense scores of articles, and similarities to labelled queries, dense ones to the nearest `neighbors` alone if given."""
     corpus = articles.select("article_id", F.col("clean_body").alias("text"))
     asked = targets.select("query_id", normalize_text(F.col("query_text")).alias("text"))
     lexical = S.row_scale(tfidf_scores(corpus, asked, "word"))
@@ -90,7 +91,8 @@ def channels(articles: DataFrame, refs: DataFrame, targets: DataFrame, models: M
     e = embedding_channels(articles, refs, targets, models)
     dense = S.dense_similarity(e["article_queries"].toDF("target_id", "v"), e["passages"].toDF("ref_id", "u"))
     dense = S.row_scale(dense.select(F.col("target_id").alias("query_id"), F.col("ref_id").alias("article_id"), F.col("sim").alias("score")))
-    dense_sim = S.dense_similarity(e["memory_queries"].toDF("target_id", "v"), e["references"].toDF("ref_id", "u"))
+    asking, known = e["memory_queries"].toDF("target_id", "v"), e["references"].toDF("ref_id", "u")
+    dense_sim = nearest(asking, known, neighbors) if neighbors else S.dense_similarity(asking, known)
     return {"lexical": lexical, "lex_sim": lex_sim, "dense": dense, "dense_sim": dense_sim}
 
 
@@ -124,14 +126,14 @@ def final_scores(articles: DataFrame, refs: DataFrame, test: DataFrame, mode: st
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     models, labels = models or Models(), label_matrix(refs)
-    c = {name: io.settled(df) for name, df in channels(articles, refs, test, models).items()}
+    memory = S.ROBUST if mode == "robust" else S.DENSE
+    c = {name: io.settled(df) for name, df in channels(articles, refs, test, models, memory["neighbors"]).items()}
     lexical_memory = S.cooccurrence_scores(c["lex_sim"], labels)
     classifier = logistic_scores(refs.select("query_id", F.col("query_text").alias("text")), test.select("query_id", F.col("query_text").alias("text")), labels)
     if mode == "robust":
-        memory = S.memory_scores(c["dense_sim"], labels, S.ROBUST)
-        base = S.robust(c["lexical"], c["dense"], memory, lexical_memory, classifier, c["dense_sim"], labels)
+        base = S.robust(c["lexical"], c["dense"], S.memory_scores(c["dense_sim"], labels, memory), lexical_memory, classifier, c["dense_sim"], labels)
     else:
-        base = S.hybrid(c["lexical"], c["dense"], S.memory_scores(c["dense_sim"], labels, S.DENSE), lexical_memory, classifier)
+        base = S.hybrid(c["lexical"], c["dense"], S.memory_scores(c["dense_sim"], labels, memory), lexical_memory, classifier)
     return base if mode == "fast" else reranked(base, articles, test, models)
 
 

@@ -13,6 +13,7 @@ from lodestone.operators.classifier import kfold, logistic_oof, logistic_scores
 from lodestone.operators.rerank import encode, rerank
 from lodestone.plans import duck as D
 from lodestone.operators.matching import containing
+from lodestone.operators.nearest import nearest
 from lodestone.sources.io import content_key, unknown_labels
 
 QUERIES: dict = {}
@@ -65,6 +66,12 @@ def _all_sim(spark, d):
     return S.dense_similarity(v.select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("v")), v.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("u")))
 
 
+def _near(spark, d, k: int, targets: str = "vec_id % 5 = 0", references: str = "vec_id % 5 <> 0"):
+    """The k nearest references alone."""
+    v = _vectors(spark, d)
+    return nearest(v.where(targets).select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("v")), v.where(references).select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("u")), k)
+
+
 def _labels(spark, d, where="true"):
     return _vectors(spark, d).where(where).select(F.col("vec_id").alias("ref_id"), F.col("label").alias("article_id"))
 
@@ -212,7 +219,7 @@ def dense_scores(spark, d):
 
 def _memory_query(name: str, p: dict) -> None:
     def run(spark, d):
-        return _r(S.memory_scores(_sim(spark, d), _labels(spark, d, "vec_id % 5 <> 0"), p))
+        return _r(S.memory_scores(_near(spark, d, p["neighbors"]), _labels(spark, d, "vec_id % 5 <> 0"), p))
 
     run.__name__ = name
     query(f"with sim as ({D.transfer_sim()}), lab as ({D.LABELS} where vec_id % 5 <> 0) select query_id, article_id, round(score, 6) as score from ({D.memory(p)})")(run)
@@ -224,17 +231,23 @@ for _name, _p in (("memory_knn", S.MEMORY), ("dense_memory", S.DENSE), ("robust_
 
 @query(f"with sim as ({D.transfer_sim()}), lab as ({D.DOUBLE} where vec_id % 5 <> 0), base as ({D.memory(S.MEMORY)}), {D.EXPAND} select query_id, article_id, round(score, 6) as score from scaled")
 def cooccurrence_memory(spark, d):
-    return _r(S.cooccurrence_scores(_sim(spark, d), _double_labels(spark, d, "vec_id % 5 <> 0")))
+    return _r(S.cooccurrence_scores(_near(spark, d, S.MEMORY["neighbors"]), _double_labels(spark, d, "vec_id % 5 <> 0")))
+
+
+@query(f"with sim as ({D.transfer_sim()}) select target_id, rank, ref_id, round(sim, 6) as sim from (select *, row_number() over (partition by target_id order by round(sim, 9) desc, ref_id) as rank from sim) where rank <= 10")
+def nearest_vectors(spark, d):
+    found = _near(spark, d, 10).withColumn("score", F.col("sim")).select(F.col("target_id").alias("query_id"), F.col("ref_id").alias("article_id"), "score")
+    return S.rank(found).select(F.col("query_id").alias("target_id"), "rank", F.col("article_id").alias("ref_id"), F.round("score", 6).alias("sim"))
 
 
 @query(D.loo(SCALED))
 def loo_dense_memory(spark, d):
-    return _r(S.leave_one_out(_all_sim(spark, d), _labels(spark, d), SCALED, False))
+    return _r(S.leave_one_out(_near(spark, d, SCALED["neighbors"] + 1, "true", "true"), _labels(spark, d), SCALED, False))
 
 
 @query(D.loo(S.MEMORY, True))
 def loo_memory(spark, d):
-    return _r(S.leave_one_out(_all_sim(spark, d), _double_labels(spark, d)))
+    return _r(S.leave_one_out(_near(spark, d, S.MEMORY["neighbors"] + 1, "true", "true"), _double_labels(spark, d)))
 
 
 def _folds(spark, d):
