@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.io import settled
+
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 CHAR_SIZES = (3, 4, 5)
 
@@ -60,7 +62,7 @@ def counts(df: DataFrame, key: str, analyzer: str) -> DataFrame:
 
 
 def idf(tf: DataFrame, n: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:
-    """(term, idf): smooth inverse document frequency of the corpus; n: one row, its size.
+    """(term, idf, df): smooth inverse document frequency of the corpus; n: one row, its size.
 
     With max_features the most frequent terms stay, ties by the term: each task keeps its first
     ones before they are merged, so the whole vocabulary is never in one task.
@@ -68,34 +70,51 @@ def idf(tf: DataFrame, n: DataFrame, min_df: int = 1, max_features: int | None =
     seen = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(f"df >= {min_df}")
     if max_features:
         seen = seen.orderBy(F.desc("total"), "term").limit(max_features)
-    return seen.withColumn("n", n.scalar()).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return seen.withColumn("n", n.scalar()).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "df")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """`df`, kept and counted, for a broadcast if it is small enough."""
-    df = df.persist()
+def _fit(df: DataFrame) -> DataFrame:
+    """A saved table, for a broadcast if it is small enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+class Space:
+    """A corpus (article_id, text) in its TF-IDF space: texts are tokenised once, their terms saved beside the vocabulary."""
+
+    def __init__(self, corpus: DataFrame, analyzer: str, min_df: int = 1, sublinear: bool = False, max_features: int | None = None):
+        self.analyzer, self.sublinear = analyzer, sublinear
+        held = counts(corpus, "article_id", analyzer).groupBy("article_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+        self.texts = settled(held)
+        self.weights = settled(idf(self._rows(), corpus.agg(F.count("*")), min_df, max_features))
+
+    def _rows(self) -> DataFrame:
+        return self.texts.select("article_id", F.explode("terms").alias("t")).select("article_id", "t.term", "t.tf")
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """(query_id, term, qw) of queries (query_id, text), saved; terms that the corpus lacks are dropped."""
+        raw = counts(queries, "query_id", self.analyzer).join(_fit(self.weights), "term").select("query_id", "term", (_tf(self.sublinear) * F.col("idf")).alias("w"))
+        length = Window.partitionBy("query_id")
+        return settled(raw.select("query_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(length))).alias("qw")))
+
+    def entries(self, terms: DataFrame | None = None) -> DataFrame:
+        """(article_id, term, w, df) of unit rows; with terms (term) only theirs leave an article's row."""
+        known = self.weights.withColumn("asked", F.lit(True)) if terms is None else self.weights.join(terms.distinct().withColumn("asked", F.lit(True)), "term", "left")
+        known = F.broadcast(known) if self.weights.count() <= BROADCAST_ROWS else known
+        rows = self._rows().join(known, "term").select("article_id", "term", "asked", "df", (_tf(self.sublinear) * F.col("idf")).alias("w"))
+        rows = rows.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("asked"), F.struct("term", "w", "df"))).alias("hits"))
+        return rows.select("article_id", "norm", F.explode("hits").alias("h")).select("article_id", "h.term", (F.col("h.w") / F.col("norm")).alias("w"), "h.df")
+
+
 def tfidf_scores(corpus: DataFrame, queries: DataFrame, analyzer: str, min_df: int = 1, sublinear: bool = False, max_features: int | None = None) -> DataFrame:
     """score(query_id, article_id, score > 0): cosine of queries (query_id, text) and corpus (article_id, text).
 
-    Articles are dealt by id once; counting terms, weighing them, the rows' lengths and the sums
-    for each question follow without another shuffle while the vocabulary and the questions are
-    small enough to be broadcast (both are counted). Only terms that a question has leave an
-    article's row. Terms that the corpus lacks are dropped.
+    Articles are dealt by id once for counting their terms; weights, the rows' lengths and the
+    sums for each question follow with what a question has in common with an article alone, while
+    the vocabulary and the questions are small enough to be broadcast (both are counted).
     """
-    tf = counts(corpus, "article_id", analyzer)
-    weights = _small(idf(tf, corpus.agg(F.count("*")), min_df, max_features))
-    raw = counts(queries, "query_id", analyzer).join(weights, "term").select("query_id", "term", (_tf(sublinear) * F.col("idf")).alias("w"))
-    length = Window.partitionBy("query_id")
-    asked = _small(raw.select("query_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(length))).alias("qw")))
-    terms = weights.join(asked.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
-    terms = F.broadcast(terms) if weights.count() <= BROADCAST_ROWS else terms
-    rows = tf.join(terms, "term").select("article_id", "term", "asked", (_tf(sublinear) * F.col("idf")).alias("w"))
-    rows = rows.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("asked"), F.struct("term", "w"))).alias("hits"))
-    docs = rows.select("article_id", "norm", F.explode("hits").alias("h")).select("article_id", "h.term", (F.col("h.w") / F.col("norm")).alias("w"))
-    both = docs.join(asked, "term")
+    space = Space(corpus, analyzer, min_df, sublinear, max_features)
+    asked = space.asked(queries)
+    both = space.entries(asked.select("term")).join(_fit(asked), "term")
     return both.groupBy("article_id", "query_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score")).select("query_id", "article_id", "score")
 
 

@@ -14,6 +14,7 @@ from lodestone.operators.rerank import encode, rerank
 from lodestone.plans import duck as D
 from lodestone.operators.matching import containing
 from lodestone.operators.nearest import nearest
+from lodestone.operators.postings import best_articles
 from lodestone.sources.io import content_key, unknown_labels
 
 QUERIES: dict = {}
@@ -174,9 +175,13 @@ _WORD = D.tfidf("documents", "doc_id", "text", "benchmark", "item_id", "text", "
 _TOP = "select query_id, rank, article_id, round(score, 6) as score from (select query_id, article_id, round(score, 9) as score, row_number() over (partition by query_id order by round(score, 9) desc, article_id) as rank from ({})) where rank <= {}"
 
 
+def _best(spark, d, k):
+    return S.rank(tfidf.tfidf_scores(_docs(spark, d), _bench(spark, d), "word"), k)
+
+
 @query(_TOP.format(_WORD, 10))
 def word_tfidf_top10(spark, d):
-    return _r(S.rank(tfidf.tfidf_scores(_docs(spark, d), _bench(spark, d), "word")))
+    return _r(_best(spark, d, 10))
 
 
 @query(_TOP.format(D.tfidf("documents", "doc_id", D.LEXICAL, "benchmark", "item_id", D.LEXICAL, "char", sublinear=True), 10))
@@ -185,6 +190,13 @@ def char_tfidf_top10(spark, d):
     return _r(S.rank(tfidf.tfidf_scores(lex(_docs(spark, d)), lex(_bench(spark, d)), "char", 1, True)))
 
 
+@query(_TOP.format(D.tfidf("documents", "doc_id", "text", "pages", "page_id", D.TITLE, "word"), 10))
+def indexed_top10(spark, d):
+    """Pages' headings, which are short, against all documents, from posting lists with block maxima."""
+    asked = _t(spark, d, "pages").select(F.col("page_id").alias("query_id"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("text"))
+    return _r(S.rank(best_articles(_docs(spark, d), asked, "word", 10)))
+
+
 @query("select query_id, article_id, round(score / greatest(max(score) over (partition by query_id), 1e-8), 6) as score from (" + _WORD + ")")
 def lexical_article_scores(spark, d):
     return _r(S.row_scale(tfidf.tfidf_scores(_docs(spark, d), _bench(spark, d), "word")))
@@ -315,7 +327,7 @@ def rank_top10(spark, d):
 
 @query(f"select query_id, rank, article_id from ({_TOP.format(_WORD, 15)})")
 def rerank_candidates(spark, d):
-    return S.rank(tfidf.tfidf_scores(_docs(spark, d), _bench(spark, d), "word"), 15).drop("score")
+    return _best(spark, d, 15).drop("score")
 
 
 @query(f"select query_id, string_agg(article_id::varchar, ' ' order by rank) as answer from ({_TOP.format('select q.item_id as query_id, a.doc_id as article_id, coalesce(s.score, 0) as score from benchmark q cross join documents a left join (' + _WORD + ') s on s.query_id = q.item_id and s.article_id = a.doc_id', 10)}) group by 1")
@@ -331,7 +343,7 @@ ap as (select n.query_id, coalesce(sum(h / rank), 0) / least(any_value(n), 10) a
 
 
 def _ranking(spark, d):
-    return S.rank(tfidf.tfidf_scores(_docs(spark, d), _bench(spark, d), "word"))
+    return _best(spark, d, 10)
 
 
 @query(_AP + "select query_id, round(ap, 6) as ap from ap")
@@ -348,7 +360,7 @@ def map_at_10(spark, d):
 h as (select k, n.query_id, any_value(n) as n, count(r.rank) as h from ks cross join n left join (select r.* from r join rel using (query_id, article_id)) r on r.query_id = n.query_id and r.rank <= k group by 1, 2)
 select k, round(avg(h / n), 6) as recall from h group by 1""")
 def recall_at_k(spark, d):
-    return _r(S.recall_at(S.rank(tfidf.tfidf_scores(_docs(spark, d), _bench(spark, d), "word"), 30), _truth(spark, d)), "recall")
+    return _r(S.recall_at(_best(spark, d, 30), _truth(spark, d)), "recall")
 
 
 @query("select l_suppkey as article_id, count(*) as n from lineitem group by 1 order by n desc, 1 limit 20")
@@ -389,7 +401,7 @@ def eda_label_slices(spark, d):
 @query(D.best_chunk(_TOP.format(_WORD, 15)))
 def best_chunk_per_candidate(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.col("lang").alias("title"), F.col("text").alias("dense"))
-    pairs = S.rank(tfidf.tfidf_scores(_docs(spark, d), _bench(spark, d), "word"), 15)
+    pairs = _best(spark, d, 15)
     chunks = X.reranker_chunks(docs).withColumn("text", X.normalize_lexical_text(F.col("text")))
     asked = _bench(spark, d).withColumn("text", X.normalize_lexical_text(F.col("text")))
     return _r(tfidf.best_chunks(chunks, asked, pairs), "sim").select("query_id", "article_id", "chunk_id", "sim")
@@ -462,7 +474,7 @@ def label_matrix(spark, d):
 select term, round(ln((1 + (select count(*) from documents)) / (1 + count(*))) + 1, 6) as idf from c group by 1 having count(*) >= 2 order by sum(tf) desc, term limit 500""")
 def frequent_terms(spark, d):
     docs = _docs(spark, d)
-    return _r(tfidf.idf(tfidf.counts(docs, "article_id", "word"), docs.agg(F.count("*")), 2, 500), "idf")
+    return _r(tfidf.idf(tfidf.counts(docs, "article_id", "word"), docs.agg(F.count("*")), 2, 500).drop("df"), "idf")
 
 
 @query("select count(*) as n_labels, count_if(n = 1)::bigint as n_single from (select l_suppkey, count(*) as n from lineitem group by 1)")

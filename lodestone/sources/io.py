@@ -6,9 +6,10 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable
+from itertools import accumulate
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -34,9 +35,21 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table with its rows' order in the files as column `pos`. For tables of the retrieval task's size."""
-    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy("__file", "__row")).cast("long") - 1).drop("__file", "__row")
+    """A Parquet table with its rows' order in the files as column `pos`."""
+    return positions(spark.read.parquet(path))
+
+
+def positions(rows: DataFrame) -> DataFrame:
+    """`rows`, read from files, with their order in the files (by path) from 0 as column `pos`.
+
+    Rows are counted by file and numbered by the rows of the files before theirs: one row a file
+    reaches the driver, as the list of files itself does, and nothing is sorted.
+    """
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = sorted((r[0], r[1]) for r in placed.groupBy("__file").agg(F.max("__row") + 1).collect())
+    before = [0, *accumulate(n for _, n in sizes)]
+    starts = rows.sparkSession.createDataFrame([(f, at) for (f, _), at in zip(sizes, before)], "__file string, __start long")
+    return placed.join(F.broadcast(starts), "__file").withColumn("pos", F.col("__start") + F.col("__row")).drop("__file", "__row", "__start")
 
 
 def check(df: DataFrame, name: str, columns: tuple[str, ...], key: str) -> None:
