@@ -9,7 +9,7 @@ from lodestone.functions import text as X
 from lodestone.functions.html_text import rendered
 from lodestone.operators import eda, tfidf
 from lodestone.operators import scores as S
-from lodestone.operators.classifier import kfold, logistic_oof, logistic_scores
+from lodestone.operators.classifier import kfold, logistic_oof, logistic_rows, logistic_scores
 from lodestone.operators.rerank import encode, rerank
 from lodestone.plans import duck as D
 from lodestone.operators.matching import containing
@@ -424,6 +424,13 @@ def logistic_query_scores(spark, d):
     return logistic_scores(q.where("query_id % 5 <> 0"), q.where("query_id % 5 = 0"), labels)
 
 
+@query()
+def logistic_row_scores(spark, d):
+    """As logistic_query_scores, without a kernel."""
+    q, labels = _logistic_data(spark, d)
+    return logistic_rows(q.where("query_id % 5 <> 0"), q.where("query_id % 5 = 0"), labels)
+
+
 @query()
 def logistic_oof_scores(spark, d):
     q, labels = _logistic_data(spark, d)
