@@ -20,8 +20,8 @@ from lodestone.llm.hashing import mix
 #: Bound of the sample that is fitted: labelled documents of each language.
 PER_LANGUAGE = 400
 ITERATIONS = 3
-#: Languages that are learned, the most frequent labels: what else the column holds is no language.
-MAX_LANGUAGES = 100
+#: More labels than this are an error: each has a column of the model, and so many are no languages.
+MAX_LANGUAGES = 1000
 #: Times the sample that may pass a test of the id's hash before it is ranked.
 MARGIN = 1.5
 #: Added to each piece's expected count.
@@ -236,16 +236,19 @@ def fit(docs: DataFrame, path: str | None = None, per_language: int = PER_LANGUA
     """Piece probabilities per language from at most `per_language` labelled texts of each.
 
     Documents whose crc32(doc_id as text) mod 5 is 0 are held out. Which of the others are fitted
-    is decided by a hash of doc_id: those under a share of the language's rows are ranked. Of an
-    id that is there more often one text counts. What comes to the driver is bounded by the
-    vocabulary times MAX_LANGUAGES.
+    is decided by a hash of doc_id: those under a share of the language's different ids are ranked.
+    Of an id that is there more often one text counts. Every label is learned; what comes to the
+    driver is bounded by the vocabulary times their number, and over MAX_LANGUAGES is an error.
     """
     ship(docs.sparkSession)
     path = path or vocabulary_path()
     labelled = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("id is not null and lang is not null and text is not null and crc32(id) % 5 <> 0")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES)
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("ids")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} labels in lang")
+    sizes = docs.sparkSession.createDataFrame(sizes, "lang string, ids long")
     ids = labelled.select("id", "lang", F.xxhash64("id", "lang").alias("h")).join(F.broadcast(sizes), "lang")
-    near = ids.where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("rows") < MARGIN * per_language).select("id", "lang", "h").distinct()
+    near = ids.where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("ids") < MARGIN * per_language).select("id", "lang", "h").distinct()
     chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(f"k <= {per_language}").select("id", "lang")
     sample = labelled.join(F.broadcast(chosen), ["id", "lang"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
     rows = sample.select("lang", "text").groupBy("lang").applyInPandas(_fit(path, iterations), "lang string, piece string, p double").collect()
