@@ -20,16 +20,24 @@ MANY_PAGES = 100
 #: Template subtrees that may be broadcast; with more, pages are joined with them.
 BROADCAST_ROWS = 100_000
 
+#: An element with this part of a page's text is no box.
+MOST_TEXT = 0.5
+
 # fixed values: element names of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER = set("head script style noscript template iframe object svg canvas audio video form button select textarea input nav aside footer menu dialog title".split())
-#: Names in class or id of what is not the article.
+#: Of these, the ones that stand within a line.
+WITHIN = set("script style noscript template iframe object svg canvas audio video button select textarea input".split())
+#: Names in class or id of what is not the article, as a word of a name.
 _OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond|popup|modal|overlay|footer|masthead|widget|toolbar|pagination|pager|search|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[_-])(ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond|popup|modal|overlay|footer|masthead|widget|toolbar|pagination|pager|search|copyright|legal|disclaimer)(?:$|[_-])",
     re.I,
 )
+#: Names that tell what a page has or lacks, not what an element is.
+_ABOUT = re.compile(r"(?:with|without|has|have|no|not|non|is|if|show|hide|enable|disable)[_-]", re.I)
+_FINE_PRINT = {"legal", "copyright", "disclaimer"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar", "form"}
 _QUOTE_OR_END = re.compile(r"[>\"']")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -42,9 +50,9 @@ _KEEPS_ITEMS = {"ul", "ol", "dl", "table", "select", "article", "main", "body",
 
 
 class Node:
-    """An element: `size` is the length of its text and `key` the hash of its subtree once measured."""
+    """An element: `size` is the length of its text, `marks` the number of articles and main elements in it, `key` its subtree's hash, once measured."""
 
-    __slots__ = ("tag", "attrs", "kids", "size", "key")
+    __slots__ = ("tag", "attrs", "kids", "size", "marks", "key")
 
     def __init__(self, tag: str, attrs: dict | None = None):
         self.tag, self.attrs, self.kids = tag, attrs or {}, []
@@ -161,7 +169,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             i = max(stack.last(t) for t in ends)
             if i > stack.keeps[-1]:
                 stack.cut(i)
-        elif tag not in INLINE and tag not in VOID and tag not in RAW:  # a block ends an open paragraph
+        elif tag not in INLINE and tag not in VOID and tag not in RAW and tag not in WITHIN:  # a block ends an open paragraph
             i = stack.last("p")
             if i and stack.blocks[-1] == i:
                 stack.cut(i)
@@ -190,36 +198,64 @@ def parse(page: str) -> tuple[Node, list[Node]]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def measure(nodes: list[Node]) -> None:
-    """Text lengths and subtree hashes of all elements, from the last to the first: children before their parents."""
+def size_up(nodes: list[Node]) -> None:
+    """Text lengths and marks of all elements, from the last to the first: children before their parents."""
     for node in reversed(nodes):
-        out, size = blake2b(f"<{node.tag}>".encode("utf-8", "surrogatepass"), digest_size=8), 0
+        size, marks = 0, node.tag in ("article", "main") or node.attrs.get("role") == "main"
         for k in node.kids:
             if isinstance(k, str):
                 size += len(k)
-                out.update(" ".join(k.split()).encode("utf-8", "surrogatepass"))
             else:
                 size += k.size + 1
-                out.update(b"<" + k.key + b">")
-        node.size, node.key = size, out.digest()
+                marks += k.marks
+        node.size, node.marks = size, marks
 
 
-def _named_other(node: Node) -> bool:
-    a = node.attrs
-    if not a:
-        return False
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    style = a.get("style", "").replace(" ", "").lower()
-    return bool("hidden" in a or "display:none" in style or a.get("role", "").lower() in _ROLES or (names.strip() and _OTHER.search(names)))
+def measure(nodes: list[Node]) -> None:
+    """Subtree hashes of all elements, likewise."""
+    for node in reversed(nodes):
+        out = blake2b(f"<{node.tag}>".encode("utf-8", "surrogatepass"), digest_size=8)
+        for k in node.kids:
+            out.update(" ".join(k.split()).encode("utf-8", "surrogatepass") if isinstance(k, str) else b"<" + k.key + b">")
+        node.key = out.digest()
+
+
+def _name_says(node: Node, inside: bool) -> str:
+    """`whole` if a class or the id is the name of what is no article, `part` if it contains one, else nothing."""
+    found = ""
+    for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split():
+        m = _OTHER.search(name)
+        if not m or _ABOUT.match(name) or inside and node.tag == "p" and m[1].lower() in _FINE_PRINT:
+            continue
+        if m[1] == name:
+            return "whole"
+        found = "part"
+    return found
 
 
-def boilerplate(node: Node, inside: bool) -> bool:
-    """Whether an element by itself is no part of an article."""
+def boilerplate(node: Node, inside: bool, page: Node) -> bool:
+    """Whether an element by itself is no part of an article.
+
+    What holds all articles of the page is never taken out by its name or as a form, and by a part
+    of its name, or as a form, nothing with most of the page's text is; an article itself only by its whole name.
+    """
     if node.tag in ("html", "body", "main", "#root"):
         return False
-    if node.tag == "header":
-        return not inside or _named_other(node)
-    return node.tag in NEVER or _named_other(node)
+    a = node.attrs
+    if a and ("hidden" in a or a.get("role", "").lower() in _ROLES and node.tag != "form" or "display:none" in a.get("style", "").replace(" ", "").lower()):
+        return True
+    if node.tag in NEVER and node.tag != "form":
+        return True
+    if node.tag == "header" and not inside:
+        return True
+    says = _name_says(node, inside) if a else ""
+    if not says and node.tag != "form":
+        return False
+    if node.tag == "article":
+        return says == "whole"
+    if page.marks and node.marks == page.marks:
+        return False
+    return says == "whole" or node.size < MOST_TEXT * page.size
 
 
 def roots(tree: Node) -> tuple[list[Node], bool]:
@@ -229,7 +265,7 @@ def roots(tree: Node) -> tuple[list[Node], bool]:
     while todo:
         node, inside = todo.pop()
         if node is not tree:
-            if boilerplate(node, inside):
+            if boilerplate(node, inside, tree):
                 continue
             kind = "article" if node.tag == "article" else "main" if node.tag == "main" or node.attrs.get("role") == "main" else ""
             if kind:
@@ -260,7 +296,7 @@ def subtree(node: Node) -> int:
     return int.from_bytes(node.key, "little", signed=True)
 
 
-def candidates(tops: list[Node], marked: bool) -> list[Node]:
+def candidates(tops: list[Node], marked: bool, page: Node) -> list[Node]:
     """Elements that a template may own: blocks outside a marked article, and boxes inside it.
 
     Paragraphs, headings and lists' items of a marked article never are, so that copies of an
@@ -271,7 +307,7 @@ def candidates(tops: list[Node], marked: bool) -> list[Node]:
         todo = [k for k in top.kids if not isinstance(k, str)]
         while todo:
             k = todo.pop()
-            if boilerplate(k, marked):
+            if boilerplate(k, marked, page):
                 continue
             own = k.tag not in INLINE and k.tag not in VOID
             if marked:
@@ -287,11 +323,12 @@ def extract(page: str | None, templates: frozenset | set = frozenset()) -> str:
     if not page:
         return ""
     tree, nodes = parse(page)
+    size_up(nodes)
     tops, marked = roots(tree)
     drop = set()
     if templates:
         measure(nodes)
-        drop = {id(n) for n in candidates(tops, marked) if subtree(n) in templates}
+        drop = {id(n) for n in candidates(tops, marked, tree) if subtree(n) in templates}
     blocks: list[str] = []
     now: list[str] = []
 
@@ -311,8 +348,10 @@ def extract(page: str | None, templates: frozenset | set = frozenset()) -> str:
                 now.append(k)
             elif k.tag == "br":
                 now.append(" ")
-            elif boilerplate(k, marked) or id(k) in drop:
-                if k.tag not in INLINE:
+            elif boilerplate(k, marked, tree) or id(k) in drop:
+                if k.tag in WITHIN:
+                    now.append("" if k.tag in RAW else " ")
+                elif k.tag not in INLINE:
                     flush()
             elif k.tag in INLINE or k.tag in ("td", "th"):
                 if k.tag not in INLINE:
@@ -341,8 +380,9 @@ def _subtrees(batches):
         host, tree_hash, title = [], [], []
         for h, page in zip(b.column(0).to_pylist(), b.column(1)):
             tree, nodes = parse(page.as_py() or "")
+            size_up(nodes)
             measure(nodes)
-            found = {subtree(n) for n in candidates(*roots(tree))} | {0}  # 0 stands for the page itself
+            found = {subtree(n) for n in candidates(*roots(tree), tree)} | {0}  # 0 stands for the page itself
             t = int.from_bytes(blake2b(_title(nodes).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
             host += [h] * len(found)
             tree_hash += found

@@ -285,6 +285,23 @@ def test_language_of_held_out_documents(spark):
     assert len(right) > 100 and np.mean(right) > 0.97
 
 
+def test_language_with_few_ids_of_many_rows_is_learned(spark):
+    """The share of the sample is of different ids, so repeated rows push no language out."""
+    rows = [(i, "ein kurzer deutscher Text", "de") for i in range(60) for _ in range(1000)] + [(i, "a short english text", "en") for i in range(100, 160)]
+    langs, _ = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20)
+    assert langs == ["de", "en"]
+
+
+def test_more_labels_than_languages_are_an_error(spark, monkeypatch):
+    from lodestone.llm import language_id
+
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some text", f"l{i % 4}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="labels"):
+        fit(docs)
+    assert fit(docs.where("lang <> 'l3'"))[0] == ["l0", "l1", "l2"]
+
+
 def test_language_sample_is_bounded_by_rows(spark):
     rows = [(1, f"ein satz {k}", "de") for k in range(500)] + [(k, "some words here", "en") for k in range(2, 40)] + [(50, "x", None), (None, "y", "de"), (51, None, "fr")]
     langs, model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -605,3 +622,43 @@ def test_pipeline_of_awkward_tables(spark, tmp_path):
     assert sorted((str(r.doc_id), r.text[:9]) for r in out) == sorted([("1", a[:9]), ("1", b[:9]), ("None", c[:9]), ("5", "see 4" + out[[r.doc_id for r in out].index(5)].text[5:9])])
     assert all((r.score, r.n_pii, r.th, r.row_id, r.h) == (7, "p", "t", 8, 9) for r in out) and not any("4111111111111111" in r.text for r in out)
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="layout with-sidebar"><h1>T</h1><p>main text</p></div>', "T\n\nmain text"),
+        ('<article class="post has-comments"><p>a</p></article>', "a"),
+        ('<div id="page" class="no-sidebar"><main><p>m</p></main></div>', "m"),
+        ('<article id="post-search"><p>own text</p></article><div>neighbour</div>', "own text"),
+        ('<form id="aspnet"><article><p>a b</p></article></form>', "a b"),
+        ("<p>one <script>1</script>sentence</p>", "one sentence"),
+        ("<p>x<button>b</button>y</p>", "x y"),
+        ('<article><p>a</p><p class="legal">b</p><div class="copyright">c</div></article>', "a\n\nb"),
+        ('<article><p>text</p></article><section class="comments"><article class="comment"><p>no</p></article></section>', "text"),
+        ('<div class="related"><article><p>teaser</p></article></div><article><p>text</p></article>', "text"),
+        ('<div class="site-content"><p>' + "w " * 50 + '</p></div><div class="site-footer">f</div><form>q</form>', ("w " * 50).strip()),
+        ('<div id="content"><p>short</p></div><div class="comments">' + "long " * 90 + "</div>", "short"),
+    ],
+)
+def test_names_take_out_boxes_not_articles(page, text):
+    assert extract(page) == text
+
+
+def test_templates_of_sites_without_article_elements(spark):
+    """Boxes that recur on a host go, whatever they are called; a brute-force count of lines says which."""
+    rng = random.Random(12)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(9))
+    pages, lines = [], {}
+    for site in range(3):
+        boxes = [line() for _ in range(3)]
+        for k in range(12):
+            own = [line() for _ in range(3)]
+            shown = boxes[:2] + ([boxes[2]] if k < 2 else [])  # the third recurs on two pages only
+            body = "".join(f"<div class='c{j}'><p>{x}</p></div>" for j, x in enumerate(shown[:1] + own + shown[1:]))
+            pages.append((site * 100 + k, f"https://site{site}.example/{k}", f"<html><head><title>{own[0]}</title></head><body>{body}</body></html>"))
+            lines[site * 100 + k] = (site, shown[:1] + own + shown[1:])
+    seen = collections.Counter((site, x) for site, ls in lines.values() for x in ls)
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join(x for x in ls if seen[site, x] < 5) for i, (site, ls) in lines.items()}
+    assert all("\n\n" in t for t in got.values()) and any(seen[s, x] == 2 for s, ls in lines.values() for x in ls)
