@@ -76,8 +76,7 @@ def embedding_channels(articles: DataFrame, refs: DataFrame, targets: DataFrame,
         path = f"{models.cache_dir}/embeddings/{key}"
         out[name] = io.cached_embeddings(spark, path, name, w[0].count(), models.dimension)
         if out[name] is None:
-            io.write_cache(make(*w), path, name)
-            out[name] = spark.read.parquet(f"{path}/{name}")
+            out[name] = io.write_cache(make(*w), path, name)
     return out
 
 
@@ -113,8 +112,7 @@ def reranked(base: DataFrame, articles: DataFrame, queries: DataFrame, models: M
     cached = io.cached_logits(spark, path, key, queries.count())
     pairs = S.rank(base, 15).select("query_id", "article_id")
     if cached is None or not pairs.join(cached, ["query_id", "article_id"], "left_anti").isEmpty():
-        io.write_cache(candidate_logits(base, chunks, asked, cached, with_prompt), path, key)
-        cached = spark.read.parquet(f"{path}/{key}")
+        cached = io.write_cache(candidate_logits(base, chunks, asked, cached, with_prompt), path, key)
     return fuse(base, pairs.join(cached, ["query_id", "article_id"]))
 
 

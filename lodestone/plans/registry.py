@@ -15,7 +15,7 @@ from lodestone.plans import duck as D
 from lodestone.operators.matching import containing
 from lodestone.operators.nearest import nearest
 from lodestone.operators.postings import best_articles
-from lodestone.sources.io import content_key, unknown_labels
+from lodestone.sources.io import table_digest, unknown_labels
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -450,9 +450,15 @@ def reranked_scores(spark, d):
     return S.rank(rerank(base, chunks, _bench(spark, d).withColumn("text", X.normalize_lexical_text(F.col("text")))))
 
 
-@query()
+_ROW = " || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar || ';', 'null;')" for c in ("doc_id", "text", "lang"))
+
+
+@query(f"""with r as (select doc_id, sha256({_ROW}) as digest from documents), p as (select digest, row_number() over (order by doc_id, digest) - 1 as pos from r),
+a as (select pos // 4096 as pos, sha256(string_agg(digest, '' order by pos)) as digest from p group by pos // 4096),
+b as (select pos // 4096 as pos, sha256(string_agg(digest, '' order by pos)) as digest from a group by pos // 4096)
+select case when (select count(*) from a) > 1 then (select digest from b) else (select digest from a) end as key""")
 def table_content_key(spark, d):
-    return spark.createDataFrame([(content_key(_t(spark, d, "documents"), ("v1",)),)], "key string")
+    return spark.createDataFrame([(table_digest(_t(spark, d, "documents").select("doc_id", "text", "lang"), ["doc_id"]),)], "key string")
 
 
 @query("select doc_id, 'Instruct: Find it' || chr(10) || 'Query: ' || lang || chr(10) || 'Document: ' || text as prompt from documents")

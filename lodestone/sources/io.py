@@ -18,6 +18,8 @@ ARTICLES = ("article_id", "title", "body")
 CALIBRATION = ("query_id", "query_text", "ground_truth")
 TEST = ("query_id", "query_text")
 KEY_BYTES, LENGTH_BYTES = 32, 8
+#: Digests that make one of the next level of a table's digest.
+FAN = 4096
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
@@ -93,17 +95,62 @@ def cache_key(groups: Iterable[Iterable[object]]) -> str:
     return digest.hexdigest()
 
 
+def table_digest(df: DataFrame, order: list[str] | None = None) -> str:
+    """SHA-256 of a table's rows in order, as a tree: of rows, of FAN digests by position, and so on to the root.
+
+    Rows are ordered by `order` (column pos if there is one, else all columns), then by their own
+    digest. A value counts with its length, a null as such, so that no two tables share a text.
+    A table without rows has the digest of an empty text.
+    """
+    order = order or (["pos"] if "pos" in df.columns else df.columns)
+    value = lambda c: F.coalesce(F.concat_ws(":", F.length(F.col(f"`{c}`").cast("string")), F.col(f"`{c}`").cast("string")), F.lit(""))
+    text = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "null;").otherwise(F.concat(value(c), F.lit(";"))) for c in df.columns])
+    rows = df.withColumn("__digest", F.sha2(text, 256))
+    by = [*[f"`{c}`" for c in order], "__digest"]
+    level = positions(settled(rows.repartitionByRange(*by).sortWithinPartitions(*by).select("__digest"))).select("pos", F.col("__digest").alias("digest"))
+    while True:
+        parts = level.groupBy(F.floor(F.col("pos") / FAN).alias("at")).agg(F.array_sort(F.collect_list(F.struct("pos", "digest"))).alias("rows"))
+        level = settled(parts.select(F.col("at").alias("pos"), F.sha2(F.array_join(F.transform("rows", lambda r: r["digest"]), ""), 256).alias("digest")))
+        found = level.limit(2).collect()
+        if len(found) < 2:
+            return found[0]["digest"] if found else hashlib.sha256().hexdigest()
+
+
 def content_key(df: DataFrame, settings: Iterable[object] = ()) -> str:
-    """Key of settings and a table's rows in any order, made by one aggregation."""
-    h = F.xxhash64(*df.columns)
-    total = df.agg(F.count("*"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor(h), F.lit(0))).first()
-    return cache_key([settings, df.columns, total])
+    """Key of settings and a table's rows in their order."""
+    return cache_key([settings, df.columns, [table_digest(df)]])
+
+
+def _current(spark: SparkSession, path: str, key: str) -> str | None:
+    """The folder of a cached table's newest whole version, which a file beside the versions names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}/_current")
+    fs = pointer.getFileSystem(conf)
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return f"{path}/{key}/{stream.readUTF()}"
+    finally:
+        stream.close()
+
+
+def _replace(spark: SparkSession, new: str, old: str) -> None:
+    """Move a file into the place of another in one step."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    source, target = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(old)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.getFileSystem(sc._jsc.hadoopConfiguration()).getUri(), sc._jsc.hadoopConfiguration())
+    how = sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(files.makeQualified(source), files.makeQualified(target), how)
 
 
 def cached_embeddings(spark: SparkSession, path: str, key: str, expected: int, dimension: int, atol: float = 1e-3) -> DataFrame | None:
     """A cached table of unit vectors (id, embedding), or None where it is missing or not valid."""
+    if not (folder := _current(spark, path, key)):
+        return None
     try:
-        df = spark.read.parquet(f"{path}/{key}")
+        df = spark.read.parquet(folder)
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double")))
         n, bad = df.agg(F.count("*"), F.count_if(F.col("embedding").isNull() | (F.size("embedding") != dimension) | norm.isNull() | F.isnan(norm) | (F.abs(norm - 1) > atol))).first()
     except AnalysisException:
@@ -117,8 +164,10 @@ def cached_logits(spark: SparkSession, path: str, key: str, queries: int | None
     That is if it is missing, has numbers that are not finite, a pair twice, queries with more
     candidates than others or, where `queries` is given, not that many queries.
     """
+    if not (folder := _current(spark, path, key)):
+        return None
     try:
-        df = spark.read.parquet(f"{path}/{key}")
+        df = spark.read.parquet(folder)
         if not {"query_id", "article_id", "logit"} <= set(df.columns):
             return None
         bad = F.count_if(F.expr("logit is null or isnan(logit) or abs(logit) = double('infinity')"))
@@ -129,14 +178,22 @@ def cached_logits(spark: SparkSession, path: str, key: str, queries: int | None
         return None
 
 
-def write_cache(df: DataFrame, path: str, key: str) -> None:
-    """Write beside the cache, then take its place: the new table may read the old one, and appears as a whole."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}.{uuid.uuid4().hex[:8]}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{key}")
-    df.write.parquet(new.toString())
-    fs = new.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
+def write_cache(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Write a version of a cached table, then name it as the current one; returns what was written.
+
+    The new table may read the old one. Readers see one whole version or the other, whatever fails
+    in between; of two writers the later one's version is current. Older versions stay on disk, since they may be read still.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    name = uuid.uuid4().hex
+    df.write.parquet(f"{path}/{key}/{name}")
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}/_{name}")
+    stream = pointer.getFileSystem(conf).create(pointer)
+    stream.writeUTF(name)
+    stream.close()
+    _replace(spark, pointer.toString(), f"{path}/{key}/_current")
+    return spark.read.schema(df.schema).parquet(f"{path}/{key}/{name}")
 
 
 def embedding_key(articles: DataFrame, references: DataFrame, targets: DataFrame, settings: Iterable[object], device: str) -> str:
@@ -165,10 +222,20 @@ def validate_submission(submission: DataFrame, test: DataFrame, articles: DataFr
 
 
 def save_submission(submission: DataFrame, path: str) -> None:
-    """One CSV file with a header, in the test's order."""
-    out = Path(path)
-    out.parent.mkdir(parents=True, exist_ok=True)
-    submission.orderBy("pos").select("query_id", "answer").toPandas().to_csv(out, index=False, lineterminator="\n")
+    """One CSV file with a header, in the test's order, written by one task and moved to its place as a whole.
+
+    If the write fails, what was there before stays.
+    """
+    spark = submission.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(conf)
+    try:
+        submission.orderBy("pos").select("query_id", "answer").coalesce(1).write.option("header", True).csv(folder.toString())
+        parts = [str(f.getPath()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+        _replace(spark, parts[0], path)
+    finally:
+        fs.delete(folder, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
