@@ -159,12 +159,9 @@ def test_blocks_of_classifiers_agree(spark, monkeypatch):
     assert whole.keys() == parts.keys() and len(whole) == 7 * 4
     assert all(parts[k] == pytest.approx(v, abs=1e-9) for k, v in whole.items())
     assert all(whole[q, 9] == 1.0 for q in (20, 30))
-    some = {r.article_id for r in C.logistic_scores(train, target, labels, max_train=5).collect()}
-    assert 9 in some and some <= {0, 1, 2, 9}
-    rows = {(r.query_id, r.article_id): r.score for r in C.logistic_scores(train, target, labels, max_train=5).collect()}
+    rows = {(r.query_id, r.article_id): r.score for r in C.logistic_scores(train, target, labels, max_train=5).collect()}  # over rows
     assert rows.keys() == whole.keys() and all(rows[k] == pytest.approx(v, abs=1e-6) for k, v in whole.items())
-    none = labels.where("false")
-    assert C.logistic_rows(train, target, none).collect() == C.logistic_rows(train.where("false"), target, labels).collect() == []
+    assert C.logistic_rows(train, target, labels.where("false")).collect() == []
 
 
 def test_fold_robust_is_robust_by_fold(spark):
