@@ -10,8 +10,18 @@ ROUNDS = 8
 FIRST_DAY, DAYS, DAY_A, DAY_B = "1900-01-01", 73049, 271, 270
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Names of secrets (after a part of a name, too: access_token, clientSecret, secret_key), and what a value has no part in.
+_NAME = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:token|secret|password|passwd|pwd|(?:api|access|secret|private|auth)[_\- ]?key)"
+_STOP = r"\s\"'`<>"
+#: A value stands after `=` or `:`; the short tests go first, since Java tries a lookbehind of any length at every position.
+_AFTER = rf"(?<=[=:\s\"'`])(?<=[=:]\s{{0,3}}[\"'`]{{0,1}})(?<={_NAME}[\"'`]{{0,1}}\s{{0,3}}[=:]\s{{0,3}}[\"'`]{{0,1}})"
+_QUOTED = rf"(?<=[\"'`])[^{_STOP}]{{8,}}(?=[\"'`])"
+_MIXED = rf"(?=[^{_STOP}]*\d)[^{_STOP}]{{7,}}[^{_STOP}.,;:)\]}}]"
+_LONG = r"[A-Za-z0-9_\-/+=]{16,}"
 PATTERNS = {
-    "secret": r"(?<=\b(?i:token|secret|password|passwd|api_key|apikey|api-key)\s{0,3}[=:]\s{0,3}[\"']{0,1})[A-Za-z0-9_\-]{16,}",
+    "secret": rf"{_AFTER}(?:{_QUOTED}|{_MIXED}|{_LONG})"
+    r"|(?<=\s)(?<=(?<![A-Za-z])(?i:bearer)\s{1,3})(?=[A-Za-z0-9._~+/\-]*\d)[A-Za-z0-9._~+/\-]{16,}=*"
+    r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "email": r"(?<![\p{L}\p{N}._+\-])[\p{L}\p{N}._+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)",
@@ -20,7 +30,7 @@ PATTERNS = {
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
 }
 #: What a text must have for any pattern to match.
-_ANY = r"[0-9@]|(?i:token|secret|passw|api[_-]?key)"
+_ANY = r"[0-9@]|(?i:token|secret|passw|pwd|key)"
 #: All patterns; group 1 is a secret, which its context tells and not its characters.
 _ALL = "|".join(f"({v})" if k == "secret" else v for k, v in PATTERNS.items())
 
@@ -157,9 +167,15 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     Card numbers with a right check digit, phone numbers, IPv4 addresses, social security numbers
     and dates are permuted by Feistel networks within their format (cycle-walking keeps them
     valid), so equal values stay equal over all documents and different ones of a format
-    different. E-mail addresses, and secrets after a name such as `token =` in any case, of
-    digits only, too, become keyed digests. Numbers that do not validate stay. Adds n_pii, the
-    number of replaced values; all other columns stay.
+    different. E-mail addresses and secrets, of digits only, too, become keyed digests. Numbers
+    that do not validate stay, and so do telephone numbers in other layouts than the North American
+    ones (ten digits without separators, +49 30 12345678) and IPv6 addresses. Adds n_pii, the number
+    of replaced values; all other columns stay.
+
+    A secret is what follows a name such as `token =`, `"client_secret": "` or `accessKey:` in any
+    case, up to the closing quote or white space: in quotes from 8 characters on, without them from
+    8 if there is a digit, from 16 of a key's alphabet without one; plain words stay. Also what
+    follows `Bearer` (16 characters with a digit), and access key ids (AKIA, ASIA).
 
     Null texts stay null with 0; empty texts stay empty; rows are treated one by one, so ties,
     repeated rows and hot values move nothing; no shuffle at all. An older n_pii column is replaced.
