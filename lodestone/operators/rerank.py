@@ -57,14 +57,19 @@ def candidate_logits(base: DataFrame, chunks: DataFrame, queries: DataFrame, cac
     chunks; the default one is that chunk's lexical similarity.
     """
     pairs = rank(base, CANDIDATES).select("query_id", "article_id")
-    todo = pairs.join(cached, ["query_id", "article_id"], "left_anti") if cached is not None else pairs
-    best = best_chunks(chunks, queries, todo)
+    if cached is None:
+        return pair_logits(pairs, chunks, queries, score)
+    made = pair_logits(pairs.join(cached, ["query_id", "article_id"], "left_anti"), chunks, queries, score)
+    return made.unionByName(pairs.join(cached, ["query_id", "article_id"]).select("query_id", "article_id", "logit"))
+
+
+def pair_logits(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(query_id, article_id, logit) of the given pairs."""
+    best = best_chunks(chunks, queries, pairs)
     if score is None:
-        made = best.select("query_id", "article_id", F.col("sim").alias("logit"))
-    else:
-        asked = best.join(chunks.withColumnRenamed("text", "passage"), ["article_id", "chunk_id"]).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-        made = score(asked.select("query_id", "article_id", "query", "passage"))
-    return made if cached is None else made.unionByName(pairs.join(cached, ["query_id", "article_id"]).select("query_id", "article_id", "logit"))
+        return best.select("query_id", "article_id", F.col("sim").alias("logit"))
+    asked = best.join(chunks.withColumnRenamed("text", "passage"), ["article_id", "chunk_id"]).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    return score(asked.select("query_id", "article_id", "query", "passage"))
 
 
 def fuse(base: DataFrame, logits: DataFrame) -> DataFrame:

@@ -64,9 +64,27 @@ def memory_scores(sim: DataFrame, labels: DataFrame, p: dict = MEMORY) -> DataFr
     return row_scale(raw.select("query_id", "article_id", (F.col("score") / F.pow(F.greatest("freq", F.lit(1.0)), F.lit(p["frequency_power"]))).alias("score")))
 
 
+def label_pairs(labels: DataFrame, most: int = 1000) -> DataFrame:
+    """(ref_id, a, b): the ordered pairs of different labels (ref_id, article_id) of each reference.
+
+    References with at most `most` labels are joined with themselves by their id. Labels of the
+    others are dealt into blocks of about that many, and a join key is a pair of blocks, so no task
+    makes all pairs of a hub.
+    """
+    n = F.count("*").over(Window.partitionBy("ref_id"))
+    counted = labels.select("ref_id", "article_id", n.alias("n"))
+    light, heavy = counted.where(f"n <= {most}"), counted.where(f"n > {most}")
+    one = light.select("ref_id", F.col("article_id").alias("a")).join(light.select("ref_id", F.col("article_id").alias("b")), "ref_id")
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    own, every = F.pmod(F.xxhash64("article_id"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = heavy.select("ref_id", F.col("article_id").alias("a"), own.alias("at"), every.alias("to"))
+    right = heavy.select("ref_id", F.col("article_id").alias("b"), own.alias("to"), every.alias("at"))
+    both = left.join(right, ["ref_id", "at", "to"])
+    return one.select("ref_id", "a", "b").union(both.select("ref_id", "a", "b")).where("a <> b")
+
+
 def _cooccurrence(labels: DataFrame) -> DataFrame:
-    other = labels.select("ref_id", F.col("article_id").alias("b"))
-    return labels.select("ref_id", F.col("article_id").alias("a")).join(other, "ref_id").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return label_pairs(labels).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def _expand(base: DataFrame, cosine: DataFrame) -> DataFrame:
@@ -94,9 +112,8 @@ def fold_memory(sim: DataFrame, labels: DataFrame, folds: DataFrame, p: dict = M
     base = row_scale(raw.select("query_id", "article_id", (F.col("score") / F.pow(F.greatest("f", F.lit(1.0)), F.lit(p["frequency_power"]))).alias("score")))
     if not cooccurrence:
         return base
-    other = labels.select("ref_id", F.col("article_id").alias("b"))
-    both = labels.select("ref_id", F.col("article_id").alias("a")).join(other, "ref_id").join(f.toDF("ref_id", "fold"), "ref_id").groupBy("fold", "a", "b").agg(F.count("*").alias("m"))
-    whole = both.groupBy("a", "b").agg(F.sum("m").alias("n")).where("a <> b")
+    both = label_pairs(labels).join(f.toDF("ref_id", "fold"), "ref_id").groupBy("fold", "a", "b").agg(F.count("*").alias("m"))
+    whole = both.groupBy("a", "b").agg(F.sum("m").alias("n"))
     # label pairs are needed for the articles of a fold's base scores only
     asked = base.join(f.toDF("query_id", "fold"), "query_id").select("fold", F.col("article_id").alias("a")).distinct()
     c = asked.join(whole, "a").join(both, ["fold", "a", "b"], "left").withColumn("n", F.col("n") - F.coalesce("m", F.lit(0))).where("n > 0").drop("m")

@@ -15,7 +15,7 @@ from lodestone.functions.text import article_passages, instructed, normalize_lex
 from lodestone.operators import scores as S
 from lodestone.operators.classifier import kfold, logistic_oof, logistic_scores
 from lodestone.operators.nearest import nearest
-from lodestone.operators.rerank import candidate_logits, encode, fuse, hashing_encoder
+from lodestone.operators.rerank import CANDIDATES, candidate_logits, encode, fuse, hashing_encoder, pair_logits
 from lodestone.operators.tfidf import query_similarity, tfidf_scores
 from lodestone.sources import io
 
@@ -96,7 +96,7 @@ def channels(articles: DataFrame, refs: DataFrame, targets: DataFrame, models: M
 
 
 def reranked(base: DataFrame, articles: DataFrame, queries: DataFrame, models: Models) -> DataFrame:
-    """`base` fused with logits of its candidates; pairs that the cache lacks are scored and kept.
+    """`base` fused with logits of its candidates; only pairs that the cache lacks are scored and added to it.
 
     `base` is used several times and so settled first.
     """
@@ -109,11 +109,13 @@ def reranked(base: DataFrame, articles: DataFrame, queries: DataFrame, models: M
         return fuse(base, candidate_logits(base, chunks, asked, None, with_prompt))
     spark, path = articles.sparkSession, f"{models.cache_dir}/logits"
     key = io.reranker_key(articles.select("article_id", "title", "body"), queries.select("query_id", "query_text"), (models.version, models.name, RERANK_TASK), models.device)
-    cached = io.cached_logits(spark, path, key, queries.count())
-    pairs = S.rank(base, 15).select("query_id", "article_id")
-    if cached is None or not pairs.join(cached, ["query_id", "article_id"], "left_anti").isEmpty():
-        cached = io.write_cache(candidate_logits(base, chunks, asked, cached, with_prompt), path, key)
-    return fuse(base, pairs.join(cached, ["query_id", "article_id"]))
+    cached = io.cached_logits(spark, path, key)
+    pairs = S.rank(base, CANDIDATES).select("query_id", "article_id")
+    missing = pairs if cached is None else pairs.join(cached, ["query_id", "article_id"], "left_anti")
+    if not missing.isEmpty():
+        io.add_logits(pair_logits(missing, chunks, asked, with_prompt), path, key)
+        cached = io.cached_logits(spark, path, key)
+    return base if cached is None else fuse(base, pairs.join(cached, ["query_id", "article_id"]))
 
 
 def final_scores(articles: DataFrame, refs: DataFrame, test: DataFrame, mode: str = "fast", models: Models | None = None) -> DataFrame:

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import tempfile
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 from itertools import accumulate
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from lodestone.sources.arrow import BATCH, arrow_batches
+
 # fixed values: columns of the input tables, in order
 ARTICLES = ("article_id", "title", "body")
 CALIBRATION = ("query_id", "query_text", "ground_truth")
@@ -22,18 +26,13 @@ KEY_BYTES, LENGTH_BYTES = 32, 8
 FAN = 4096
 
 
-def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """An Arrow IPC file as a DataFrame; its rows' order is column `pos`.
+def read_arrow(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """An Arrow IPC file (or some of its columns) as a DataFrame; its rows' order is column `pos`.
 
-    Spark has no such source. The file is mapped and read on the driver, so this is for input
-    files of the retrieval task's size; large tables are Parquet.
+    A task reads one record batch; the driver reads the file's footer.
     """
-    import pyarrow as pa
-
-    with pa.memory_map(str(path), "r") as source:
-        found = pa.ipc.open_file(source).read_all()
-    found = found.append_column("pos", pa.array(range(found.num_rows), pa.int64()))
-    return spark.createDataFrame(found)
+    placed = arrow_batches(spark, path, columns).withColumnsRenamed({BATCH: "__file"})
+    return _numbered(placed, arrow_batches(spark, path, []).withColumnsRenamed({BATCH: "__file"}), "long")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -48,9 +47,14 @@ def positions(rows: DataFrame) -> DataFrame:
     reaches the driver, as the list of files itself does, and nothing is sorted.
     """
     placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    sizes = sorted((r[0], r[1]) for r in placed.groupBy("__file").agg(F.max("__row") + 1).collect())
+    return _numbered(placed, placed, "string")
+
+
+def _numbered(placed: DataFrame, counted: DataFrame, kind: str) -> DataFrame:
+    """`placed` by `pos` in place of (__file, __row); `counted` has the same places, perhaps without the other columns."""
+    sizes = sorted((r[0], r[1]) for r in counted.groupBy("__file").agg(F.max("__row") + 1).collect())
     before = [0, *accumulate(n for _, n in sizes)]
-    starts = rows.sparkSession.createDataFrame([(f, at) for (f, _), at in zip(sizes, before)], "__file string, __start long")
+    starts = placed.sparkSession.createDataFrame([(f, at) for (f, _), at in zip(sizes, before)], f"__file {kind}, __start long")
     return placed.join(F.broadcast(starts), "__file").withColumn("pos", F.col("__start") + F.col("__row")).drop("__file", "__row", "__start")
 
 
@@ -158,24 +162,82 @@ def cached_embeddings(spark: SparkSession, path: str, key: str, expected: int, d
     return df if n == expected and not bad else None
 
 
-def cached_logits(spark: SparkSession, path: str, key: str, queries: int | None = None) -> DataFrame | None:
-    """Cached (query_id, article_id, logit), or None if the cache cannot be used as a whole.
+#: An append to a store of so many parts writes them all as one.
+MOST_PARTS = 32
+LOGITS = "query_id long, article_id long, logit double"
+_NOT_FINITE = "logit is null or isnan(logit) or abs(logit) = double('infinity')"
+
 
-    That is if it is missing, has numbers that are not finite, a pair twice, queries with more
-    candidates than others or, where `queries` is given, not that many queries.
+def _parts(spark: SparkSession, path: str, key: str) -> dict[str, int]:
+    """Rows by folder of a store's parts that no other one replaces, as their manifests say."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    home = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}/_parts")
+    fs = home.getFileSystem(conf)
+    found, replaced = {}, set()
+    for file in fs.listStatus(home) if fs.exists(home) else []:
+        if file.getPath().getName().startswith("."):
+            continue
+        stream = fs.open(file.getPath())
+        try:
+            said = json.loads(stream.readUTF())
+        finally:
+            stream.close()
+        found[said["part"]] = said["rows"]
+        replaced |= set(said["replaces"])
+    return {p: n for p, n in found.items() if p not in replaced and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{key}/{p}"))}
+
+
+def cached_logits(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """Cached (query_id, article_id, logit), each pair once, or None if no part can be used.
+
+    A part is left out as a whole if it has numbers that are not finite, a pair twice, or another
+    number of rows than its manifest says. Of a pair in several parts the least logit counts.
     """
-    if not (folder := _current(spark, path, key)):
+    if not (parts := _parts(spark, path, key)):
         return None
-    try:
-        df = spark.read.parquet(folder)
-        if not {"query_id", "article_id", "logit"} <= set(df.columns):
-            return None
-        bad = F.count_if(F.expr("logit is null or isnan(logit) or abs(logit) = double('infinity')"))
-        per_query = df.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("article_id").alias("d"), bad.alias("bad"))
-        n, least, most, repeats, wrong = per_query.agg(F.count("*"), F.min("n"), F.max("n"), F.coalesce(F.sum(F.col("n") - F.col("d")), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-        return None if wrong or repeats or least != most or queries not in (None, n) else df
-    except AnalysisException:
+    read = lambda names: spark.read.schema(LOGITS).parquet(*[f"{path}/{key}/{p}" for p in names])
+    placed = read(sorted(parts)).withColumn("part", F.element_at(F.split("_metadata.file_path", "/"), -2))
+    pairs = placed.groupBy("part", "query_id", "article_id").agg(F.count("*").alias("n"), F.count_if(F.expr(_NOT_FINITE)).alias("bad"))
+    sums = pairs.groupBy("part").agg(F.sum("n"), F.max("n"), F.sum("bad")).collect()
+    whole = sorted(p for p, n, most, bad in sums if n == parts[p] and most == 1 and not bad)
+    if not whole:
         return None
+    return read(whole) if len(whole) == 1 else read(whole).groupBy("query_id", "article_id").agg(F.min("logit").alias("logit"))
+
+
+def add_logits(df: DataFrame, path: str, key: str) -> int:
+    """Append (query_id, article_id, logit) to a store as a part, and return its number of rows.
+
+    A part counts from when its manifest is there, which appears in one move, so a failed writer
+    leaves the store as it was. Writers at the same time each add a part; none undoes another's.
+    Rows are counted and tested by the job that writes them; logits that are not finite are an
+    error. A store of MOST_PARTS parts becomes one part, whose manifest names those that it
+    replaces; their files stay, since they may be read still.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    old = list(_parts(spark, path, key))
+    replaces = old if len(old) >= MOST_PARTS else []
+    if replaces and (kept := cached_logits(spark, path, key)) is not None:
+        df = df.select("query_id", "article_id", "logit").union(kept).groupBy("query_id", "article_id").agg(F.min("logit").alias("logit"))
+    name, seen = uuid.uuid4().hex, Observation()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}/{name}")
+    fs = folder.getFileSystem(conf)
+    df = df.selectExpr("cast(query_id as long) query_id", "cast(article_id as long) article_id", "cast(logit as double) logit")
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.expr(_NOT_FINITE)).alias("bad")).write.parquet(folder.toString())
+    rows, bad = (seen.get.get(k, 0) for k in ("rows", "bad"))
+    if bad or not rows:
+        fs.delete(folder, True)
+        if bad:
+            raise ValueError(f"{bad} of {rows} logits are not finite")
+        return 0
+    new = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}/_{name}")
+    stream = fs.create(new)
+    stream.writeUTF(json.dumps({"part": name, "rows": rows, "replaces": replaces}))
+    stream.close()
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/{key}/_parts"))
+    _replace(spark, new.toString(), f"{path}/{key}/_parts/{name}")
+    return rows
 
 
 def write_cache(df: DataFrame, path: str, key: str) -> DataFrame:
@@ -207,18 +269,21 @@ def reranker_key(articles: DataFrame, queries: DataFrame, settings: Iterable[obj
 
 
 def validate_submission(submission: DataFrame, test: DataFrame, articles: DataFrame) -> None:
-    """Ten different known ids for each test query, in the test's order (column pos)."""
+    """Ten different known ids for each test query, in the test's order (column pos). One job tests all."""
     if [c for c in submission.columns if c != "pos"] != ["query_id", "answer"]:
         raise ValueError("submission: wrong columns")
-    left, right = submission.select("pos", "query_id"), test.select("pos", "query_id")
-    if not left.exceptAll(right).isEmpty() or not right.exceptAll(left).isEmpty():
-        raise ValueError("submission: queries are not the test's in its order")
+    sides = submission.select("pos", "query_id", F.lit(1).alias("side")).union(test.select("pos", "query_id", F.lit(-1)))
+    misplaced = sides.groupBy("pos", "query_id").agg(F.sum("side").alias("side")).where("side <> 0")
     ids = F.filter(F.split("answer", " "), lambda v: v != "")
-    if not submission.where((F.size(ids) != 10) | (F.size(F.array_distinct(ids)) != 10)).isEmpty():
-        raise ValueError("submission: not ten different articles")
-    named = submission.select(F.explode(ids).alias("article_id")).select(F.col("article_id").cast("bigint")).distinct()
-    if not named.join(articles.select("article_id"), "article_id", "left_anti").isEmpty():
-        raise ValueError("submission: unknown articles")
+    wrong = submission.where(F.coalesce((F.size(ids) != 10) | (F.size(F.array_distinct(ids)) != 10), F.lit(True)))
+    named = submission.select(F.explode(ids).alias("id")).select(F.col("id").try_cast("bigint").alias("article_id")).distinct()
+    unknown = named.join(articles.select("article_id"), "article_id", "left_anti")
+    tests = {"queries are not the test's in its order": misplaced, "not ten different articles": wrong, "unknown articles": unknown}
+    counts = reduce(DataFrame.union, [df.agg(F.lit(what).alias("what"), F.count("*").alias("n")) for what, df in tests.items()])
+    found = dict(map(tuple, counts.collect()))
+    for what in tests:
+        if found[what]:
+            raise ValueError(f"submission: {what}")
 
 
 def save_submission(submission: DataFrame, path: str) -> None:

@@ -100,14 +100,18 @@ def test_prepare_refuses_empty_bodies(spark):
         P.prepare_articles(spark.createDataFrame([(1, "t", "<script>x</script>"), (2, "t", "x")], "article_id long, title string, body string"))
 
 
-def test_cached_logits_are_whole(spark, tmp_path):
-    path, schema = f"file://{tmp_path}", "query_id long, article_id long, logit double"
-    io.write_cache(spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.1), (2, 1, 0.2), (2, 3, 0.3)], schema), path, "k")
-    assert io.cached_logits(spark, path, "k", 2).count() == 4 and io.cached_logits(spark, path, "k", 3) is None
-    io.write_cache(io.cached_logits(spark, path, "k").where("article_id <> 3"), path, "k")
-    assert io.cached_logits(spark, path, "k") is None
-    io.write_cache(spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.1)], schema), path, "k")
+def test_parts_of_cached_logits_are_whole(spark, tmp_path):
+    path, make = f"file://{tmp_path}", lambda *r: spark.createDataFrame(list(r), io.LOGITS)
+    assert io.add_logits(make((1, 1, 0.5), (1, 2, 0.1), (2, 1, 0.2)), path, "k") == 3
+    assert io.add_logits(make((3, 1, 0.7), (3, 1, 0.1)), path, "k") == 2  # a pair twice: this part is not used
+    assert io.cached_logits(spark, path, "k").count() == 3
+    lost = next(p for p in (tmp_path / "k").rglob("part-*.parquet") if spark.read.parquet(f"file://{p}").where("query_id = 2").count())
+    lost.unlink()
     assert io.cached_logits(spark, path, "k") is None
+    for bad in (float("nan"), float("inf"), None):
+        with pytest.raises(ValueError, match="1 of 2 logits"):
+            io.add_logits(make((1, 1, bad), (1, 2, 0.0)), path, "l")
+    assert io.cached_logits(spark, path, "l") is None
 
 
 def test_keys_follow_what_they_name(spark):

@@ -124,8 +124,6 @@ def test_caches(spark, tmp_path):
     io.write_cache(spark.createDataFrame([(1, [0.6, 0.8])], "id long, embedding array<float>"), path, "k")
     assert io.cached_embeddings(spark, path, "k", 1, 2) is not None
     assert io.cached_embeddings(spark, path, "k", 2, 2) is None
-    io.write_cache(spark.createDataFrame([(1, 1, float("nan"))], "query_id long, article_id long, logit double"), path, "l")
-    assert io.cached_logits(spark, path, "l") is None
 
 
 def test_robust_gate(spark):

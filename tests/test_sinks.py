@@ -1,12 +1,16 @@
-"""Keys that follow rows and their order, caches and the answer file, which appear whole."""
+"""Keys that follow rows and their order, caches and the answer file, which appear whole, Arrow files, label pairs of hubs."""
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import scores as S
 from lodestone.sources import io
+from lodestone.sources.arrow import arrow_batches
 
 
 def test_table_digest_follows_rows_and_order(spark, monkeypatch):
@@ -46,14 +50,79 @@ def test_answer_file_appears_whole(spark, tmp_path):
 
 def test_cache_keeps_the_last_whole_version(spark, tmp_path):
     path = str(tmp_path)
-    logits = lambda *r: spark.createDataFrame(list(r), "query_id long, article_id long, logit double")
-    assert io.cached_logits(spark, path, "k") is None
-    io.write_cache(logits((1, 1, 0.5)), path, "k")
-    old = io.cached_logits(spark, path, "k")
+    vectors = lambda *ids: spark.createDataFrame([(i, [0.6, 0.8]) for i in ids], "id long, embedding array<float>")
+    found = lambda n: sorted(r.id for r in io.cached_embeddings(spark, path, "k", n, 2).collect())
+    assert io.cached_embeddings(spark, path, "k", 1, 2) is None
+    io.write_cache(vectors(1), path, "k")
+    old = io.cached_embeddings(spark, path, "k", 1, 2)
     with pytest.raises(Exception, match="lost"):
-        io.write_cache(logits((1, 2, 0.1)).withColumn("logit", F.expr("cast(raise_error('lost') as double)")), path, "k")
-    assert [tuple(r) for r in io.cached_logits(spark, path, "k").collect()] == [(1, 1, 0.5)]
-    io.write_cache(old.union(logits((1, 2, 0.25))), path, "k")  # reads the version that it follows
-    assert sorted(map(tuple, io.cached_logits(spark, path, "k").collect())) == [(1, 1, 0.5), (1, 2, 0.25)]
-    assert [tuple(r) for r in old.collect()] == [(1, 1, 0.5)]  # who still reads the old one can
+        io.write_cache(vectors(2).withColumn("id", F.expr("cast(raise_error('lost') as long)")), path, "k")
+    assert found(1) == [1]
+    io.write_cache(old.union(vectors(2)), path, "k")  # reads the version that it follows
+    assert found(2) == [1, 2]
+    assert [r.id for r in old.collect()] == [1]  # who still reads the old one can
     assert len([p for p in Path(path, "k").iterdir() if p.is_dir()]) == 3
+
+
+def _logits(spark, *rows):
+    return spark.createDataFrame(list(rows), io.LOGITS)
+
+
+def test_logits_are_appended(spark, tmp_path, monkeypatch):
+    path, found = str(tmp_path), lambda: sorted(map(tuple, io.cached_logits(spark, path, "k").collect()))
+    assert io.cached_logits(spark, path, "k") is None and io.add_logits(_logits(spark).where("true"), path, "k") == 0
+    assert io.add_logits(_logits(spark, (1, 1, 0.5), (1, 2, 0.25)), path, "k") == 2
+    with pytest.raises(Exception, match="lost"):  # killed half way
+        io.add_logits(_logits(spark, (1, 3, 0.1)).withColumn("logit", F.expr("cast(raise_error('lost') as double)")), path, "k")
+    assert found() == [(1, 1, 0.5), (1, 2, 0.25)]
+    before = {p for p in Path(path).rglob("*.parquet") if p.is_file()}
+    assert io.add_logits(_logits(spark, (1, 3, 0.125)), path, "k") == 1
+    new = {p for p in Path(path).rglob("*.parquet") if p.is_file()} - before
+    assert sum(spark.read.parquet(str(p)).count() for p in new) == 1  # one new pair, one row written
+    reader = io.cached_logits(spark, path, "k")
+    monkeypatch.setattr(io, "MOST_PARTS", 2)
+    io.add_logits(_logits(spark, (1, 1, 0.5), (2, 1, 1.0)), path, "k")
+    assert len(io._parts(spark, path, "k")) == 1 and found() == [(1, 1, 0.5), (1, 2, 0.25), (1, 3, 0.125), (2, 1, 1.0)]
+    assert reader.count() == 3
+
+
+def test_two_writers_of_logits_lose_nothing(spark, tmp_path):
+    path, written = str(tmp_path), [[(w, a, w + a / 8) for a in range(5)] + [(9, 9, 0.5)] for w in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda rows: io.add_logits(_logits(spark, *rows), path, "k"), written))
+    assert sorted(map(tuple, io.cached_logits(spark, path, "k").collect())) == sorted({r for rows in written for r in rows})
+
+
+@pytest.mark.parametrize("compression", [None, "zstd"])
+def test_arrow_file_by_batches(spark, tmp_path, compression):
+    path, sizes = str(tmp_path / "a.f"), [3, 0, 5, 1]
+    table = pa.table({"id": pa.array(range(9), pa.int64()), "text": ["ä", None, "", "x y", "z", "b", "c", "d", "e"], "v": pa.array([[float(k)] * (k % 3) for k in range(9)], pa.list_(pa.float32()))})
+    with pa.ipc.new_file(path, table.schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as out:
+        for at, n in zip((0, 3, 3, 8), sizes):
+            out.write_batch(table.slice(at, n).combine_chunks().to_batches()[0] if n else pa.RecordBatch.from_pylist([], table.schema))
+    rows = io.read_arrow(spark, path)
+    assert rows.columns == ["id", "text", "v", "pos"]
+    assert [r.asDict() for r in rows.orderBy("pos").collect()] == [r | {"pos": k} for k, r in enumerate(table.to_pylist())]
+    assert arrow_batches(spark, path).rdd.getNumPartitions() == len(sizes)
+    some = io.read_arrow(spark, f"file://{path}", ["v", "id"])
+    assert some.columns == ["v", "id", "pos"] and [(r.id, r.pos) for r in some.orderBy("pos").collect()] == [(k, k) for k in range(9)]
+
+
+def test_arrow_file_without_rows(spark, tmp_path):
+    with pa.ipc.new_file(str(tmp_path / "a.f"), pa.schema([("id", pa.int64())])):
+        pass
+    assert io.read_arrow(spark, str(tmp_path / "a.f")).collect() == []
+
+
+def test_label_pairs_of_a_hub(spark):
+    labels = [(1, a) for a in range(300)] + [(r, a) for r in range(2, 20) for a in range(r, r + 4)] + [(30, 5)]
+    expected = sorted((r, a, b) for r, a in labels for s, b in labels if r == s and a != b)
+    frame = spark.createDataFrame(labels, "ref_id long, article_id long")
+    for most in (1000, 40, 2):
+        assert sorted(map(tuple, S.label_pairs(frame, most).collect())) == expected
+
+
+def test_label_pairs_of_ten_thousand_labels_are_dealt(spark):
+    hub = spark.range(10_000).select(F.lit(1).alias("ref_id"), F.col("id").alias("article_id"))
+    pairs = S.label_pairs(hub).groupBy(F.pmod("a", F.lit(100)).alias("g")).agg(F.count("*").alias("n"))
+    assert [r.n for r in pairs.collect()] == [100 * 9_999] * 100
