@@ -29,10 +29,10 @@ FAN = 4096
 def read_arrow(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """An Arrow IPC file (or some of its columns) as a DataFrame; its rows' order is column `pos`.
 
-    A task reads one record batch; the driver reads the file's footer.
+    A task reads one record batch; the driver reads the file's footer. Since the source starts
+    Python for each plan that reads it, the file is read once and settled as Parquet.
     """
-    placed = arrow_batches(spark, path, columns).withColumnsRenamed({BATCH: "__file"})
-    return _numbered(placed, arrow_batches(spark, path, []).withColumnsRenamed({BATCH: "__file"}), "long")
+    return _numbered(settled(arrow_batches(spark, path, columns)).withColumnsRenamed({BATCH: "__file"}), "long")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -47,12 +47,12 @@ def positions(rows: DataFrame) -> DataFrame:
     reaches the driver, as the list of files itself does, and nothing is sorted.
     """
     placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return _numbered(placed, placed, "string")
+    return _numbered(placed, "string")
 
 
-def _numbered(placed: DataFrame, counted: DataFrame, kind: str) -> DataFrame:
-    """`placed` by `pos` in place of (__file, __row); `counted` has the same places, perhaps without the other columns."""
-    sizes = sorted((r[0], r[1]) for r in counted.groupBy("__file").agg(F.max("__row") + 1).collect())
+def _numbered(placed: DataFrame, kind: str) -> DataFrame:
+    """`placed` with `pos` in place of (__file, __row)."""
+    sizes = sorted((r[0], r[1]) for r in placed.groupBy("__file").agg(F.max("__row") + 1).collect())
     before = [0, *accumulate(n for _, n in sizes)]
     starts = placed.sparkSession.createDataFrame([(f, at) for (f, _), at in zip(sizes, before)], f"__file {kind}, __start long")
     return placed.join(F.broadcast(starts), "__file").withColumn("pos", F.col("__start") + F.col("__row")).drop("__file", "__row", "__start")
