@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import tokens
 from lodestone.llm.chat_format import format_preferences, neighbour_pairs
+from lodestone.llm import decontamination
+from lodestone.llm.common import Workspace
 from lodestone.llm.decontamination import clean, leaks
 from lodestone.llm.html_extraction import extract, extract_pages
 from lodestone.llm.language_id import Scorer, fit, identify
@@ -558,16 +560,8 @@ def test_decontamination_misses_no_substitution_pattern(spark):
     assert {(r.doc_id, r.item_id, r.n_equal) for r in got.collect()} == expected
 
 
-def test_decontamination_against_brute_force(spark):
-    rng = random.Random(6)
-    words = [f"w{k}" for k in range(60)]
-    items = [(k, [rng.choice(words) for _ in range(n)]) for k, n in enumerate((1, 2, 4, 7, 8, 9, 11, 14, 19, 20, 21, 30))]
-    texts = []
-    for k in range(150):
-        w = [rng.choice(words) for _ in range(rng.randint(0, 40))]
-        item = rng.choice(items)[1]
-        part = [rng.choice(words) if rng.random() < 0.12 else x for x in item][rng.randint(0, 2) :]
-        texts.append((k, w[:10] + part + w[10:]))
+def overlaps(texts, items):
+    """Largest number of equal tokens of each leak, by comparing all windows of all pairs."""
     expected = {}
     for d, t in texts:
         for i, h in items:
@@ -579,10 +573,63 @@ def test_decontamination_against_brute_force(spark):
                         best = max(best or 0, n)
             if best:
                 expected[d, i] = best
+    return expected
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, [rng.choice(words) for _ in range(n)]) for k, n in enumerate((1, 2, 4, 7, 8, 9, 11, 14, 19, 20, 21, 30))]
+    texts = []
+    for k in range(150):
+        w = [rng.choice(words) for _ in range(rng.randint(0, 40))]
+        item = rng.choice(items)[1]
+        part = [rng.choice(words) if rng.random() < 0.12 else x for x in item][rng.randint(0, 2) :]
+        texts.append((k, w[:10] + part + w[10:]))
+    expected = overlaps(texts, items)
     got = leaks(spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(h)) for i, h in items], "item_id long, text string"))
     assert {(r.doc_id, r.item_id): r.n_equal for r in got.collect()} == expected and len(expected) > 60
 
 
+def _shared_lead(n, rng):
+    """n items and n texts around one lead of 12 tokens; every fourth text holds an item with some tokens changed."""
+    words, lead = [f"w{k}" for k in range(300)], [f"lead{k}" for k in range(12)]
+    tail = lambda k: [rng.choice(words) for _ in range(k)]
+    items = [(k, tail(k % 3) + lead + tail(rng.choice((0, 2, 5, 8, 14)) if k % 5 == 0 else 8)) for k in range(n)]
+    texts = []
+    for d in range(n):
+        body = lead + tail(10)
+        if d % 4 == 0:
+            body = [rng.choice(words) if rng.random() < 0.15 else t for t in items[d * 7 % n][1]]
+        texts.append((d, tail(d % 6) + body + tail(3)))
+    return texts, items
+
+
+def test_decontamination_with_a_lead_in_common_against_brute_force(spark):
+    texts, items = _shared_lead(90, random.Random(8))
+    expected = overlaps(texts, items)
+    frames = spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(h)) for i, h in items], "item_id long, text string")
+    for more in ({"common": 3}, {"common": 3, "broadcast_rows": 0}, {"common": 10**6}):
+        assert {(r.doc_id, r.item_id): r.n_equal for r in leaks(*frames, **more).collect()} == expected
+    assert len(expected) > 90
+    left = {r.doc_id for r in clean(*frames, common=3).collect()}
+    assert left == {d for d, _ in texts} - {d for d, _ in expected}
+
+
+def test_decontamination_candidates_of_a_lead_in_common_stay_under_one_a_text(spark):
+    found = []
+    for n in (50, 200, 800):
+        rng = random.Random(9)
+        lead = [f"lead{k}" for k in range(12)]
+        some = lambda side: [(k, " ".join(lead + [f"{side}{rng.randrange(10**6)}" if rng.random() < 0.7 else f"w{rng.randrange(300)}" for _ in range(10)])) for k in range(n)]  # noqa: B023, E731
+        docs, items = spark.createDataFrame(some("d"), "doc_id long, text string"), spark.createDataFrame(some("i"), "item long, text string")
+        docs = docs.withColumn("th", F.xxhash64("text"))
+        items = items.select("item", decontamination.tokens(F.col("text")).alias("h"))
+        found.append(decontamination._hits(docs, items, Workspace(spark, "hits"), 20, 0.8, 10**6, decontamination.COMMON).count())
+    # 1, 12 and 184 of 2,500, 40,000 and 640,000 pairs: fewer than texts, though they grow faster than those
+    assert found[0] < 50 and found[1] < 200 and found[2] < 800
+
+
 def test_preferences(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 1, "assistant", "no"), (2, 0, None, None), (3, 0, None, None), (4, 0, "user", "x"), (None, 0, "user", "x")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
