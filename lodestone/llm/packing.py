@@ -85,15 +85,18 @@ def _first(path: str, length: int, windows: int):
 
         part, enc, end = TaskContext.get().partitionId(), tokens.encoder(path), np.array([END_ID], "<u2")
         packer, out = Packer(length, windows, part << 32), []
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([enc.encode(text.as_py()), end])
-                out.extend(packer.add(doc, 0, ids, len(ids)))
-                if len(out) >= 2000:
-                    yield _rows(out, part, False)
-                    out = []
-        yield _rows(out, part, False)
-        yield _rows(list(packer.rest()), part, True)
+        try:
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids = np.concatenate([enc.encode(text.as_py()), end])
+                    out.extend(packer.add(doc, 0, ids, len(ids)))
+                    if len(out) >= 2000:
+                        yield _rows(out, part, False)
+                        out = []
+            yield _rows(out, part, False)
+            yield _rows(list(packer.rest()), part, True)
+        finally:
+            tokens.release()  # workers are reused: an idle one would keep the encoder and its words
 
     return run
 
