@@ -38,6 +38,15 @@ def kfold(n: int, seed: int, splits: int = 5) -> np.ndarray:
     return folds
 
 
+def numbered_folds(queries: DataFrame, seed: int, splits: int = 5) -> DataFrame:
+    """(query_id, pos, fold): `kfold` of the queries by ascending id. The driver holds the permutation, but no ids."""
+    by_id = settled(queries.select("query_id").repartitionByRange("query_id").sortWithinPartitions("query_id"))
+    placed = positions(by_id)
+    n = by_id.count()
+    dealt = queries.sparkSession.createDataFrame(pd.DataFrame({"pos": np.arange(n), "fold": kfold(n, seed, splits).astype(np.int32)}), "pos long, fold int")
+    return placed.join(dealt, "pos").select("query_id", "pos", "fold")
+
+
 def kernel(train: DataFrame, target: DataFrame) -> DataFrame:
     """(query_id, ref_id, k): inner products of word and weighted character features, plus the bias.
 
@@ -191,10 +200,7 @@ def logistic_scores(train: DataFrame, target: DataFrame, labels: DataFrame, max_
 
 def logistic_oof(queries: DataFrame, labels: DataFrame, seed: int, splits: int = 5) -> DataFrame:
     """Scores of each query by classifiers of the other folds."""
-    spark = queries.sparkSession
-    ids = sorted(r[0] for r in queries.select("query_id").collect())
-    folds = spark.createDataFrame([(int(q), int(f)) for q, f in zip(ids, kfold(len(ids), seed, splits))], "query_id long, fold int")
-    rows = queries.join(folds, "query_id")
+    rows = settled(queries.join(numbered_folds(queries, seed, splits).drop("pos"), "query_id"))
     out = None
     for f in range(splits):
         one = logistic_scores(rows.where(f"fold <> {f}"), rows.where(f"fold = {f}"), labels)

@@ -34,6 +34,68 @@ def hashing_encoder(dimension: int = 256) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
+#: Tokens of a text that an encoder reads, and of a question with its passage that a reranker reads.
+TEXT_TOKENS, PAIR_TOKENS = 512, 256
+
+
+def padded(tokenized: list[list[int]], most: int, pad_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, mask) of one batch: the first `most` tokens of each text, filled up on the left to the longest's length."""
+    rows = [t[:most] for t in tokenized]
+    width = max(map(len, rows), default=0)
+    ids, mask = np.full((len(rows), width), pad_id, np.int64), np.zeros((len(rows), width), np.int64)
+    for k, row in enumerate(rows):
+        if row:
+            ids[k, -len(row) :], mask[k, -len(row) :] = row, 1
+    return ids, mask
+
+
+def _by_length(texts: list[str], tokenize: Callable[[list[str]], list[list[int]]], most: int, batch_size: int, pad_id: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Batches of texts of about the same length, with their places in `texts`."""
+    tokenized = tokenize([t or "" for t in texts])
+    order = sorted(range(len(texts)), key=lambda k: (len(tokenized[k]), k))
+    for at in range(0, len(order), batch_size):
+        places = order[at : at + batch_size]
+        yield places, *padded([tokenized[k] for k in places], most, pad_id)
+
+
+def token_encoder(tokenize: Callable[[list[str]], list[list[int]]], forward: Callable[[np.ndarray, np.ndarray], np.ndarray], dimension: int, batch_size: int = 64, most: int = TEXT_TOKENS, pad_id: int = 0) -> Callable[[list[str]], np.ndarray]:
+    """An encoder for `encode` from a tokenizer and a model.
+
+    `forward` gets (ids, mask), padded on the left, and returns a vector a token; a text's is its
+    last token's, brought to length one. A text without tokens has the zero vector.
+    """
+
+    def run(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dimension), np.float32)
+        for places, ids, mask in _by_length(texts, tokenize, most, batch_size, pad_id):
+            some = np.flatnonzero(mask.any(axis=1))
+            if len(some):
+                last = np.asarray(forward(ids[some], mask[some]), np.float32)[:, -1]
+                norm = np.linalg.norm(last, axis=1, keepdims=True)
+                out[np.array(places)[some]] = last / np.where(norm > 0, norm, 1)
+        return out
+
+    return run
+
+
+def token_scorer(load: Callable[[], tuple[Callable, Callable]], batch_size: int = 4, most: int = PAIR_TOKENS, pad_id: int = 0) -> Callable[[DataFrame], DataFrame]:
+    """A scorer for `rerank` from a pairwise model: (query_id, article_id, logit) of rows with a prompt.
+
+    `load` runs once in each task and gives the tokenizer and a model that returns a logit a row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loaded = None
+        for b in batches:
+            loaded = loaded or load()
+            logits = np.zeros(len(b))
+            for places, ids, mask in _by_length(b["prompt"].tolist(), loaded[0], most, batch_size, pad_id):
+                logits[places] = loaded[1](ids, mask)
+            yield b[["query_id", "article_id"]].assign(logit=logits)
+
+    return lambda pairs: pairs.select("query_id", "article_id", "prompt").mapInPandas(run, "query_id long, article_id long, logit double")
+
+
 def encode(df: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_encoder, batch_size: int = 64) -> DataFrame:
     """(key, embedding): `load` runs once in each worker, on its first batch; the model gets batch_size texts at a time."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.html_text import rendered
 from lodestone.functions.text import article_passages, instructed, normalize_lexical_text, normalize_text, parse_ground_truth, rerank_prompt, reranker_chunks
 from lodestone.operators import scores as S
-from lodestone.operators.classifier import kfold, logistic_oof, logistic_scores
+from lodestone.operators.classifier import logistic_oof, logistic_scores, numbered_folds
 from lodestone.operators.nearest import nearest
 from lodestone.operators.rerank import CANDIDATES, candidate_logits, encode, fuse, hashing_encoder, pair_logits
 from lodestone.operators.tfidf import query_similarity, tfidf_scores
@@ -30,7 +30,9 @@ class Models:
     """Where encoder and reranker come from, and where their results are kept.
 
     `encoder` and `scorer` get device and batch size; the defaults are stand-ins without weights.
-    Without cache_dir nothing is kept.
+    `token_encoder` and `token_scorer` make them from a tokenizer and a model. The tasks are what a
+    model is told to do; a change of one is another model to the caches. Without cache_dir nothing
+    is kept.
     """
 
     encoder: Callable[[str], Callable] = lambda device: hashing_encoder
@@ -41,6 +43,9 @@ class Models:
     batch_size: int = 4
     cache_dir: str | None = None
     version: int = 1
+    article_task: str = ARTICLE_TASK
+    memory_task: str = MEMORY_TASK
+    rerank_task: str = RERANK_TASK
 
 
 def prepare_articles(articles: DataFrame) -> DataFrame:
@@ -64,12 +69,12 @@ def embedding_channels(articles: DataFrame, refs: DataFrame, targets: DataFrame,
     """(id, embedding) of passages, references and targets with each task: from the cache, or encoded and kept there."""
     passages = article_passages(articles)
     of = lambda df, task: df.select("query_id", (instructed(F.col("query_text"), task) if task else F.col("query_text")).alias("text"))
-    wanted = {"passages": (passages, "article_id", "passage"), "references": (of(refs, None), "query_id", "text"), "article_queries": (of(targets, ARTICLE_TASK), "query_id", "text"), "memory_queries": (of(targets, MEMORY_TASK), "query_id", "text")}
+    wanted = {"passages": (passages, "article_id", "passage"), "references": (of(refs, None), "query_id", "text"), "article_queries": (of(targets, models.article_task), "query_id", "text"), "memory_queries": (of(targets, models.memory_task), "query_id", "text")}
     make = lambda df, key, text: encode(df, key, text, models.encoder(models.device), models.batch_size).withColumnRenamed(key, "id")
     if not models.cache_dir:
         return {name: make(*w) for name, w in wanted.items()}
     spark = articles.sparkSession
-    settings = (models.version, models.name, models.dimension, ARTICLE_TASK, MEMORY_TASK)
+    settings = (models.version, models.name, models.dimension, models.article_task, models.memory_task)
     key = io.embedding_key(passages, refs.select("query_id", "query_text"), targets.select("query_id", "query_text"), settings, models.device)
     out = {}
     for name, w in wanted.items():
@@ -104,11 +109,11 @@ def reranked(base: DataFrame, articles: DataFrame, queries: DataFrame, models: M
     asked = queries.select("query_id", normalize_lexical_text(F.col("query_text")).alias("text"))
     chunks = reranker_chunks(articles.select("article_id", "title", "dense")).withColumn("text", normalize_lexical_text(F.col("text")))
     score = models.scorer(models.device, models.batch_size) if models.scorer else None
-    with_prompt = (lambda df: score(df.withColumn("prompt", rerank_prompt(F.col("query"), F.col("passage"), RERANK_TASK)))) if score else None
+    with_prompt = (lambda df: score(df.withColumn("prompt", rerank_prompt(F.col("query"), F.col("passage"), models.rerank_task)))) if score else None
     if not models.cache_dir:
         return fuse(base, candidate_logits(base, chunks, asked, None, with_prompt))
     spark, path = articles.sparkSession, f"{models.cache_dir}/logits"
-    key = io.reranker_key(articles.select("article_id", "title", "body"), queries.select("query_id", "query_text"), (models.version, models.name, RERANK_TASK), models.device)
+    key = io.reranker_key(articles.select("article_id", "title", "body"), queries.select("query_id", "query_text"), (models.version, models.name, models.rerank_task), models.device)
     cached = io.cached_logits(spark, path, key)
     pairs = S.rank(base, CANDIDATES).select("query_id", "article_id")
     missing = pairs if cached is None else pairs.join(cached, ["query_id", "article_id"], "left_anti")
@@ -175,9 +180,8 @@ def evaluate(articles: DataFrame, refs: DataFrame, seeds: Sequence[int] = (7, 42
     fusion = io.settled(fusion)
     for name, scores in (("lexical", c["lexical"]), ("lexical_memory", lexical_memory), ("classifier", middle), ("dense", c["dense"]), ("dense_memory", dense_memory), ("fusion", fusion), ("high_score", reranked(fusion, articles, refs, models))):
         add("leave-one-out", name, scores)
-    ids = sorted(r[0] for r in refs.select("query_id").collect())
     for s in seeds:
-        folds = spark.createDataFrame([(int(q), int(f)) for q, f in zip(ids, kfold(len(ids), s))], "id long, fold int")
+        folds = io.settled(numbered_folds(refs, s).select(F.col("query_id").alias("id"), "fold"))
         lexical_memory, dense_memory = io.settled(S.fold_memory(c["lex_sim"], labels, folds, S.MEMORY, True)), io.settled(S.fold_memory(c["dense_sim"], labels, folds, S.DENSE))
         add(f"five-fold {s}", "fusion", S.hybrid(c["lexical"], c["dense"], dense_memory, lexical_memory, classifiers[s]))
         add(f"five-fold {s}", "robust", S.fold_robust(c["lexical"], c["dense"], lexical_memory, classifiers[s], c["dense_sim"], labels, folds))

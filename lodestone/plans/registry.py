@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from lodestone.functions import text as X
 from lodestone.functions.html_text import rendered
 from lodestone.operators import eda, tfidf
 from lodestone.operators import scores as S
-from lodestone.operators.classifier import kfold, logistic_oof, logistic_rows, logistic_scores
+from lodestone.operators.classifier import logistic_oof, logistic_rows, logistic_scores, numbered_folds
 from lodestone.operators.rerank import encode, rerank
 from lodestone.plans import duck as D
 from lodestone.operators.matching import containing
@@ -409,8 +411,9 @@ def best_chunk_per_candidate(spark, d):
 
 @query()
 def kfold_assignment(spark, d):
-    n = _t(spark, d, "benchmark").count()
-    return spark.createDataFrame([(i, int(f), s) for s in (7, 42, 2026) for i, f in enumerate(kfold(n, s))], "pos long, fold long, seed long")
+    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    parts = [numbered_folds(q, s).select("query_id", "pos", F.col("fold").cast("long").alias("fold"), F.lit(s).cast("long").alias("seed")) for s in (7, 42, 2026)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _logistic_data(spark, d):
