@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +59,11 @@ def _tf(sublinear: bool) -> Column:
 
 
 def counts(df: DataFrame, key: str, analyzer: str) -> DataFrame:
-    """(key, term, tf) of the texts. Only the texts are shuffled, by key: terms are counted where they arise.
+    """(key, term, tf) of the texts. Only the texts are shuffled, by key, into parts of some PART_TEXTS: terms are counted where they arise.
 
     Grams of characters are made once for each distinct word of a text.
     """
-    dealt = df.repartition(key)
+    dealt = df.repartition(min(2_000, 8 + df.count() // PART_TEXTS), key)
     if analyzer == "word":
         return word_terms(dealt, key, "text").groupBy(key, "term").agg(F.count("*").alias("tf"))
     times = words(dealt, key, "text").groupBy(key, "w").agg(F.count("*").alias("times"))
@@ -110,8 +111,12 @@ class Space:
 
     @cached_property
     def _common(self):
-        """Broadcast (terms in order, idf) of the most frequent terms, and whether the others are all in one text."""
-        rows = self.weights if self.size <= self.frequent else self.weights.orderBy(F.desc("df"), "term").limit(self.frequent)
+        """Broadcast (terms in order, idf) of the most frequent terms, and whether these are the whole vocabulary."""
+        rows = self.weights
+        if self.size > self.frequent:  # those of the highest frequencies that have room whole; one row a frequency reaches the driver
+            sizes = sorted(rows.groupBy("df").agg(F.count("*")).collect(), reverse=True)
+            room = [df for (df, _), upto in zip(sizes, accumulate(n for _, n in sizes)) if upto <= self.frequent]
+            rows = rows.where(F.col("df") >= room[-1]) if room else rows.limit(0)
         found = rows.select("term", "idf").toArrow()
         terms, idf = found.column(0).to_numpy(), found.column(1).to_numpy()
         order = np.argsort(terms)

@@ -56,3 +56,12 @@ def test_terms_are_not_rows_before_they_are_counted(spark):
 
 def test_grams_keep_to_words():
     assert len(np.unique(char_hashes("ab ab c"))) == len(set(_terms("ab ab c", "char"))) and len(char_hashes("ab ab c")) == len(_terms("ab ab c", "char"))
+
+
+def test_tasks_that_count_terms_have_few_texts(spark, monkeypatch):
+    """One of a fixed number of tasks held a part of the corpus that grew with it."""
+    monkeypatch.setattr(tfidf, "PART_TEXTS", 10)
+    texts = spark.range(300).selectExpr("id as article_id", "concat('word ', id) as text")
+    counted = tfidf.counts(texts, "article_id", "word")
+    assert counted.count() == 300 * 3 - 2 * 10  # one-digit numbers are no words
+    assert "hashpartitioning(article_id" in (plan := counted._jdf.queryExecution().executedPlan().toString()) and ", 38)" in plan
