@@ -164,3 +164,43 @@ def test_dense_queries_score_every_pair(spark, tmp_path):
     spark.createDataFrame([(k, [1.0, float(k)], 0) for k in range(7)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     for name in ("dense_similarity", "dense_scores"):
         assert sorted(tuple(r)[:2] for r in QUERIES[name](spark, str(tmp_path)).collect()) == [(a, b) for a in range(7) for b in range(7)]
+
+
+def test_encoder_hashes_words_once_and_counts_all_grams():
+    """The vectors are those of every gram hashed where it stands; before, each word was hashed anew."""
+    import hashlib
+
+    texts, calls = ["one two one", "two  ONE three é", None, ""] * 3, []
+    want = np.zeros((len(texts), 16), np.float32)
+    for row, text in zip(want, texts):
+        for w in (text or "").lower().split():
+            for n in (3, 4, 5):
+                for i in range(max(len(w) + 2 - n + 1, 1)):
+                    h = int.from_bytes(hashlib.blake2b(f" {w} "[i : i + n].encode(), digest_size=8).digest(), "little")
+                    row[h % 16] += 1.0 if h >> 63 else -1.0
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-30)
+    real = hashlib.blake2b
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(hashlib, "blake2b", lambda *a, **k: calls.append(a[0]) or real(*a, **k))
+        got = hashing_encoder(16)(texts)
+    assert np.array_equal(got, want)
+    assert len(calls) <= 40  # grams of four words; 75 before
+
+
+def test_best_chunks_scores_candidates_alone(spark, monkeypatch):
+    """Same rows as from the similarities of all pairs; before, all chunks were scored for all queries."""
+    from lodestone.operators import tfidf
+
+    rng, words = np.random.default_rng(3), [f"w{k}" for k in range(30)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    chunks = spark.createDataFrame([(a, c, text(8)) for a in range(12) for c in range(3)], "article_id long, chunk_id long, text string")
+    queries = spark.createDataFrame([(q, text(4)) for q in range(5)], "query_id long, text string")
+    pairs = spark.createDataFrame([(q, a) for q in range(5) for a in (q, q + 1)], "query_id long, article_id long")
+    refs = chunks.select(F.struct("article_id", "chunk_id").alias("ref_id"), "text")
+    sim = {(r.target_id, r.ref_id.article_id, r.ref_id.chunk_id): r.sim for r in tfidf.query_similarity(refs, queries.withColumnRenamed("query_id", "target_id"), 0.4, 0.6, 2, 300_000).collect()}
+    want = {(q, a): min((-round(sim.get((q, a, c), 0.0), 9), c) for c in range(3)) for q in range(5) for a in (q, q + 1)}
+    counts, real = [], tfidf.Space.scores
+    monkeypatch.setattr(tfidf.Space, "scores", lambda self, asked: counts.append(self.texts.count) or real(self, asked))
+    got = {(r.query_id, r.article_id): (-r.sim, r.chunk_id) for r in tfidf.best_chunks(chunks, queries, pairs).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 2e-9 for k in want)
+    assert counts == [18, 18]  # of 36 chunks
