@@ -23,6 +23,8 @@ CHAR_SIZES = (3, 4, 5)
 BROADCAST_ROWS = 2_000_000
 #: Frequent terms whose weights every task has; texts for each part of a shuffle of terms.
 FREQUENT, PART_TEXTS = 1_000_000, 10_000
+#: Scores so near to each other may tie when they are rounded for a ranking.
+TIE = 2e-9
 
 
 def word_terms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -100,7 +102,8 @@ class Space:
     def __init__(self, corpus: DataFrame, analyzer: str, min_df: int = 1, sublinear: bool = False, max_features: int | None = None, frequent: int = FREQUENT):
         self.analyzer, self.sublinear, self.frequent, self.spark = analyzer, sublinear, frequent, corpus.sparkSession
         self.texts = Texts(corpus, "article_id", analyzer, WORD_TOKEN, sublinear)
-        n = self.texts.count
+        self.n = n = self.texts.count
+        self.few = False
         self.parts = min(2_000, 8 + n // PART_TEXTS)
         seen = self.texts.frequencies().repartition(self.parts, "term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).where(f"df >= {min_df}")
         if max_features:
@@ -115,6 +118,7 @@ class Space:
         self._common  # sent once for both
         other = copy(self)
         other.__dict__.pop("norms", None)
+        other.few = True
         other.texts = Texts(corpus, "article_id", self.analyzer, WORD_TOKEN, self.sublinear)
         return other
 
@@ -126,6 +130,7 @@ class Space:
             sizes = sorted(rows.groupBy("df").agg(F.count("*")).collect(), reverse=True)
             room = [df for (df, _), upto in zip(sizes, accumulate(n for _, n in sizes)) if upto <= self.frequent]
             rows = rows.where(F.col("df") >= room[-1]) if room else rows.limit(0)
+            self.rarer = room[-1] - 1 if room else sizes[0][0]  # no other term is in more texts
         found = rows.select("term", "idf").toArrow()
         terms, idf = found.column(0).to_numpy(), found.column(1).to_numpy()
         order = np.argsort(terms)
@@ -150,6 +155,9 @@ class Space:
         rows = self.texts.scan(make, "term long, square double, sure double")
         if not whole:
             others = self.weights.where("df > 1" if self.alone else "true").select("term", "idf")
+            if self.few:
+                rows = settled(rows)
+                others = others.join(_fit(rows.select("term").distinct()), "term", "left_semi")
             rows = rows.repartition(self.parts, "term").join(others.repartition(self.parts, "term"), "term", "left").select("article_id", (F.col("sure") + F.col("square") * F.pow(F.coalesce("idf", F.lit(self.alone)), F.lit(2.0))).alias("sure"))
         return settled(rows.groupBy("article_id").agg(F.sqrt(F.sum("sure")).alias("norm")))
 
@@ -177,34 +185,107 @@ class Space:
         rows = self.texts.counted().join(_fit(known), "term").select("article_id", "term", "df", (_tf(self.sublinear) * F.col("idf")).alias("w"))
         return rows.join(_fit(self.norms), "article_id").select("article_id", "term", (F.col("w") / F.col("norm")).alias("w"), "df")
 
-    def scores(self, asked: DataFrame) -> DataFrame:
-        """score(query_id, article_id) of asked (query_id, term, qw): while those are few, sums leave the tasks in place of terms."""
-        if asked.count() > BROADCAST_ROWS:
-            both = self.entries(asked.select("term")).join(asked, "term")
-            return both.groupBy("article_id", "query_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score")).select("query_id", "article_id", "score")
+    def _send(self, asked: DataFrame):
+        """Broadcast (terms in order, where their questions begin, how many, questions' numbers, weights), and (query, query_id)."""
         table = asked.join(self.weights, "term").select("query_id", "term", (F.col("qw") * F.col("idf")).alias("w")).toArrow()
         queries = table.column("query_id").combine_chunks().dictionary_encode()
         order = np.argsort(table.column("term").to_numpy(), kind="stable")
         terms, first, size = np.unique(table.column("term").to_numpy()[order], return_index=True, return_counts=True)
         sent = self.spark.sparkContext.broadcast((terms, first, size, queries.indices.to_numpy()[order].astype(np.int64), table.column("w").to_numpy()[order]))
+        names = self.spark.createDataFrame(pa.table({"query": pa.array(np.arange(len(queries.dictionary))), "query_id": queries.dictionary})) if len(queries.dictionary) else asked.select(F.lit(0).cast("long").alias("query"), "query_id").limit(0)
+        return sent, names
+
+    def scores(self, asked: DataFrame) -> DataFrame:
+        """score(query_id, article_id) of asked (query_id, term, qw): while those are few, sums leave the tasks in place of terms."""
+        if asked.count() > BROADCAST_ROWS:
+            both = self.entries(asked.select("term")).join(asked, "term")
+            return both.groupBy("article_id", "query_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score")).select("query_id", "article_id", "score")
+        sent, names = self._send(asked)
         tf = self.texts.tf
 
         def make(rows):
             terms, first, size, query, w = sent.value
             for i, found, n in rows:
-                at, known = _places(terms, found)
-                at, f = at[known], tf(n[known])
-                many = size[at]
-                ends = np.cumsum(many)
-                places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - ends + many, many)
-                one, back = np.unique(query[places], return_inverse=True)
-                yield np.full(len(one), i), one, np.bincount(back, w[places] * np.repeat(f, many), len(one))
+                one, dots = _dots(terms, first, size, query, w, found, tf(n))
+                yield np.full(len(one), i), one, dots
 
-        names = self.spark.createDataFrame(pa.table({"query": pa.array(np.arange(len(queries.dictionary))), "query_id": queries.dictionary})) if len(queries.dictionary) else asked.select(F.lit(0).cast("long").alias("query"), "query_id").limit(0)
         found = self.texts.scan(make, "query long, dot double").join(F.broadcast(names), "query").join(_fit(self.norms), "article_id")
         return found.select("query_id", "article_id", (F.col("dot") / F.col("norm")).alias("score"))
 
 
+    def best(self, asked: DataFrame, k: int, corpus: DataFrame) -> DataFrame:
+        """`scores` of all articles that may be among a question's k best, ties included; corpus: the space's own texts.
+
+        A row's length lies between bounds that need no join: common terms are weighted in the
+        task, others weigh at least as those just too rare to be common and at most as those of one
+        text. So a task passes on only rows that may still reach the k-th best score that it has
+        met; the lengths are then taken exactly for the few articles left.
+        """
+        if asked.count() > BROADCAST_ROWS:
+            return self.scores(asked)
+        (sent, names), (common, whole), tf = self._send(asked), self._common, self.texts.tf
+        least = 0.0 if whole or not self.alone else math.log((1 + self.n) / (1 + self.rarer)) + 1
+        most = 0.0 if whole else math.log((1 + self.n) / 2) + 1
+
+        def make(rows):
+            terms, idf = common.value
+            for i, found, n in rows:
+                f = tf(n)
+                one, dots = _dots(*sent.value, found, f)
+                if not len(one):
+                    continue
+                at, known = _places(terms, found)
+                sure, rest = (f[known] ** 2 * idf[at[known]] ** 2).sum(), (f[~known] ** 2).sum()
+                low, high = math.sqrt(sure + rest * least**2), math.sqrt(sure + rest * most**2)
+                yield np.full(len(one), i), one, dots, dots / high, dots / max(low, 1e-300)
+
+        rows = settled(self.texts.scan(make, "query long, dot double, low double, high double", lambda: _reaching(k)))
+        nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("low")))
+        kth = rows.select("query", "low", nth.alias("r")).where(f"r = {k}").select("query", F.col("low").alias("kth"))
+        left = rows.join(kth, "query", "left").where(f"kth is null or high >= kth - {TIE}").select("article_id", "query", "dot", "high")
+        if whole:
+            return left.join(F.broadcast(names), "query").select("query_id", "article_id", F.col("high").alias("score"))
+        left = settled(left)
+        mine = settled(corpus.select("article_id", "text").join(_fit(left.select("article_id").distinct()), "article_id", "left_semi"))
+        found = left.join(F.broadcast(names), "query").join(_fit(self.of(mine).norms), "article_id")
+        return found.select("query_id", "article_id", (F.col("dot") / F.col("norm")).alias("score"))
+
+
+def _dots(terms: np.ndarray, first: np.ndarray, size: np.ndarray, query: np.ndarray, w: np.ndarray, found: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Questions that share terms with a text (terms `found` with factors `f`), and their products."""
+    at, known = _places(terms, found)
+    at, f = at[known], f[known]
+    many = size[at]
+    ends = np.cumsum(many)
+    places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - ends + many, many)
+    asking, parts = query[places], w[places] * np.repeat(f, many)
+    if len(asking) and asking.max() < 8 * len(asking):  # few questions: no sort
+        hits = np.bincount(asking)
+        one = np.flatnonzero(hits)
+        return one, np.bincount(asking, parts)[one]
+    one, back = np.unique(asking, return_inverse=True)
+    return one, np.bincount(back, parts, len(one))
+
+
+def _reaching(k: int):
+    """Filter of one task's columns (place, query, dot, low, high): rows whose `high` reaches the k-th best `low` that it has met for the query."""
+    met = np.full((0, k), -np.inf)  # k best bounds of each query, ascending
+
+    def keep(columns):
+        nonlocal met
+        _, query, _, low, high = columns
+        if query.max() >= len(met):
+            met = np.vstack([met, np.full((query.max() + 1 - len(met), k), -np.inf)])
+        better = np.flatnonzero(low > met[query, 0])
+        order = better[np.lexsort((low[better], query[better]))]
+        names, start, size = np.unique(query[order], return_index=True, return_counts=True)
+        for q, at, n in zip(names, start, size):
+            met[q] = np.sort(np.concatenate([met[q], low[order[max(at, at + n - k) : at + n]]]))[-k:]
+        return high >= met[query, 0] - TIE
+
+    return keep
+
+
 def _places(terms: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where `found` are in `terms`, which are in order, and which of them are there."""
     at = np.searchsorted(terms, found)
@@ -218,6 +299,12 @@ def tfidf_scores(corpus: DataFrame, queries: DataFrame, analyzer: str, min_df: i
     return space.scores(space.asked(queries))
 
 
+def best_scores(corpus: DataFrame, queries: DataFrame, analyzer: str, k: int, min_df: int = 1, sublinear: bool = False) -> DataFrame:
+    """`tfidf_scores` of all pairs that may be among a query's k best."""
+    space = Space(corpus, analyzer, min_df, sublinear)
+    return space.best(space.asked(queries), k, corpus)
+
+
 def lexical_channels(articles: DataFrame, queries: DataFrame) -> DataFrame:
     """(channel, query_id, article_id, score) over clean bodies and titles, words and characters."""
     out = None

@@ -87,8 +87,8 @@ def _r(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _truth(spark, d):
-    """(query_id, article_id): documents that contain the benchmark text."""
-    return containing(_docs(spark, d), _bench(spark, d))
+    """(query_id, article_id): documents that contain the benchmark text; settled, since metrics read it several times."""
+    return settled(containing(_docs(spark, d), _bench(spark, d)))
 
 
 @query("select doc_id, trim(regexp_replace(translate(text, 'ёЁ', 'еЕ'), '\\s+', ' ', 'g')) as clean from documents")
@@ -174,7 +174,7 @@ _TOP = "select query_id, rank, article_id, round(score, 6) as score from (select
 
 
 def _best(spark, d, k):
-    return S.rank(tfidf.tfidf_scores(_docs(spark, d), _bench(spark, d), "word"), k)
+    return S.rank(tfidf.best_scores(_docs(spark, d), _bench(spark, d), "word", k), k)
 
 
 @query(_TOP.format(_WORD, 10))
@@ -185,7 +185,7 @@ def word_tfidf_top10(spark, d):
 @query(_TOP.format(D.tfidf("documents", "doc_id", D.LEXICAL, "benchmark", "item_id", D.LEXICAL, "char", sublinear=True), 10))
 def char_tfidf_top10(spark, d):
     lex = lambda df: df.withColumn("text", X.normalize_lexical_text(F.col("text")))
-    return _r(S.rank(tfidf.tfidf_scores(lex(_docs(spark, d)), lex(_bench(spark, d)), "char", 1, True)))
+    return _r(S.rank(tfidf.best_scores(lex(_docs(spark, d)), lex(_bench(spark, d)), "char", 10, 1, True)))
 
 
 @query(_TOP.format(D.tfidf("documents", "doc_id", "text", "pages", "page_id", D.TITLE, "word"), 10))

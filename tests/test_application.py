@@ -136,6 +136,20 @@ def test_containing_is_brute_force(spark):
     assert set(rows) == expected and len(rows) == len(expected)
 
 
+def test_containing_of_few_passages_shuffles_nothing(spark, monkeypatch):
+    """Sent to the tasks or joined, the pairs are the same, repeats too; before, runs and texts were joined in both cases."""
+    from lodestone.operators import matching
+
+    texts = spark.createDataFrame([(1, "a bb c d e f"), (2, "xa bb c d ex"), (2, "bb c d"), (3, None), (4, "")], "article_id long, text string")
+    passages = spark.createDataFrame([(7, "a bb c d e"), (7, "bb c"), (8, "a bb c d e"), (8, None), (9, "b c d e f"), (10, "")], "query_id long, text string")
+    sent = matching.containing(texts, passages)
+    assert "Exchange" not in sent._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, sent.collect()))
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 0)
+    assert got == sorted(map(tuple, matching.containing(texts, passages).collect()))
+    assert got == sorted((q, a) for q, p in passages.collect() for a, t in texts.collect() if p is not None and t is not None and p in t)
+
+
 def test_complete_gives_the_ranking_of_all_pairs(spark):
     rng = random.Random(5)
     rows = [(q, a, round(rng.uniform(-1, 1), 3)) for q, n in ((1, 20), (2, 12), (3, 3), (4, 0), (5, 9)) for a in rng.sample(range(20), n)]

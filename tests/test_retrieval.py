@@ -204,3 +204,24 @@ def test_best_chunks_scores_candidates_alone(spark, monkeypatch):
     got = {(r.query_id, r.article_id): (-r.sim, r.chunk_id) for r in tfidf.best_chunks(chunks, queries, pairs).collect()}
     assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 2e-9 for k in want)
     assert counts == [18, 18]  # of 36 chunks
+
+
+@pytest.mark.parametrize("frequent", [10**6, 40, 0])
+def test_best_scores_passes_on_few_rows_and_ranks_as_all_scores(spark, monkeypatch, frequent):
+    """Also where most terms are not sent to the tasks; before, each text's score of each query left its task."""
+    from lodestone.operators import terms, tfidf
+
+    rng, words = np.random.default_rng(5), [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 25))) for _ in range(400)]
+    texts[10:22] = [texts[10]] * 12  # ties at the edge of the ranking
+    corpus = spark.createDataFrame(list(enumerate(texts)), "article_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(q, texts[q * 10] + " " + " ".join(rng.choice(words, 3))) for q in range(6)], "query_id long, text string")
+    monkeypatch.setattr(tfidf, "FREQUENT", frequent)
+    monkeypatch.setattr(terms, "HELD", 100)
+    space = tfidf.Space(corpus, "word", frequent=frequent)
+    asked = space.asked(queries)
+    every = space.scores(asked)
+    some = space.best(asked, 5, corpus)
+    rows = lambda df: [(r.query_id, r.rank, r.article_id, round(r.score, 7)) for r in S.rank(df, 5).orderBy("query_id", "rank").collect()]
+    assert rows(some) == rows(every)
+    assert some.count() < every.count() / 3
