@@ -20,6 +20,8 @@ THRESHOLD = -0.6
 #: Nor are those with a unigram whose log ratio is below this: one that is 27 times rarer in the target than in the
 #: raw corpus, with at least so many expected, as terms of abuse are.
 PEAK = -3.3
+#: Low bits of a window's key that give way to its place, so that numbers are sorted.
+PLACES = (1 << 20) - 1
 SYMBOLS = "#*$%&|<>"
 _FEATURE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
@@ -57,7 +59,7 @@ def model(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int] = BUCKET
     uni = F.col("bucket") < buckets[0]
     of = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
     totals = [of(c, w).alias(f"{c}_{k}") for c in ("raw", "target") for k, w in (("u", uni), ("b", ~uni))]
-    cells = every.agg(*totals, F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("cells"))
+    cells = every.agg(*totals, F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("cells"))
     p = lambda n, of, size: (n + F.lit(PRIOR)) / (F.col(of) + F.lit(PRIOR * size))
     log = lambda c, k, size: F.when(F.col(f"target_{k}") == 0, F.lit(0.0)).otherwise(F.log(p(c["target"], f"target_{k}", size)) - F.log(p(c["raw"], f"raw_{k}", size)))
     ratio = lambda c: F.when(c["bucket"] < buckets[0], log(c, "u", buckets[0])).otherwise(log(c, "b", buckets[1]))
@@ -70,14 +72,29 @@ def base_counts(text: Column) -> dict[str, Column]:
     lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
     def repeats(keys: Column) -> Column:
-        """Words in windows whose key is there twice: sort keys with their places, look beside."""
-        ordered = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-
-        def beside(s: Column) -> Column:
-            twice = F.filter(s, lambda e, j: (F.coalesce(F.get(s, j - 1)["k"] == e["k"], F.lit(False))) | (F.coalesce(F.get(s, j + 1)["k"] == e["k"], F.lit(False))))
-            return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))
-
-        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(let(ordered, beside))
+        """Words in windows whose key is there twice: sort keys with their places, look beside.
+
+        A place takes the key's low bits, unless two keys differ in these alone or places have more bits: then pairs are sorted.
+        """
+        cut = lambda k: k.bitwiseAND(F.lit(~PLACES))
+        packed = F.sort_array(F.transform(keys, lambda k, i: cut(k).bitwiseOR(i.cast("long"))))
+        ordered = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+
+        def covered(places: Column) -> Column:
+            """Words of windows at places in order, each counted once."""
+            n = F.size(places) - 1
+            steps = F.zip_with(F.slice(places, F.lit(2), n), F.slice(places, F.lit(1), n), lambda b, a: F.least(b - a, F.lit(3).cast("long")))
+            return (F.aggregate(steps, F.lit(3).cast("long"), lambda t, x: t + x)).cast("int")
+
+        def twice(s: Column, same, place) -> Column:
+            found = F.filter(s, lambda e, j: F.coalesce(same(F.get(s, j + 1), e), F.lit(False)) | F.coalesce(same(F.get(s, j - 1), e), F.lit(False)))
+            return let(F.sort_array(F.transform(found, place)), covered)
+
+        of_numbers = let(packed, lambda s: twice(s, lambda a, b: a.bitwiseXOR(b).between(0, PLACES), lambda e: e.bitwiseAND(F.lit(PLACES))))
+        of_pairs = let(ordered, lambda s: twice(s, lambda a, b: a["k"] == b["k"], lambda e: e["i"].cast("long")))
+        distinct = F.size(F.array_distinct(keys))
+        apart = (F.size(keys) <= PLACES) & (F.size(F.array_distinct(F.transform(keys, cut))) == distinct)
+        return F.when(distinct == F.size(keys), F.lit(0)).when(apart, of_numbers).otherwise(of_pairs)
 
     def windows(w: Column) -> Column:
         keys = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - 2), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))))

@@ -725,3 +725,32 @@ def test_templates_of_sites_without_article_elements(spark):
     got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: "\n\n".join(x for x in ls if seen[site, x] < 5) for i, (site, ls) in lines.items()}
     assert all("\n\n" in t for t in got.values()) and any(seen[s, x] == 2 for s, ls in lines.values() for x in ls)
+
+
+@pytest.mark.parametrize("bits", [20, 3, 62])
+def test_repeated_words_are_counted_alike_by_numbers_and_by_pairs(spark, monkeypatch, bits):
+    """Against brute force, with windows' places in 20 bits of the keys, with too few bits and with too few bits left of the keys."""
+    import random
+
+    from lodestone.llm import quality_rules as Q
+
+    rng = random.Random(bits)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["a a a a", "a b c a b c", "x y z"]
+
+    def brute(text):
+        w = text.split()
+        seen = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        return len({j for i, k in enumerate(seen) if seen.count(k) > 1 for j in range(i, i + 3)})
+
+    monkeypatch.setattr(Q, "PLACES", (1 << bits) - 1)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(rows.select("doc_id", Q.base_counts(F.col("text"))["counted"]["r"].alias("r")).collect())
+    assert got == {k: brute(t) for k, t in enumerate(texts)}
+
+
+def test_repeated_words_sort_numbers(spark):
+    """Sorting (key, place) by the comparing function of array_sort took most of op6's time before."""
+    from lodestone.llm import quality_rules as Q
+
+    plan = spark.range(1).select(Q.base_counts(F.col("id").cast("string"))["counted"].alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert "sort_array" in plan and "array_sort" not in plan
