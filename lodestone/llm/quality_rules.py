@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,23 +25,25 @@ PEAK = -3.3
 #: Low bits of a window's key that give way to its place, so that numbers are sorted.
 PLACES = (1 << 20) - 1
 SYMBOLS = "#*$%&|<>"
-_FEATURE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+#: Single characters first: a class looks these up in one table before it asks for a category.
+_PLAIN = string.ascii_letters + string.digits + "_"
+_FEATURE = rf"[{_PLAIN}\p{{L}}\p{{N}}]+|[[^{_PLAIN} \t\n\x0B\f\r]&&[^\p{{L}}\p{{N}}]]+"
 
 
-def features(text: Column, buckets: tuple[int, int] = BUCKETS) -> Column:
-    """Buckets of the unigrams (u) and, after those, bigrams (b) of letter runs and punctuation runs."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_FEATURE), F.lit(0))
-    return let(hashes(tokens), lambda h: F.struct(F.transform(h, lambda x: F.pmod(x, F.lit(buckets[0]))).alias("u"), pairs(h, buckets).alias("b")))
+def hashes(text: Column) -> Column:
+    """32-bit hashes of letter runs and punctuation runs: each is hashed once, n-grams are hashes of these."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_FEATURE), F.lit(0)), lambda t: F.hash(t))
 
 
-def hashes(tokens: Column) -> Column:
-    """32-bit hashes of strings: each string is hashed once, n-grams are hashes of these."""
-    return F.transform(tokens, lambda t: F.hash(t))
+def unigrams(h: Column, buckets: tuple[int, int], of=lambda bucket: bucket) -> Column:
+    """`of` each unigram's bucket."""
+    return F.transform(h, lambda x: of(F.pmod(x, F.lit(buckets[0]))))
 
 
-def pairs(h: Column, buckets: tuple[int, int]) -> Column:
+def pairs(h: Column, buckets: tuple[int, int], of=lambda bucket: bucket) -> Column:
+    """`of` each bigram's bucket; these come after the unigrams'."""
     n = F.greatest(F.size(h) - 1, F.lit(0))
-    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.pmod(F.hash(a, b), F.lit(buckets[1])) + buckets[0])
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: of(F.pmod(F.hash(a, b), F.lit(buckets[1])) + buckets[0]))
 
 
 def model(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int] = BUCKETS, target_docs: int = TARGET_DOCS) -> DataFrame:
@@ -51,10 +55,14 @@ def model(docs: DataFrame, trusted: DataFrame, buckets: tuple[int, int] = BUCKET
     repeats are no evidence. The target's counts those whose doc_id is in `trusted`, of which at
     most `target_docs` are taken, by a hash of the id. Buckets are counted before the shuffle, so
     it carries at most as many rows a task as there are buckets.
+
+    Features are a projection's own columns, exploded with `explode_outer`: before `explode` Spark
+    sets a filter on the array's size, in which it computes all of them again.
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).withColumn("target", F.lit(1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(features(F.col("text").cast("string"), buckets), lambda f: F.array_distinct(F.concat(f["u"], f["b"]))).alias("f")).join(F.broadcast(ids), "doc_id", "left")
-    counts = rows.select(F.coalesce("target", F.lit(0)).alias("target"), F.explode("f").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes(F.col("text").cast("string")).alias("h"))
+    rows = hashed.select("doc_id", F.array_distinct(F.concat(unigrams(F.col("h"), buckets), pairs(F.col("h"), buckets))).alias("f")).join(F.broadcast(ids), "doc_id", "left")
+    counts = rows.select(F.coalesce("target", F.lit(0)).alias("target"), F.explode_outer("f").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
     every = docs.sparkSession.range(sum(buckets)).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     uni = F.col("bucket") < buckets[0]
     of = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
@@ -124,12 +132,16 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, p
     space = Workspace(docs.sparkSession, "quality")
     fitted = space.save(model(docs, trusted, buckets, target_docs), "model")
     text = F.col("text").cast("string")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("ratios", fitted.select("ratios").scalar())
-    of = lambda places: F.transform(places, lambda b: F.get(F.col("ratios"), b))
     total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + v)
-    both = lambda f: F.struct(of(f["u"]).alias("u"), of(f["b"]).alias("b"))
-    llr = let(let(features(text, buckets), both), lambda r: F.struct((F.size(r["u"]) + F.size(r["b"])).alias("n"), (total(r["u"]) + total(r["b"])).alias("sum"), F.coalesce(F.array_min(r["u"]), F.lit(0).cast("long")).alias("least")))
-    base = base_counts(text)
+
+    def scores(ratios: Column) -> Column:
+        of = lambda b: F.get(ratios, b)
+        both = let(hashes(F.col("text")), lambda h: F.struct(unigrams(h, buckets, of).alias("u"), pairs(h, buckets, of).alias("b")))
+        return let(both, lambda r: F.struct((F.size(r["u"]) + F.size(r["b"])).alias("n"), (total(r["u"]) + total(r["b"])).alias("sum"), F.coalesce(F.array_min(r["u"]), F.lit(0).cast("long")).alias("least")))
+
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("ratios", fitted.select("ratios").scalar())
+    # named once, the ratios become a part of this expression; a column of them would be copied into the row of each document
+    llr, base = let(F.col("ratios"), scores), base_counts(F.col("text"))
     out = out.select("doc_id", base["counted"].alias("c"), base["n_symbols"].alias("n_symbols"), base["n_dup_lines"].alias("n_dup_lines"), llr.alias("llr"))
     failed = (F.col("c.n") < 50) | (100 * F.col("c.r") > 50 * F.col("c.n"))
     good = (F.col("llr.sum") >= F.lit(round(threshold * UNIT)).cast("long") * F.col("llr.n")) & (F.col("llr.least") >= F.lit(round(peak * UNIT)).cast("long"))

@@ -754,3 +754,24 @@ def test_repeated_words_sort_numbers(spark):
 
     plan = spark.range(1).select(Q.base_counts(F.col("id").cast("string"))["counted"].alias("c"))._jdf.queryExecution().analyzed().toString()
     assert "sort_array" in plan and "array_sort" not in plan
+
+
+def test_quality_computes_features_once_a_pass(spark, docs, monkeypatch):
+    """Before, the model's pass computed them again in a filter under explode, and scoring copied the ratios into each row."""
+    from lodestone.llm import quality_rules as Q
+
+    trusted = spark.createDataFrame([(11,)], "doc_id long")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(Q.model(docs, trusted, (64, 64))).count("regexp_extract_all") == 1
+    found = plan(quality(docs, trusted, buckets=(64, 64)))
+    assert "transform(array(scalar-subquery" in found and "AS ratios" not in found
+
+
+def test_features_are_runs_of_letters_or_punctuation(spark):
+    import regex
+
+    from lodestone.llm import quality_rules as Q
+
+    text = "".join(map(chr, range(1, 0x250))) + "Straße42_x --\u3000日本\u00a0語，x\u0301y٣½\x1c\x85\u2028z 😀a𝒳!?^&&[]-\\"
+    got = spark.createDataFrame([(text,)], "text string").select(F.regexp_extract_all("text", F.lit(Q._FEATURE), F.lit(0)).alias("t")).first().t
+    assert got == regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]+", text)
