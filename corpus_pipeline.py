@@ -36,8 +36,10 @@ def _apart(stage: Callable) -> Callable:
 
 @_apart
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Written here, so that the texts go through Python in small batches."""
     found = identify(docs, fit(docs.select("doc_id", "text", "lang")))
-    return found.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").drop("lang_pred", "score")
+    found = found.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").drop("lang_pred", "score")
+    return Workspace(spark, "languages").save(found, "kept")
 
 
 @_apart

@@ -6,17 +6,20 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lodestone.llm.common import release_worker, ship
+from lodestone.llm.common import lean, release_worker, ship
 from lodestone.llm.hashing import mix
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Bound of the sample that is fitted: labelled documents of each language.
 PER_LANGUAGE = 400
 ITERATIONS = 3
@@ -30,9 +33,9 @@ PRIOR = 0.05
 UNKNOWN = 1e-9
 #: A word's place in a text's evidence; more words than this sharpen the score no further.
 EVIDENCE = 40
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Letters of a word that is scored along with others of its length; texts and words that are at once.
-TOGETHER, TOGETHER_CHARS, CHUNK_WORDS = 64, 1_000_000, 100_000
+TOGETHER, TOGETHER_CHARS, CHUNK_WORDS = 64, 500_000, 50_000
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.multiply.accumulate(np.array([1] + [int(_BASE)] * (TOGETHER + 1), np.uint64))
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -65,6 +68,8 @@ def _fit(path: str, iterations: int):
     """Piece probabilities of one language by expectation maximisation."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd  # takes 27 MB of a worker; those that only predict do without
+
         release_worker()
         counts: Counter = Counter()
         for text in rows["text"]:
@@ -216,8 +221,8 @@ def _piece_hash(piece: str) -> int:
 
 
 def _predict(langs: list[str], model):
+    @lean
     def run(batches):
-        release_worker()
         scorer = Scorer(langs, model.value)
         for b in batches:
             texts, got, part, size = b.column("text"), [], [], 0

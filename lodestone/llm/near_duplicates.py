@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Workspace, release_worker, ship
+from lodestone.llm.common import Workspace, lean, release_worker, ship
 from lodestone.llm.components import LINKS_A_FILE, components, union
 from lodestone.llm.hashing import shingles
 
@@ -33,8 +33,8 @@ COLUMNS = 4096
 
 
 def _sketch(size: int):
+    @lean
     def run(batches):
-        release_worker()
         for b in batches:
             rows = []
             for text in b.column(1):
@@ -66,9 +66,9 @@ def _keys() -> Column:
 def _exact(size: int, percent: int):
     """Pairs with whole texts: keep those whose full sets are similar enough."""
 
+    @lean
     def run(batches):
         held: dict[int, np.ndarray] = {}
-        release_worker()
 
         def whole(doc: int, text) -> np.ndarray:
             if doc not in held:
@@ -93,8 +93,8 @@ def _exact(size: int, percent: int):
 def _values(size: int):
     """The full set of each whole text."""
 
+    @lean
     def run(batches):
-        release_worker()
         for b in batches:
             sets = [shingles(t.as_py(), size) for t in b.column(1)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -149,8 +149,8 @@ def _tied(percent: int):
         moved = np.flatnonzero(label != np.arange(len(docs)))
         return pa.RecordBatch.from_arrays([pa.array(docs[moved]), pa.array(docs[label[moved]])], ["a", "b"])
 
+    @lean
     def run(batches):
-        release_worker()
         held: list[dict[str, np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import tokens
-from lodestone.llm.common import Workspace, ship
+from lodestone.llm.common import Workspace, lean, ship
 
 LENGTH = 2048
 OPEN_WINDOWS = 16
@@ -80,6 +80,7 @@ def _rows(pieces: list[tuple], part: int, keep: bool) -> pa.RecordBatch:
 
 
 def _first(path: str, length: int, windows: int):
+    @lean
     def run(batches):
         from pyspark import TaskContext
 

@@ -775,3 +775,74 @@ def test_features_are_runs_of_letters_or_punctuation(spark):
     text = "".join(map(chr, range(1, 0x250))) + "Straße42_x --\u3000日本\u00a0語，x\u0301y٣½\x1c\x85\u2028z 😀a𝒳!?^&&[]-\\"
     got = spark.createDataFrame([(text,)], "text string").select(F.regexp_extract_all("text", F.lit(Q._FEATURE), F.lit(0)).alias("t")).first().t
     assert got == regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]+", text)
+
+
+def test_tables_are_written_with_small_batches_for_python(spark):
+    """A task's file of 20 MB of text is not one batch; the session's own setting holds, and none is left behind."""
+    from lodestone.llm.common import BATCH_BYTES, Workspace
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('x', 5000) as text")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    def saved():
+        rows = Workspace(spark, "batches").save(docs.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+        assert sum(r["n"] for r in rows) == 4000
+        return max(r["size"] for r in rows)
+
+    assert spark.conf.get(key, None) is None
+    assert saved() < 1.1 * BATCH_BYTES
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, str(1 << 20))
+    try:
+        assert saved() < 1.1 * (1 << 20)
+        assert spark.conf.get(key) == str(1 << 20)
+    finally:
+        spark.conf.unset(key)
+
+
+def test_tasks_leave_workers_without_their_memory(monkeypatch):
+    """Also a task that fails or is not read to its end."""
+    from lodestone.llm import common, language_id, near_duplicates, packing
+
+    events = []
+    monkeypatch.setattr(common, "release_worker", lambda: events.append("before"))
+    monkeypatch.setattr(common, "_trim", lambda: events.append("after"))
+
+    def run(batches):
+        for b in batches:
+            events.append(b)
+            yield 1 / b
+
+    assert list(common.lean(run)([1, 2])) == [1, 0.5] and events == ["before", 1, 2, "after"]
+    with pytest.raises(ZeroDivisionError):
+        list(common.lean(run)([0]))
+    next(part := common.lean(run)([4, 5]))
+    part.close()
+    assert events[4:] == ["before", 0, "after", "before", 4, "after"]
+    for task in (language_id._predict([], None), near_duplicates._sketch(5), near_duplicates._exact(5, 80), near_duplicates._values(5), near_duplicates._tied(80), packing._first("", 8, 1)):
+        assert task.__wrapped__.__name__ == "run"
+
+
+def test_predicting_workers_do_without_pandas():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import sys, lodestone.llm.language_id; assert 'pandas' not in sys.modules"], check=True, timeout=60)
+
+
+def test_language_stage_keeps_every_certain_document_with_all_columns(spark):
+    import corpus_pipeline
+    from lodestone.llm.language_id import fit, identify
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("lang_pred", F.lit("own"))
+    got = corpus_pipeline.language_id(spark, docs, "/root/testdata/sf0.001")
+    found = identify(docs, fit(docs.select("doc_id", "text", "lang"))).where(f"lang_pred <> 'und' and score >= {corpus_pipeline.LEAST_SCORE}")
+    assert got.columns == docs.columns and got.exceptAll(docs).isEmpty()
+    assert sorted(r[0] for r in got.select("doc_id").collect()) == sorted(r[0] for r in found.select("doc_id").collect())
+    assert all("languages-" in f for f in got.inputFiles())
