@@ -1,7 +1,9 @@
 """The retrieval application: input, caches, modes, evaluation, and operators against brute force."""
 
 import csv
+import inspect
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from lodestone.operators import classifier as C
 from lodestone.operators import scores as S
 from lodestone.operators.matching import containing
 from lodestone.plans import pipeline as P
+from lodestone.plans import registry
 from lodestone.sources import io
 
 WORDS = "alpha beta gamma delta parcel refund order seller buyer card photo price delivery return".split()
@@ -95,6 +98,23 @@ def test_evaluation(spark, data_dir):
     assert all(0 <= r.map <= 1 and r.seconds > 0 for r in rows)
 
 
+def test_evaluation_query_splits_by_every_seed(monkeypatch):
+    """The query left out one of the three seeds before."""
+    asked = inspect.signature(P.evaluate)
+    seen = []
+
+    def evaluate(*given, **named):
+        bound = asked.bind(*given, **named)
+        bound.apply_defaults()
+        seen.append(bound.arguments["seeds"])
+        return SimpleNamespace(drop=lambda column: None)
+
+    monkeypatch.setattr(P, "evaluate", evaluate)
+    monkeypatch.setattr(registry, "_task", lambda *_: (None, None, None))
+    registry.QUERIES["evaluation"](None, "")
+    assert seen == [(7, 42, 2026)]
+
+
 def test_prepare_refuses_empty_bodies(spark):
     with pytest.raises(ValueError, match="1 articles"):
         P.prepare_articles(spark.createDataFrame([(1, "t", "<script>x</script>"), (2, "t", "x")], "article_id long, title string, body string"))
