@@ -12,7 +12,7 @@ from lodestone.functions.html_text import rendered
 from lodestone.operators import eda, tfidf
 from lodestone.operators import scores as S
 from lodestone.operators.classifier import logistic_oof, logistic_rows, logistic_scores, numbered_folds
-from lodestone.operators.rerank import encode, rerank
+from lodestone.operators.rerank import CANDIDATES, encode, rerank
 from lodestone.plans import duck as D
 from lodestone.operators.matching import containing
 from lodestone.operators.nearest import nearest
@@ -451,7 +451,8 @@ def encode_stub(spark, d):
 @query()
 def reranked_scores(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.col("lang").alias("title"), F.col("text").alias("dense"))
-    base = S.row_scale(tfidf.tfidf_scores(_docs(spark, d), _bench(spark, d), "word"))
+    # no article beyond the candidates and their ties can be among the ten, and the row's maximum is one of theirs
+    base = settled(S.row_scale(tfidf.best_scores(_docs(spark, d), _bench(spark, d), "word", CANDIDATES)))
     chunks = X.reranker_chunks(docs).withColumn("text", X.normalize_lexical_text(F.col("text")))
     return S.rank(rerank(base, chunks, _bench(spark, d).withColumn("text", X.normalize_lexical_text(F.col("text")))))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import classifier as C
 from lodestone.operators import scores as S
 from lodestone.operators.matching import containing
+from lodestone.operators.tfidf import tfidf_scores
 from lodestone.plans import pipeline as P
 from lodestone.plans import registry
 from lodestone.sources import io
@@ -231,3 +232,15 @@ def test_encoder_gets_batches(spark):
         return model
 
     assert encode(spark.createDataFrame([(k, "x") for k in range(7)], "id long, t string"), "id", "t", load, 2).count() == 7
+
+
+def test_reranking_starts_from_candidates(spark, monkeypatch):
+    """All scores of all articles were ranked and fused before."""
+    seen, d = [], "/root/testdata/sf0.001"
+    monkeypatch.setattr(registry, "rerank", lambda base, *_: seen.append(base) or base)
+    got = registry.QUERIES["reranked_scores"](spark, d).orderBy("query_id", "rank").collect()
+    every = S.row_scale(tfidf_scores(registry._docs(spark, d), registry._bench(spark, d), "word"))
+    want = S.rank(every).orderBy("query_id", "rank").collect()
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r.score for r in got] == pytest.approx([r.score for r in want], abs=2e-9)
+    most = S.rank(every, registry.CANDIDATES)
+    assert most.join(seen[0], ["query_id", "article_id"], "left_anti").isEmpty() and seen[0].count() < 1.2 * most.count() < every.count()
