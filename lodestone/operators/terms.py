@@ -92,34 +92,50 @@ class Texts:
         gap = df.sparkSession.range(1).select(F.xxhash64(F.lit(""))).first()[0]
         self.rows = counter(analyzer, gap)
 
-    def scan(self, make, schema: str, filtered=None) -> DataFrame:
-        """`make`(rows of a batch) yields columns after the key: (places, *arrays); passed on HELD values at a time.
-
-        `filtered`() makes a task's filter: of such columns, joined, the rows that are passed on.
-        """
+    def scan(self, make, schema: str) -> DataFrame:
+        """`make`(rows of a batch) yields columns after the key: (places, *arrays); passed on HELD values at a time."""
         rows, key = self.rows, self.key
 
-        def flush(batch, parts, keep):
+        def flush(batch, parts):
             columns = [np.concatenate(c) for c in zip(*parts)]
-            if keep:
-                kept = keep(columns)
-                columns = [c[kept] for c in columns]
             return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0])), *map(pa.array, columns[1:])], names)
 
         names = [key, *(x.split()[0] for x in schema.split(", "))]
 
         def run(batches):
-            keep = filtered and filtered()
             for batch in batches:
                 parts, held = [], 0
                 for part in make(rows(batch)):
                     parts.append(part)
                     held += len(part[0])
                     if held >= HELD:
-                        yield flush(batch, parts, keep)
+                        yield flush(batch, parts)
                         parts, held = [], 0
                 if held:
-                    yield flush(batch, parts, keep)
+                    yield flush(batch, parts)
+
+        return self.tokens.mapInArrow(run, f"{key} {self.kind}, {schema}")
+
+    def gathered(self, make, schema: str, start) -> DataFrame:
+        """As `scan`, but `make`(rows of a batch, keeper) hands its columns to the task's keeper (`start`()), which says when rows are passed on."""
+        rows, key = self.rows, self.key
+        names = [key, *(x.split()[0] for x in schema.split(", "))]
+
+        def run(batches):
+            keeper, ids, before = start(), [], 0
+
+            def passed(columns):
+                known = pa.chunked_array(ids).take(pa.array(columns[0])).combine_chunks()
+                return pa.RecordBatch.from_arrays([known, *map(pa.array, columns[1:])], names)
+
+            for batch in batches:
+                make(((before + i, *rest) for i, *rest in rows(batch)), keeper)
+                ids.append(batch.column(0))
+                before += len(batch)
+                if (found := keeper.take(False)) is not None:
+                    yield passed(found)
+            if (found := keeper.take(True)) is not None:
+                yield passed(found)
 
         return self.tokens.mapInArrow(run, f"{key} {self.kind}, {schema}")
 
