@@ -244,3 +244,23 @@ def test_reranking_starts_from_candidates(spark, monkeypatch):
     assert [r[:3] for r in got] == [r[:3] for r in want] and [r.score for r in got] == pytest.approx([r.score for r in want], abs=2e-9)
     most = S.rank(every, registry.CANDIDATES)
     assert most.join(seen[0], ["query_id", "article_id"], "left_anti").isEmpty() and seen[0].count() < 1.2 * most.count() < every.count()
+
+
+def test_rows_that_a_fusion_can_rank(spark):
+    """Each fusion of the evaluation took all pairs before."""
+    rng = random.Random(5)
+    frame = lambda rows: spark.createDataFrame(rows, "query_id long, article_id long, score double")
+    value = lambda q: -rng.random() if q == 3 and rng.random() < 0.95 else rng.choice([0.5, 0.5 + 2e-10, rng.random()])
+    lexical, dense = (frame([(q, a, value(q)) for q in range(4) for a in range(200) if rng.random() < p]) for p in (0.4, 1.0))
+    labelled = list(range(0, 200, 16))
+    labels = spark.createDataFrame([(100 + a, a) for a in labelled], "ref_id long, article_id long")
+    memory, lexmem, clf = (frame([(q, a, rng.random()) for q in range(4) for a in labelled]) for _ in range(3))
+    queries, articles = spark.range(4).toDF("query_id"), spark.range(200).toDF("article_id")
+    first = S.direct(lexical, dense).localCheckpoint()
+    some = S.reachable(first, labels, P.CANDIDATES).localCheckpoint()
+    ranked = lambda s, k=10: S.rank(S.complete(s, queries, articles), k).orderBy("query_id", "rank").collect()
+    for k in (10, P.CANDIDATES):
+        got, want = (ranked(S.hybrid(lexical, dense, memory, lexmem, clf, f), k) for f in (some, None))
+        assert got == want
+    count = lambda df, q: df.where(f"query_id = {q}").count()
+    assert count(some, 0) < 0.5 * count(first, 0) and count(some, 3) == count(first, 3)
